@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ionweave.llm.common import table
+from ionweave.llm.common import crc_mod, table
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,28 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_mod("doc_id", 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm import rule_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = rule_quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 3) != 1)
+    scored = rule_quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= rule_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op10_rule_quality": op10_rule_quality,
 }
 
 #: DuckDB equivalents, for the queries that SQL can express.
