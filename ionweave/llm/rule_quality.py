@@ -26,8 +26,8 @@ UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with one double column per statistic (names returned), each from the whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("st_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("st_lines", F.split(t, "\n"))
-    words, lines, n = F.size("st_words"), F.size("st_lines"), F.greatest(F.length(t), F.lit(1))
+    base = docs.withColumn("tmp_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("tmp_lines", F.split(t, "\n"))
+    words, lines, n = F.size("tmp_words"), F.size("tmp_lines"), F.greatest(F.length(t), F.lit(1))
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
     share = {
         "upper": without(UPPER) / n,
@@ -40,11 +40,11 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
         "newline": without("\n") / n,
         "mean_word": F.length(t) / F.greatest(words, F.lit(1)),
         "words": F.log1p(words.cast("double")),
-        "distinct_words": F.size(F.array_distinct("st_words")) / F.greatest(words, F.lit(1)),
-        "distinct_lines": F.size(F.array_distinct("st_lines")) / F.greatest(lines, F.lit(1)),
+        "distinct_words": F.size(F.array_distinct("tmp_words")) / F.greatest(words, F.lit(1)),
+        "distinct_lines": F.size(F.array_distinct("tmp_lines")) / F.greatest(lines, F.lit(1)),
         "words_line": F.log1p(words / F.greatest(lines, F.lit(1))),
     }
-    stats = base.withColumns({f"st_{k}": v.cast("double") for k, v in share.items()}).drop("st_words", "st_lines")
+    stats = base.withColumns({f"st_{k}": v.cast("double") for k, v in share.items()}).drop("tmp_words", "tmp_lines")
     return stats, [f"st_{k}" for k in share]
 
 
