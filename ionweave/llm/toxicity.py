@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,16 @@ def units(text: str) -> set[str]:
     return out
 
 
-@lru_cache(maxsize=256)
+_TRIPLES: dict[int, tuple] = {}
+
+
 def _triples(n: int):
+    if n not in _TRIPLES:
+        _TRIPLES[n] = _make_triples(n)
+    return _TRIPLES[n]
+
+
+def _make_triples(n: int):
     t = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
     a = np.array(t, dtype=np.int64).reshape(-1, 3)
     return a[:, 0], a[:, 1], a[:, 2], (DECAY ** (a[:, 2] - a[:, 0] - 2)).astype(np.float64)
