@@ -10,7 +10,8 @@ stored and evaluated in that form: one table of ``64**3`` weights whatever the c
 Training reads at most ``SAMPLE`` labelled documents of at most ``LONGEST`` characters, cut into
 sentences that carry their document's label. A clean document's sentences are all clean; in a toxic
 one the sentence's likeliest words are the positive instances, chosen anew as the machine learns.
-A document scores by its two worst distinct words, through a logistic fit on training documents.
+A document scores by its ``WORST`` worst distinct words, through a logistic fit on the
+training documents.
 
 Whole texts are scored. Null and empty texts have no word and get the score of the lowest margin.
 """
@@ -18,6 +19,7 @@ Whole texts are scored. Null and empty texts have no word and get the score of t
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents (half of either class, if there are enough) and their longest text in training.
 SAMPLE, LONGEST = 6000, 20_000
-LANDMARKS, DECAY, SPAN, PIECE = 320, 0.7, 6, 24
+LANDMARKS, DECAY, SPAN, PIECE, WORST = 320, 0.7, 6, 24, 4
 THRESHOLD = 0.3
+#: A positive instance's least log odds, and the least share of toxic documents that have it at first.
+ODDS, SUPPORT = 3.0, 0.008
 NOTHING = -3.0
 _SPACED = re.compile(r"(?<!\S)(?:[^\s](?:[ \t]+|$)){4,}")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -92,6 +96,10 @@ def features(words: list[str]):
     return np.concatenate(rows), np.concatenate(feats), np.concatenate(weights)
 
 
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 def pieces(token: str) -> list[str]:
     """A token without edge punctuation, in overlapping pieces if it is longer than ``PIECE``."""
     w = _EDGE.sub("", token)
@@ -104,7 +112,7 @@ def pieces(token: str) -> list[str]:
 class ToxicModel:
     table: np.ndarray  # weight of each subsequence feature
     bias: float
-    scale: tuple[float, float, float]  # of the worst, of the second worst, constant
+    scale: tuple[float, ...]  # of the worst words' margins in falling order, and a constant
 
     def margins(self, tokens: list[str]) -> np.ndarray:
         """The machine's margin of each token (its worst piece)."""
@@ -118,9 +126,16 @@ class ToxicModel:
         np.maximum.at(out, np.repeat(np.arange(len(tokens)), [len(p) for p in parts]), np.clip(own, NOTHING, 3.0))
         return out
 
-    def score(self, worst: np.ndarray, second: np.ndarray) -> np.ndarray:
-        a, b, c = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * worst + b * second + c, -35, 35)))
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        """Scores of documents, from the margins of their worst words (a row each)."""
+        return 1 / (1 + np.exp(-np.clip(worst @ np.array(self.scale[:-1]) + self.scale[-1], -35, 35)))
+
+
+def worst_margins(margins: np.ndarray) -> np.ndarray:
+    """The ``WORST`` highest of a document's margins, falling."""
+    if len(margins) < WORST:
+        margins = np.concatenate([margins, np.full(WORST - len(margins), NOTHING)])
+    return np.sort(np.partition(margins, len(margins) - WORST)[-WORST:])[::-1]
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 30):
@@ -188,16 +203,19 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 5) -> ToxicModel:
     nt, nc = int(y.sum()), int((1 - y).sum())
     if not nt or not nc:
         p = 0.5 if not len(y) else (nt + 0.5) / (len(y) + 1)
-        return ToxicModel(np.zeros(1 << 18), 0.0, (0.0, 0.0, float(np.log(p / (1 - p)))))
-    tox, clean = Counter(), Counter()
+        return ToxicModel(np.zeros(1 << 18), 0.0, (0.0,) * WORST + (float(np.log(p / (1 - p))),))
+    tox, clean, families = Counter(), Counter(), set()
     for d, label in zip(docs, y):
-        (tox if label else clean).update(d)
+        family = (int(label), min(map(_hash, d), default=0))  # near copies mostly share their least word hash
+        if family not in families or not label:
+            (tox if label else clean).update(d)
+        families.add(family)
     odds = {w: np.log((c + 0.3) / (nt + 1)) - np.log((clean[w] + 0.3) / (nc + 1)) for w, c in tox.items()}
     pos: Counter = Counter()
     for d, label in zip(docs, y):
         if label and d:
-            for w in sorted(d, key=lambda w: (-odds[w], w))[:2]:
-                if odds[w] > 1.5 and tox[w] >= (3 if nt >= 20 else 1):
+            for w in sorted(d, key=lambda w: (-odds.get(w, -9), w))[:2]:
+                if odds.get(w, 0) > ODDS and tox[w] >= (max(3, SUPPORT * nt) if nt >= 20 else 1):
                     pos[w] += 1
     rng = np.random.default_rng(seed)
     common = sorted(clean, key=lambda w: (-clean[w], w))
@@ -209,8 +227,8 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 5) -> ToxicModel:
         for w in pos:
             neg.pop(w, None)
         table, bias = _machine(pos, Counter(neg), seed + step)
-        model = ToxicModel(table, bias, (1.0, 0.0, 0.0))
-        vocab = sorted(set(tox) | set(clean))
+        model = ToxicModel(table, bias, (1.0,) + (0.0,) * WORST)
+        vocab = sorted(set().union(*docs))
         margin = dict(zip(vocab, model.margins(vocab)))
         if step < 2:
             for w in sorted((w for w in clean if w not in pos), key=lambda w: (-margin[w], w))[:1500]:
@@ -218,25 +236,24 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 5) -> ToxicModel:
             pos = Counter()
             for d, label in zip(docs, y):
                 if label and d:
-                    for w in sorted(d, key=lambda w: (-(margin[w] + 0.3 * odds[w]), w))[:2]:
-                        if margin[w] > -0.5 and odds[w] > 1.5:
+                    for w in sorted(d, key=lambda w: (-(margin.get(w, NOTHING) + 0.3 * odds.get(w, -9)), w))[:2]:
+                        if margin.get(w, NOTHING) > 0 and odds.get(w, -9) > ODDS:
                             pos[w] += 1
     if model is None:
         p = (nt + 0.5) / (nt + nc + 1)
-        return ToxicModel(np.zeros(1 << 18), 0.0, (0.0, 0.0, float(np.log(p / (1 - p)))))
-    top = np.array([sorted((margin[w] for w in d), reverse=True)[:2] + [NOTHING] * (2 - min(2, len(d))) for d in docs])
+        return ToxicModel(np.zeros(1 << 18), 0.0, (0.0,) * WORST + (float(np.log(p / (1 - p))),))
+    top = np.array([worst_margins(np.array([margin[w] for w in sorted(d)])) for d in docs])
     x = np.hstack([top, np.ones((len(top), 1))])
     target = np.where(y == 1, (nt + 1) / (nt + 2), 1 / (nc + 2))
-    w = np.zeros(3)
-    for _ in range(50):
+    w, ridge = np.zeros(WORST + 1), np.array([0.3] * WORST + [1e-4])
+    for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-3 * len(y) * np.diag([0.01, 0.01, 1e-4])
-        g = x.T @ (target - q) - 1e-3 * len(y) * np.array([0.01, 0.01, 1e-4]) * w
-        d = np.linalg.solve(h, g)
+        h = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        d = np.linalg.solve(h, x.T @ (target - q) - ridge * w)
         w = w + d / max(1.0, np.abs(d).max() / 2)
         if np.abs(d).max() < 1e-6:
             break
-    return ToxicModel(model.table, model.bias, (float(w[0]), float(w[1]), float(w[2])))
+    return ToxicModel(model.table, model.bias, tuple(float(v) for v in w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> ToxicModel:
@@ -259,13 +276,10 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 known.clear()
             new = list(set().union(*sets).difference(known)) if sets else []
             known.update(zip(new, model.margins(new).tolist()))
-            top = np.full((len(sets), 2), NOTHING)
+            top = np.full((len(sets), WORST), NOTHING)
             for k, s in enumerate(sets):
-                if len(s) == 1:
-                    top[k, 0] = known[next(iter(s))]
-                elif s:
-                    m = np.fromiter(map(known.__getitem__, s), np.float64, len(s))
-                    top[k] = np.partition(m, len(m) - 2)[-2:][::-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(top[:, 0], top[:, 1]))], ["doc_id", "score"])
+                if s:
+                    top[k] = worst_margins(np.fromiter(map(known.__getitem__, s), np.float64, len(s)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(top))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
