@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import crc_mod, table
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ionweave.llm import bpe_codec
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionweave.llm.simhash_mih import near_duplicates
 
@@ -41,6 +51,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_codec": op2_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
