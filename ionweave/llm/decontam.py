@@ -21,7 +21,6 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,6 +193,19 @@ def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
         last = got[-1][0]
 
 
+def _search_rows(index: Index, ids: _Ids, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
+    """``index.search`` over some millions of characters at a time."""
+    lo = 0
+    while lo < len(texts):
+        hi, chars = lo, 0
+        while hi < len(texts) and chars < 4_000_000:
+            chars += len(texts[hi] or "")
+            hi += 1
+        for k, item, distance in index.search(texts[lo:hi], ids):
+            yield lo + k, item, distance
+        lo = hi
+
+
 def contaminated(docs: DataFrame, items: DataFrame, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, distance, n_item_words, similarity)`` of every document with an item's passage."""
     narrow, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
@@ -203,22 +215,29 @@ def contaminated(docs: DataFrame, items: DataFrame, edits: float = EDITS, block:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ids = _Ids(index.value.vocab)
             for b in batches:
-                doc_ids, texts, rows = b.column(0), b.column(1).to_pylist(), []
-                lo = 0
-                while lo < len(texts):  # some millions of characters at a time
-                    hi, chars = lo, 0
-                    while hi < len(texts) and chars < 4_000_000:
-                        chars += len(texts[hi] or "")
-                        hi += 1
-                    for k, i, d in index.value.search(texts[lo:hi], ids):
-                        item_id, seq, _ = index.value.items[i]
-                        rows.append((doc_ids[lo + k].as_py(), item_id, d, len(seq), 1 - d / len(seq)))
-                    lo = hi
+                rows = []
+                for k, i, d in _search_rows(index.value, ids, b.column(1).to_pylist()):
+                    item_id, seq, _ = index.value.items[i]
+                    rows.append((b.column(0)[k].as_py(), item_id, d, len(seq), 1 - d / len(seq)))
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "distance", "n_item_words", "similarity"])
 
         hits = narrow.mapInArrow(run, HITS)
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return narrow.sparkSession.createDataFrame(pd.DataFrame({"doc_id": pd.Series(dtype="int64")}), "doc_id long").selectExpr("doc_id", "doc_id item_id", "0 distance", "0 n_item_words", "0.0D similarity")
-    return out
+    return narrow.sparkSession.createDataFrame([], HITS) if out is None else out
+
+
+def clean(docs: DataFrame, items: DataFrame, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns, that have no item's passage."""
+    at = docs.columns.index("text")
+    for part in _blocks(items, block):
+        index = docs.sparkSession.sparkContext.broadcast(Index(part, edits))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ids = _Ids(index.value.vocab)
+            for b in batches:
+                hit = {k for k, _, _ in _search_rows(index.value, ids, b.column(at).to_pylist())}
+                yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -265,13 +265,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
     return fit_texts(got["text"].tolist(), got["y"].tolist())
 
 
-def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """``(doc_id, score)`` of every row of ``docs``."""
+def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:
+    """``docs`` with a column of scores, 0 to 1 (replacing a column of that name)."""
+    docs = docs.drop(name)
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for b in batches:
-            sets = [units(t) if t else set() for t in b.column(1).to_pylist()]
+            sets = [units(t) if t else set() for t in b.column(at).to_pylist()]
             if len(known) > 400_000:
                 known.clear()
             new = list(set().union(*sets).difference(known)) if sets else []
@@ -280,6 +282,11 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             for k, s in enumerate(sets):
                 if s:
                     top[k] = worst_margins(np.fromiter(map(known.__getitem__, s), np.float64, len(s)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(top))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(top))], names)
+
+    return docs.mapInArrow(run, docs.schema.add(name, "double"))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """``(doc_id, score)`` of every row of ``docs``."""
+    return scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).select("doc_id", "score")
