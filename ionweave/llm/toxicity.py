@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most labelled documents (half of either class, if there are enough) and their longest text in training.
 SAMPLE, LONGEST = 6000, 20_000
@@ -284,7 +285,7 @@ def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame
                     top[k] = worst_margins(np.fromiter(map(known.__getitem__, s), np.float64, len(s)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(top))], names)
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
