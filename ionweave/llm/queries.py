@@ -44,6 +44,12 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= rule_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm.paragraph_sketch import edits
+
+    return edits(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionweave.llm.decontam import contaminated
 
@@ -53,6 +59,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_paragraph_sketch": op6_paragraph_sketch,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_rule_quality": op10_rule_quality,
