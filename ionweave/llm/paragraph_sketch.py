@@ -1,12 +1,12 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (lines, in pieces of at most ``PIECE`` characters) are hashed to 64-bit digests. A sketch
-has groups of three subtables of ``SLOTS`` cells; a digest goes to one group and there to one cell of each
-subtable, and a cell holds how many digests met and the exclusive-or of them and of their
-check hashes. Two sketches subtract cell by cell, and peeling cells that hold a single digest recovers
-those that only one version has. The fingerprint is the one-group sketch. Where peeling stalls, both
-versions are sketched again with more groups, by other hashes; ``array_except`` answers for what still
-stalls after ``RETRIES``.
+A text's paragraphs (lines, in pieces of at most ``PIECE`` characters) are hashed to sealed 64-bit digests,
+whose low 16 bits check the other 48. A sketch has groups of three subtables of ``SLOTS`` cells; a digest
+goes to one group and there to one cell of each subtable, and a cell is the exclusive-or of its
+digests. Two sketches subtract cell by cell by exclusive-or, which cancels what both have; a cell
+whose seal holds has a single digest left, and peeling such digests recovers those that only one version
+has. The fingerprint is the one-group sketch. Where peeling stalls, both versions are sketched again
+with more groups, by other hashes; ``array_except`` answers for what still stalls after ``RETRIES``.
 
 Null texts count as empty; a paragraph that repeats in a text counts once; equal texts have equal
 fingerprints; texts without paragraphs are alike. The next document is found by range buckets of
@@ -19,16 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECE, SLOTS, ROUNDS = 240, 8, 12
+PIECE, SLOTS, ROUNDS = 240, 8, 9
 CELLS = 3 * SLOTS
 #: Digests expected in a group, at each retry.
 RETRIES = (4, 2, 1)
-_SEEDS = 1000
+
+
+def _seal(high: Column) -> Column:
+    """The 16 bits that check a digest's upper 48."""
+    return F.xxhash64(high).bitwiseAND(F.lit(0xFFFF))
+
+
+def _sealed(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(-0x10000)).bitwiseOR(_seal(F.shiftrightunsigned(h, 16)))
 
 
 def digests(text: Column) -> Column:
-    """Distinct hashes of a text's paragraph pieces."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([^\n]{1,%d})" % PIECE), 1), lambda p: F.xxhash64(p)))
+    """Distinct sealed hashes of a text's paragraph pieces."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([^\n]{1,%d})" % PIECE), 1), lambda p: _sealed(F.xxhash64(p))))
 
 
 def _let(value: Column, body) -> Column:
@@ -36,75 +44,66 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(77))
-
-
-def _cell(n, x, c) -> Column:
-    return F.struct(n.alias("n"), x.alias("x"), c.alias("c"))
+def _put(cell: Column, keys: Column, subtable: int, slot: Column) -> Column:
+    """``cell`` with those of ``keys`` that belong in it added (or taken out, which is the same)."""
+    mine = lambda k: F.shiftrightunsigned(k, 16 + 3 * subtable).bitwiseAND(F.lit(SLOTS - 1)) == slot
+    return F.aggregate(keys, cell, lambda a, k: F.when(mine(k), a.bitwiseXOR(k)).otherwise(a))
 
 
-def _placed(keys: Column, seed: int) -> Column:
-    """Each key with its cell in either subtable and its check hash."""
-    at = lambda k, j: F.pmod(F.xxhash64(k, F.lit(seed + j)), F.lit(SLOTS)) + F.lit(j * SLOTS)
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), *[at(k, j).cast("int").alias(f"i{j}") for j in range(3)], _check(k).alias("h")))
+def _filled(keys: Column, subtable: int):
+    return lambda i: _put(F.lit(0).cast("long"), keys, subtable, i)
 
 
-def cells(keys: Column, seed: int = 0) -> Column:
-    """The ``CELLS`` cells of one group's keys."""
-    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def cells(keys: Column) -> Column:
+    """The ``CELLS`` cells of one group's digests."""
+    slots = F.array(*[F.lit(i).cast("long") for i in range(SLOTS)])
+    return F.concat(*[F.transform(slots, _filled(keys, j)) for j in range(3)])
 
-    def fill(placed):
-        hits = lambda i: F.filter(placed, lambda p: (p.i0 == i) | (p.i1 == i) | (p.i2 == i))
-        add = lambda a, p: _cell(a.n + 1, a.x.bitwiseXOR(p.k), a.c.bitwiseXOR(p.h))
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(hits(i), zero, add))
-
-    return _let(_placed(keys, seed), fill)
 
+def peel(difference: Column) -> Column:
+    """Number of digests that peeling a difference of sketches recovers; null if it stalls."""
+    single = lambda table: F.array_distinct(F.filter(table, lambda c: (c != 0) & (_seal(F.shiftrightunsigned(c, 16)) == c.bitwiseAND(F.lit(0xFFFF)))))
+    without = lambda table, got: F.concat(*[F.transform(F.slice(table, 1 + j * SLOTS, SLOTS), _taken(got, j)) for j in range(3)])
+    state = lambda table, n: F.struct(table.alias("table"), n.alias("found"))
+    step = lambda st, _: _let(single(st.table), lambda got: F.when(F.size(got) == 0, st).otherwise(state(without(st.table, got), st.found + F.size(got))))
+    done = lambda st: F.when(F.forall(st.table, lambda c: c == 0), st.found)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(difference, F.lit(0)), step, done)
 
-def peel(left: Column, right: Column, seed: int = 0) -> Column:
-    """Number of digests that peeling the difference of two groups recovers; null if it stalls."""
-    diff = F.zip_with(left, right, lambda a, b: _cell(a.n - b.n, a.x.bitwiseXOR(b.x), a.c.bitwiseXOR(b.c)))
 
-    def single(table):
-        pure = F.filter(table, lambda c: (F.abs(c.n) == 1) & (c.c == _check(c.x)))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(c.x.alias("k"), c.n.alias("n"))))
+def _taken(got: Column, subtable: int):
+    return lambda c, i: _put(c, got, subtable, i)
 
-    def without(table, found):
-        spots = F.transform(found, lambda p: F.struct(p.k.alias("k"), p.n.alias("n"), _check(p.k).alias("h"), *[(F.pmod(F.xxhash64(p.k, F.lit(seed + j)), F.lit(SLOTS)) + F.lit(j * SLOTS)).cast("int").alias(f"i{j}") for j in range(3)]))
-        take = lambda a, p: _cell(a.n - p.n, a.x.bitwiseXOR(p.k), a.c.bitwiseXOR(p.h))
-        return _let(spots, lambda s: F.transform(table, lambda c, i: F.aggregate(F.filter(s, lambda p: (p.i0 == i) | (p.i1 == i) | (p.i2 == i)), c, take)))
 
-    state = lambda table, n: F.struct(table.alias("table"), n.alias("found"))
-    step = lambda st, _: _let(single(st.table), lambda got: F.when(F.size(got) == 0, st).otherwise(state(without(st.table, got), st.found + F.size(got))))
-    done = lambda st: F.when(F.forall(st.table, lambda c: (c.n == 0) & (c.x == 0)), st.found)
-    empty = F.forall(diff, lambda c: (c.n == 0) & (c.x == 0))
-    return F.when(empty, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(diff, F.lit(0)), step, done))
+def subtract(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: a.bitwiseXOR(b))
 
 
-def _grouped(keys: Column, side: Column, seed: int) -> Column:
-    """Keys in ``side`` x ``side`` groups, split by one hash and then by another."""
-    part = lambda ks, s: F.transform(F.sequence(F.lit(0), side - 1), lambda g: F.filter(ks, lambda k: F.pmod(F.xxhash64(k, F.lit(s)), side) == g))
-    return F.flatten(F.transform(part(keys, seed + 10), lambda ks: part(ks, seed + 11)))
+def _groups(keys: Column, side: Column) -> Column:
+    """Keys in ``side`` x ``side`` groups, split by some bits and then by others."""
+    part = lambda ks, shift: F.transform(F.sequence(F.lit(0), side - 1), lambda g: F.filter(ks, lambda k: F.pmod(F.shiftrightunsigned(k, shift).bitwiseAND(F.lit(0xFFFFF)), side) == g))
+    return F.flatten(F.transform(part(keys, 26), lambda ks: part(ks, 44)))
 
 
 def retry(left: Column, right: Column, per_group: int, seed: int) -> Column:
-    """The difference's size from sketches of as many groups as ``per_group`` asks for; null if one stalls."""
+    """The difference's size from sketches of as many groups as ``per_group`` asks for; null if one stalls.
+
+    A difference of sketches is the sketch of both versions' digests put in together.
+    """
     side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(left) + F.size(right)) / per_group)).cast("int"))
+    again = F.transform(F.concat(left, right), lambda k: _sealed(F.xxhash64(k, F.lit(seed))))
 
-    def run(s):
-        pairs = F.arrays_zip(_grouped(left, s, seed).alias("a"), _grouped(right, s, seed).alias("b"))
-        found = F.transform(pairs, lambda p: F.when((F.size(p["a"]) + F.size(p["b"])) == 0, F.lit(0)).otherwise(peel(cells(p["a"], seed), cells(p["b"], seed), seed)))
+    def run(both):
+        found = F.transform(_groups(F.element_at(both, 1)["k"], F.element_at(both, 1)["s"]), lambda g: F.when(F.size(g) == 0, F.lit(0)).otherwise(peel(cells(g))))
         return _let(found, lambda f: F.when(~F.exists(f, lambda n: n.isNull()), F.aggregate(f, F.lit(0), lambda a, n: a + n)))
 
-    return _let(side, run)
+    return _let(F.array(F.struct(again.alias("k"), side.alias("s"))), run)
 
 
 def with_difference(df: DataFrame, name: str, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
     """``df`` with the number of digests that differ between two versions, each a (digests, sketch) pair of columns."""
-    df = df.withColumn(name, peel(F.col(left[1]), F.col(right[1])))
+    df = df.withColumn(name, peel(subtract(F.col(left[1]), F.col(right[1]))))
     for k, per_group in enumerate(RETRIES):
-        df = df.withColumn(name, F.when(F.col(name).isNull(), retry(F.col(left[0]), F.col(right[0]), per_group, _SEEDS * (k + 1))).otherwise(F.col(name)))
+        df = df.withColumn(name, F.when(F.col(name).isNull(), retry(F.col(left[0]), F.col(right[0]), per_group, k + 1)).otherwise(F.col(name)))
     exact = F.size(F.array_except(left[0], right[0])) + F.size(F.array_except(right[0], left[0]))
     return df.withColumn(name, F.coalesce(F.col(name), exact))
 
@@ -117,12 +116,11 @@ def likeness(difference: Column, left: Column, right: Column) -> Column:
 
 def text_of(sketch: Column) -> Column:
     """A sketch as a hexadecimal string."""
-    word = lambda v: F.lpad(F.hex(v), 16, "0")
-    return F.lower(F.array_join(F.transform(sketch, lambda c: F.concat(F.lpad(F.hex(c.n), 4, "0"), word(c.x), word(c.c))), ""))
+    return F.lower(F.array_join(F.transform(sketch, lambda c: F.lpad(F.hex(c), 16, "0")), ""))
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``(doc_id, t, keys, next_t, next_keys)``: every document beside the next by falling id, the last beside the first."""
+    """``(doc_id, t, keys, sketch, next_t, next_keys, next_sketch)``: every document beside the next by falling id, the last beside the first."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -139,16 +137,16 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     both = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("copy")), F.struct(goes.cast("int").alias("b"), F.lit(True).alias("copy")))
     spread = rows.withColumn("place", F.explode(F.when(goes.isNotNull(), both).otherwise(places))).select("doc_id", "t", "place.b", "place.copy")
     order = Window.partitionBy("b").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("t"))
-    keyed = spread.withColumn("keys", digests(F.col("t")))
-    ahead = keyed.withColumns({"next_t": F.lead("t").over(order), "next_keys": F.lead("keys").over(order)})
-    return ahead.where(~F.col("copy")).select("doc_id", "t", "keys", "next_t", "next_keys")
+    keyed = spread.withColumn("keys", digests(F.col("t"))).withColumn("sketch", cells(F.col("keys")))
+    ahead = keyed.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("t", "keys", "sketch")})
+    return ahead.where(~F.col("copy")).drop("b", "copy")
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next's."""
     edited = F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 2) as int))"), F.expr("substring(next_t, 1, cast(floor(length(t) / 2) as int))"))
-    df = with_next(docs).withColumn("edited", edited).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"))
-    df = df.withColumns({"sketch": cells(F.col("keys")), "edited_sketch": cells(F.col("edited_keys")), "next_sketch": cells(F.col("next_keys"))})
+    df = with_next(docs).withColumn("edited", edited).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "sketch", "next_keys", "next_sketch", digests(F.col("edited")).alias("edited_keys"))
+    df = df.withColumn("edited_sketch", cells(F.col("edited_keys")))
     df = with_difference(df, "d_edited", ("keys", "sketch"), ("edited_keys", "edited_sketch"))
     df = with_difference(df, "d_next", ("keys", "sketch"), ("next_keys", "next_sketch"))
     return df.select(
