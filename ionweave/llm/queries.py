@@ -20,6 +20,22 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+#: Rules of the URL filter's contract (fixed values).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm.url_trust import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionweave.llm.simhash_mih import near_duplicates
 
@@ -35,6 +51,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionweave.llm import rule_quality
 
@@ -58,10 +80,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_url_trust": op3_url_trust,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_paragraph_sketch": op6_paragraph_sketch,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_html_crf": op9_html_crf,
     "op10_rule_quality": op10_rule_quality,
 }
 
