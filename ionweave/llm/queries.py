@@ -66,6 +66,14 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= rule_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ionweave.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionweave.llm.paragraph_sketch import edits
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_url_trust": op3_url_trust,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_token_count": op5_token_count,
     "op6_paragraph_sketch": op6_paragraph_sketch,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
