@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import crc_mod, table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ionweave.llm.pitman_yor import score
+
+    scored = score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,6 +94,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_url_trust": op3_url_trust,
     "op4_simhash_dedup": op4_simhash_dedup,
