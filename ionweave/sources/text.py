@@ -54,7 +54,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
         _value(b, "RTINSECONDS").cast("double").alias("retention_time"),
         mgf_to_proforma(_value(b, "SEQ")).alias("peptide"),
         b.rlike(r"(?mi)^DECOY=").alias("is_decoy"),
-        _peaks(F.regexp_extract_all(b, F.lit(rf"(?m)^\s*({NUMBER}\s+{NUMBER})(?:\s.*)?$"), 1)).alias("peaks"),
+        _peaks(F.regexp_extract_all(b, F.lit(rf"(?m)^[ \t]*({NUMBER}[ \t]+{NUMBER})(?:[ \t].*)?$"), 1)).alias("peaks"),
     )
 
 
@@ -62,7 +62,7 @@ def read_sptxt(spark: SparkSession, path: str) -> DataFrame:
     """Text spectral library: blocks from ``Name:``; ids are their places, from 1."""
     b = F.col("block")
     one = lambda pattern, k=1: F.nullif(F.regexp_extract(b, pattern, k), F.lit(""))
-    sequence = one(r"(?m)^(?:Name:\s*)?(?:n\[\d+\])?([A-Za-z\[\]0-9]+)/\d+")
+    sequence = one(r"(?m)^[ \t]*(?:Name:[ \t]*)?(?:n\[\d+\])?([A-Za-z\[\]0-9]+)/\d+")
     plain = F.regexp_replace(sequence, r"\[\d+\]", "")
     mz = F.coalesce(one(rf"(?m)^PrecursorMZ:\s*({NUMBER})"), one(rf"Parent=({NUMBER})")).cast("double")
     return _ordered(spark, path, "\nName:", r"(?m)^(?:Name:)?\s*\S+/\d+").select(
