@@ -238,7 +238,7 @@ def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[list[Block], list
         base = (*above, pick(PARTS_OTHER[kind]))
         for _ in range(int(rng.integers(1, 6 if kind in ("nav", "side", "comments") else 3))):
             text = pick(SAYINGS[kind]) if kind in SAYINGS and rng.random() < 0.5 else prose(1, 4) if kind == "nav" else prose(2, 40)
-            inner = {"nav": [("ul", "li"), ("li",), ()], "comments": [("p",), ("div.comment", "p"), ("li", "p"), ()], "side": [("ul", "li"), ("h3",), ("p",), ()]}.get(kind, [("p",), (), ("div",), ("label",) if kind == "form" else ("span",)])
+            inner = {"nav": [("ul", "li"), ("li",), ()], "comments": [("p",), ("div.comment", "p"), ("li", "p"), ()], "side": [("ul", "li"), ("h3",), ("p",), ()], "header": [("h1",), ("h2",), ("p",), ("div",), ()]}.get(kind, [("p",), (), ("div",), ("label",) if kind == "form" else ("span",)])
             linked = len(text) if kind == "nav" or (kind in ("side", "share", "ad") and rng.random() < 0.5) else 0
             yield Block((*base, *(t for t in pick(inner) if t != "span")), text, linked)
 
