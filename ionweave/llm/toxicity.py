@@ -37,6 +37,8 @@ THRESHOLD = 0.3
 #: A positive instance's least log odds, and the least share of toxic documents that have it at first.
 ODDS, SUPPORT = 3.0, 0.008
 NOTHING = -3.0
+#: Documents at a time, words remembered and words at a time, which bound a task's memory.
+SLICE, KEPT, WORDS = 400, 250_000, 4000
 _SPACED = re.compile(r"(?<!\S)(?:[^\s](?:[ \t]+|$)){4,}")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -77,7 +79,7 @@ def features(words: list[str]):
     for n in np.unique(lens):
         at = np.flatnonzero(lens == n)
         i, j, k, w = _triples(int(n) + 2)
-        for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000 + 1)):
+        for part in np.array_split(at, max(1, len(at) * len(i) // 500_000 + 1)):
             if not len(part):
                 continue
             c = np.array([_codes(words[x]) for x in part], dtype=np.int64)
@@ -120,9 +122,9 @@ class ToxicModel:
         parts = [pieces(t) for t in tokens]
         flat = [p for ps in parts for p in ps]
         own = np.full(len(flat), self.bias)
-        for lo in range(0, len(flat), 20_000):
-            r, f, w = features(flat[lo : lo + 20_000])
-            own[lo : lo + 20_000] += np.bincount(r, w * self.table[f], len(flat[lo : lo + 20_000]))
+        for lo in range(0, len(flat), WORDS):
+            r, f, w = features(flat[lo : lo + WORDS])
+            own[lo : lo + WORDS] += np.bincount(r, w * self.table[f], len(flat[lo : lo + WORDS]))
         out = np.full(len(tokens), NOTHING)
         np.maximum.at(out, np.repeat(np.arange(len(tokens)), [len(p) for p in parts]), np.clip(own, NOTHING, 3.0))
         return out
@@ -206,8 +208,9 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 5) -> ToxicModel:
         p = 0.5 if not len(y) else (nt + 0.5) / (len(y) + 1)
         return ToxicModel(np.zeros(1 << 18), 0.0, (0.0,) * WORST + (float(np.log(p / (1 - p))),))
     tox, clean, families = Counter(), Counter(), set()
-    for d, label in zip(docs, y):
-        family = (int(label), min(map(_hash, d), default=0))  # near copies mostly share their least word hash
+    for d, label, t in zip(docs, y, seen):
+        w = t.split()
+        family = (int(label), min((_hash(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0))  # near copies mostly share their least shingle hash
         if family not in families or not label:
             (tox if label else clean).update(d)
         families.add(family)
@@ -273,9 +276,9 @@ def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in batches:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             sets = [units(t) if t else set() for t in b.column(at).to_pylist()]
-            if len(known) > 400_000:
+            if len(known) > KEPT:
                 known.clear()
             new = list(set().union(*sets).difference(known)) if sets else []
             known.update(zip(new, model.margins(new).tolist()))
