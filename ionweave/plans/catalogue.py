@@ -18,7 +18,6 @@ from ionweave.plans.fixtures import ALIGNED, CAND, PAIR, PEAK, RAW, SIDES, SPEC,
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-P = F.col("peaks")
 
 
 def query(sql: str | None = None):
@@ -37,7 +36,7 @@ def r6(c, name: str):
 
 def peaks_summary(df: DataFrame) -> DataFrame:
     """Peaks of each spectrum as a count and rounded sums."""
-    return df.select("id", F.size(P).alias("n"), r6(pre.total(pre.field(P, "mz")), "sum_mz"), r6(pre.total(pre.field(P, "intensity")), "sum_intensity"))
+    return df.select("id", F.size(F.col("peaks")).alias("n"), r6(pre.total(pre.field(F.col("peaks"), "mz")), "sum_mz"), r6(pre.total(pre.field(F.col("peaks"), "intensity")), "sum_intensity"))
 
 
 SUMMARY = "count(*) AS n, round(sum(mz), 6) AS sum_mz, round(sum(intensity), 6) AS sum_intensity"
@@ -51,12 +50,12 @@ def preprocess_mz_range(spark, d):
 
 @query(f"WITH {SPEC}, {PEAK} SELECT id, coalesce(count(mz) >= 25 AND max(mz) - min(mz) >= 1500, false) AS is_valid FROM spec LEFT JOIN peak USING (id) GROUP BY id")
 def spectrum_validity(spark, d):
-    return fx.in_range(spark, d).select("id", pre.is_valid(P, 25, 1500.0).alias("is_valid"))
+    return fx.in_range(spark, d).select("id", pre.is_valid(F.col("peaks"), 25, 1500.0).alias("is_valid"))
 
 
 @query(f"WITH {SPEC}, {RAW} SELECT id, mz, sum(intensity) AS intensity FROM (SELECT id, round(mz, -1) AS mz, intensity FROM raw JOIN spec USING (id)) GROUP BY ALL")
 def round_merge_peaks(spark, d):
-    merged = fx.spectra(spark, d).select("id", F.explode(pre.round_and_merge(P, -1)).alias("p"))
+    merged = fx.spectra(spark, d).select("id", F.explode(pre.round_and_merge(F.col("peaks"), -1)).alias("p"))
     return merged.select("id", "p.mz", "p.intensity")
 
 
@@ -65,23 +64,23 @@ def round_merge_peaks(spark, d):
     f"SELECT id, {SUMMARY} FROM peak JOIN spec USING (id) WHERE NOT EXISTS (SELECT 1 FROM spot WHERE spot.id = peak.id AND abs(peak.mz - spot.m) <= 5.03) GROUP BY id"
 )
 def remove_precursor_peak(spark, d):
-    kept = pre.without_precursor(P, F.col("precursor_mz"), F.col("precursor_charge"), 5.03)
+    kept = pre.without_precursor(F.col("peaks"), F.col("precursor_mz"), F.col("precursor_charge"), 5.03)
     return peaks_summary(fx.in_range(spark, d).withColumn("peaks", kept)).where("n > 0")
 
 
 @query(f"WITH {SPEC}, {PEAK}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) AS place FROM (SELECT *, max(intensity) OVER (PARTITION BY id) AS m FROM peak JOIN spec USING (id)) WHERE intensity > m * 0.1) SELECT id, {SUMMARY} FROM k WHERE place <= 20 GROUP BY id")
 def topk_peaks(spark, d):
-    return peaks_summary(fx.in_range(spark, d).withColumn("peaks", pre.filter_intensity(P, 0.1, 20))).where("n > 0")
+    return peaks_summary(fx.in_range(spark, d).withColumn("peaks", pre.filter_intensity(F.col("peaks"), 0.1, 20))).where("n > 0")
 
 
 @query(f"WITH {SPEC}, {PEAK} SELECT id, round(mz, 6) AS mz, 50.0 - (row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) - 1) AS rank_intensity FROM peak JOIN spec USING (id)")
 def rank_scale(spark, d):
-    return fx.in_range(spark, d).select("id", F.explode(pre.scale(P, "rank", 50)).alias("p")).select("id", r6(F.col("p.mz"), "mz"), F.col("p.intensity").alias("rank_intensity"))
+    return fx.in_range(spark, d).select("id", F.explode(pre.scale(F.col("peaks"), "rank", 50)).alias("p")).select("id", r6(F.col("p.mz"), "mz"), F.col("p.intensity").alias("rank_intensity"))
 
 
 @query(f"WITH {SPEC}, {PEAK} SELECT id, round(mz, 6) AS mz, round(unit, 6) AS unit FROM peak JOIN spec USING (id)")
 def l2_normalise(spark, d):
-    return fx.in_range(spark, d).select("id", F.explode(pre.normalise(pre.scale(P, "root", 50))).alias("p")).select("id", r6(F.col("p.mz"), "mz"), r6(F.col("p.intensity"), "unit"))
+    return fx.in_range(spark, d).select("id", F.explode(pre.normalise(pre.scale(F.col("peaks"), "root", 50))).alias("p")).select("id", r6(F.col("p.mz"), "mz"), r6(F.col("p.intensity"), "unit"))
 
 
 @query("SELECT p_partkey AS id, unnest(CASE WHEN p_size > 25 THEN [2, 3] ELSE [2 + p_size % 2] END) AS precursor_charge FROM part")
