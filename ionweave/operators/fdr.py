@@ -19,10 +19,13 @@ def q_values(ssms: DataFrame, score: str = "score", decoy: str = "is_decoy", gro
     """
     keys = list(groups)
     level = ssms.groupBy(*keys, score).agg(F.count(F.when(F.col(decoy), 1)).alias("d"), F.count(F.when(~F.col(decoy), 1)).alias("t"))
-    ranged = level.repartitionByRange(*[F.col(k) for k in keys], F.col(score).desc()).withColumn("lot", F.spark_partition_id())
+    n = max(1, int(ssms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = ssms.agg(F.percentile_approx(score, [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []  # ``n`` scores
+    above = F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda m: m > F.col(score))) if marks else F.lit(0)
+    ranged = level.withColumn("lot", above)
     from_top = Window.partitionBy(*keys, "lot").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     lots = ranged.groupBy(*keys, "lot").agg(F.sum("d").alias("ld"), F.sum("t").alias("lt"), F.max(score).alias("top"))
-    before = Window.partitionBy(*keys).orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = Window.partitionBy(*keys).orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     lots = lots.select(*keys, "lot", F.coalesce(F.sum("ld").over(before), F.lit(0)).alias("bd"), F.coalesce(F.sum("lt").over(before), F.lit(0)).alias("bt"))
     counted = _null_safe(ranged, lots, [*keys, "lot"])
     d, t = F.sum("d").over(from_top) + F.col("bd"), F.sum("t").over(from_top) + F.col("bt")
