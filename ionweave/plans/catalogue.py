@@ -73,7 +73,7 @@ def topk_peaks(spark, d):
     return peaks_summary(fx.in_range(spark, d).withColumn("peaks", pre.filter_intensity(F.col("peaks"), 0.1, 20))).where("n > 0")
 
 
-@query(f"WITH {SPEC}, {PEAK} SELECT id, round(mz, 6) AS mz, 50.0 - (row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) - 1) AS rank_intensity FROM peak JOIN spec USING (id)")
+@query(f"WITH {SPEC}, {PEAK} SELECT id, round(mz, 6) AS mz, CAST(51 - row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) AS DOUBLE) AS rank_intensity FROM peak JOIN spec USING (id)")
 def rank_scale(spark, d):
     return fx.in_range(spark, d).select("id", F.explode(pre.scale(F.col("peaks"), "rank", 50)).alias("p")).select("id", r6(F.col("p.mz"), "mz"), F.col("p.intensity").alias("rank_intensity"))
 
@@ -424,7 +424,7 @@ def mass_group_stats(spark, d):
     return analysis.mass_group_stats(table(spark, d, "events"), "user_id", "value").withColumn("mean_diff", F.round("mean_diff", 6))
 
 
-@query("SELECT w, round(quantile_cont(abs(value - round(value / w) * w), 0.5), 6) AS mad FROM events, (SELECT unnest([1.0, 0.4, 0.2, 0.1, 0.04, 0.02]) AS w) GROUP BY 1")
+@query("SELECT w, round(quantile_cont(abs(value - round(value / w) * w), 0.5), 6) AS mad FROM events, (SELECT CAST(unnest([1.0, 0.4, 0.2, 0.1, 0.04, 0.02]) AS DOUBLE) AS w) GROUP BY 1")
 def mad_grid(spark, d):
     grid = table(spark, d, "events").select("value", F.explode(F.array(*[F.lit(w) for w in (1.0, 0.4, 0.2, 0.1, 0.04, 0.02)])).alias("w")).withColumn("near", F.round(F.col("value") / F.col("w")) * F.col("w"))
     return analysis.absolute_deviation(grid, ["w"], "value", "near").withColumn("mad", F.round("mad", 6))
@@ -490,7 +490,7 @@ def distinct_peptides(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("peptide")).distinct()
 
 
-@query("SELECT p_partkey, w, n, round(p_retailprice / w / n, 6) AS score FROM part, (SELECT unnest([1.0, 0.4, 0.2]) AS w), (SELECT unnest([100, 400, 800]) AS n)")
+@query("SELECT p_partkey, w, n, round(p_retailprice / w / n, 6) AS score FROM part, (SELECT CAST(unnest([1.0, 0.4, 0.2]) AS DOUBLE) AS w), (SELECT unnest([100, 400, 800]) AS n)")
 def parameter_grid(spark, d):
     grid = spark.createDataFrame([(w, n) for w in (1.0, 0.4, 0.2) for n in (100, 400, 800)], "w double, n int")
     return table(spark, d, "part").select("p_partkey", "p_retailprice").join(F.broadcast(grid)).select("p_partkey", "w", "n", r6(F.col("p_retailprice") / F.col("w") / F.col("n"), "score"))  # nine settings
@@ -503,9 +503,9 @@ def greedy_mass_groups(spark, d):
 
 
 # --- strings -----------------------------------------------------------------------------------
-@query("SELECT p_partkey, [lower(regexp_extract(p_name, '^[^0-9]+')), lpad(CAST(p_partkey AS VARCHAR), 20, '0')] AS key FROM (SELECT p_partkey, 'Part' AS p_name FROM part)")
+@query("SELECT p_partkey, lower(regexp_extract(p_name, '^[^0-9]+')) || '|' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS key FROM (SELECT p_partkey, 'Part' AS p_name FROM part)")
 def natural_sort(spark, d):
-    return table(spark, d, "part").select("p_partkey", seq.natural_key(F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))).alias("key")).orderBy("key")
+    return table(spark, d, "part").select("p_partkey", F.array_join(seq.natural_key(F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))), "|").alias("key")).orderBy("key")
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type)::DOUBLE AS edits, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS share FROM part")
@@ -542,7 +542,7 @@ def ion_type_codes(spark, d):
     return table(spark, d, "part").select("p_partkey", seq.encode_ion_type(ion).alias("code")).withColumn("name", seq.decode_ion_type(F.col("code")))
 
 
-@query("SELECT event_id, round((event_id // 60) * 60 + event_id % 60 + 0.25, 6) AS seconds FROM events")
+@query("SELECT event_id, CAST((event_id // 60) * 60 + event_id % 60 + 0.25 AS DOUBLE) AS seconds FROM events")
 def log_times(spark, d):
     from ionweave.sources.text import seconds
 
