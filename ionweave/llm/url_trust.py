@@ -68,7 +68,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     for k in range(steps):
         moved = share.join(mass, share.src == mass.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
         back = mass.join(sources, mass.host == sources.src, "left_anti").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("back"))
-        home = start.crossJoin(back).select("host", (F.col("mass") * (1 - damping + damping * F.col("back"))).alias("mass"))  # one row of ``back``
+        home = start.select("host", (F.col("mass") * (1 - damping + damping * back.scalar())).alias("mass"))
         mass = moved.select("host", (F.col("mass") * damping).alias("mass")).unionByName(home).groupBy("host").agg(F.sum("mass").alias("mass"))
         mass = cut(mass) if k % 3 == 2 or k == steps - 1 else mass
     return mass
