@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ionweave.operators.preprocess import by_intensity, field, total
+from ionweave.operators.preprocess import by_intensity, field, let, total
 from ionweave.operators.vectorize import dimensions
 
 INF = float("inf")
@@ -39,6 +39,20 @@ class Aligned:
         self.iq, self.il = field(q, "intensity"), field(lib, "intensity")
         self.none = F.size(used) == 0
 
+    @classmethod
+    def on(cls, df: DataFrame, q: str, lib: str, matches: str, top: int | None = None) -> tuple[DataFrame, Aligned]:
+        """``df`` with the arrays as columns (dropped again by ``off``), and the aligned pair that reads them."""
+        s = cls(F.col(q), F.col(lib), F.col(matches), top)
+        names = ("Q", "L", "mQ", "mL", "uQ", "uL", "iq", "il", "none")
+        df = df.withColumns({f"_aligned{top or ''}_{n}": getattr(s, n) for n in names})
+        for n in names:
+            setattr(s, n, F.col(f"_aligned{top or ''}_{n}"))
+        return df, s
+
+    @staticmethod
+    def off(df: DataFrame) -> DataFrame:
+        return df.drop(*[c for c in df.columns if c.startswith("_aligned")])
+
     def or_else(self, value: Column, empty: float) -> Column:
         return F.when(self.none, F.lit(empty)).otherwise(value)
 
@@ -180,10 +194,6 @@ def _entropy(p: Column) -> Column:
     return -summed(p, lambda v: F.when(v > 0, v / mass * F.log(v / mass)).otherwise(F.lit(0.0)))
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def entropy(s: Aligned, weighted: bool = False) -> Column:
     """One less the merged spectrum's excess entropy; weighting raises low-entropy intensities to a power first."""
     s.whole_only("entropy")
@@ -191,7 +201,7 @@ def entropy(s: Aligned, weighted: bool = False) -> Column:
     def of(a: Column) -> Column:
         if not weighted:
             return _entropy(a)
-        return _let(_entropy(a), lambda h: F.when(h > 3, h).otherwise(_entropy(F.transform(a, lambda v: F.pow(v, 0.25 + 0.25 * h)))))
+        return let(_entropy(a), lambda h: F.when(h > 3, h).otherwise(_entropy(F.transform(a, lambda v: F.pow(v, 0.25 + 0.25 * h)))))
 
     merged = F.concat(F.zip_with(s.Q, s.L, lambda a, b: (a + b) / 2), F.transform(F.concat(s.uQ, s.uL), lambda v: v / 2))
     return s.or_else(1 - (2 * of(merged) - of(s.iq) - of(s.il)) / math.log(4), 0.0)
@@ -262,9 +272,10 @@ def kendalltau(s: Aligned) -> Column:
     return score(s.Q, s.L)
 
 
-def features(q: Column, lib: Column, matches: Column, min_mz: float, max_mz: float, bin_size: float, top: int = 5) -> dict[str, Column]:
-    """All similarity features of a pair: over all peaks and over the ``top`` strongest of the library."""
-    a, t = Aligned(q, lib, matches), Aligned(q, lib, matches, top)
+def with_features(df: DataFrame, q: str, lib: str, matches: str, min_mz: float, max_mz: float, bin_size: float, top: int = 5) -> tuple[DataFrame, list[str]]:
+    """``df`` with all similarity features, over all peaks and over the ``top`` strongest of the library, and their names."""
+    df, a = Aligned.on(df, q, lib, matches)
+    df, t = Aligned.on(df, q, lib, matches, top)
     out: dict[str, Column] = {}
     for name in ("cosine", "n_matched_peaks", "frac_n_peaks_library", "frac_intensity_library", "spectral_contrast_angle", "kendalltau", "ms_for_id_v1", "pearsonr", "spearmanr", "scribe_fragment_acc"):
         out[name], out[f"{name}_top"] = globals()[name](a), globals()[name](t)
@@ -274,4 +285,4 @@ def features(q: Column, lib: Column, matches: Column, min_mz: float, max_mz: flo
     for name in ("frac_n_peaks_query", "frac_intensity_query", "ms_for_id_v2", "manhattan", "euclidean", "chebyshev", "braycurtis", "canberra", "ruzicka"):
         out[name] = globals()[name](a)
     out["entropy_unweighted"], out["entropy_weighted"] = entropy(a), entropy(a, weighted=True)
-    return out
+    return Aligned.off(df.withColumns(out)), list(out)

@@ -85,17 +85,30 @@ def normalise(peaks: Column) -> Column:
     return with_intensity(peaks, lambda p: p["intensity"] / length)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def process(spectra: DataFrame, cfg: SearchConfig, is_library: bool) -> DataFrame:
-    """Valid spectra with cleaned, scaled and normalised peaks; a spectrum that fails any check is dropped."""
+    """Valid spectra with cleaned, scaled and normalised peaks; a spectrum that fails any check is dropped.
+
+    The steps are one expression, each step evaluated once and only if the check after the last holds.
+    """
     most = cfg.max_peaks_used_library if is_library else cfg.max_peaks_used
-    valid = is_valid(F.col("peaks"), cfg.min_peaks, cfg.min_mz_range)
-    df = spectra.withColumn("peaks", mz_range(by_mz(F.col("peaks")), cfg.min_mz, cfg.max_mz)).where(valid)
+    steps = [lambda p: mz_range(by_mz(p), cfg.min_mz, cfg.max_mz)]
     if cfg.resolution is not None:
-        df = df.withColumn("peaks", round_and_merge(F.col("peaks"), cfg.resolution)).where(valid)
+        steps.append(lambda p: round_and_merge(p, cfg.resolution))
     if cfg.remove_precursor:
-        df = df.withColumn("peaks", without_precursor(F.col("peaks"), F.col("precursor_mz"), F.col("precursor_charge"), cfg.remove_precursor_tolerance)).where(valid)
-    df = df.withColumn("peaks", filter_intensity(F.col("peaks"), cfg.min_intensity, most)).where(valid)
-    return df.withColumn("peaks", normalise(scale(F.col("peaks"), cfg.scaling, most)))
+        steps.append(lambda p: without_precursor(p, F.col("precursor_mz"), F.col("precursor_charge"), cfg.remove_precursor_tolerance))
+    steps.append(lambda p: filter_intensity(p, cfg.min_intensity, most))
+
+    def chain(peaks: Column, left: list) -> Column:
+        if not left:
+            return let(scale(peaks, cfg.scaling, most), normalise)
+        return let(left[0](peaks), lambda p: F.when(is_valid(p, cfg.min_peaks, cfg.min_mz_range), chain(p, left[1:])))
+
+    return spectra.withColumn("peaks", chain(F.col("peaks"), steps)).where(F.col("peaks").isNotNull())
 
 
 def expand_charge(queries: DataFrame, charges: tuple[int, ...] = (2, 3)) -> DataFrame:

@@ -206,8 +206,7 @@ def annotated_match(spark, d):
 
 # --- similarities ------------------------------------------------------------------------------
 def similarity(spark, d, **columns) -> DataFrame:
-    s = fx.best(spark, d)
-    a = sim.Aligned(F.col("q_peaks"), F.col("l_peaks"), F.col("matches"))
+    s, a = sim.Aligned.on(fx.best(spark, d), "q_peaks", "l_peaks", "matches")
     return s.select("query_id", *[r6(f(a), n) for n, f in columns.items()])
 
 
@@ -267,9 +266,8 @@ def sim_kendall(spark, d):
 
 @query()
 def similarity_features(spark, d):
-    s = fx.best(spark, d)
-    named = sim.features(F.col("q_peaks"), F.col("l_peaks"), F.col("matches"), 11.0, 2010.0, 0.04)
-    return s.select("query_id", *[r6(c, n) for n, c in named.items()])
+    s, names = sim.with_features(fx.best(spark, d), "q_peaks", "l_peaks", "matches", 11.0, 2010.0, 0.04)
+    return s.select("query_id", *[r6(F.col(n), n) for n in names])
 
 
 @query(f"WITH {ALIGNED} SELECT b.query_id, round((q.precursor_mz - l.precursor_mz) * b.charge, 6) AS diff_da, round((q.precursor_mz - l.precursor_mz) / l.precursor_mz * 1e6, 3) AS diff_ppm, b.charge <= 2 AS charge_2, b.charge = 3 AS charge_3, b.charge = 4 AS charge_4, b.charge >= 5 AS charge_5, length(l.peptide) AS sequence_len, NOT l.is_decoy AS is_target FROM best b JOIN spec q ON q.id = b.query_id JOIN spec l ON l.id = b.library_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.config import SearchConfig
-from ionweave.functions.similarity import features
+from ionweave.functions.similarity import Aligned, cosine, with_features
 from ionweave.operators import ann, fdr, matching
 from ionweave.operators.candidates import library_counts, precursor_pairs, restrict
 from ionweave.operators.decoy import with_decoys
@@ -40,27 +40,24 @@ def match_level(queries: DataFrame, library: DataFrame, cfg: SearchConfig, level
     pairs = precursor_pairs(queries, library, tolerance, mode)
     if level == "open" and cfg.mode == "ann" and (near := neighbours(queries, library, cfg)) is not None:
         pairs = restrict(pairs, *near)
-    aligned = matching.align(matching.with_spectra(pairs, queries, library), cfg.fragment_mz_tolerance, cfg.allow_peak_shifts)
+    aligned = matching.align(matching.with_spectra(pairs, queries, library), cfg.fragment_mz_tolerance, cfg.allow_peak_shifts, native=False)
     return matching.best_match(aligned).withColumn("level", F.lit(level)).persist()  # a row a query, read for scores, groups and rates
 
 
 def score(matches: DataFrame, cfg: SearchConfig, grouped: bool) -> DataFrame:
     """Matches with features, ``score``, ``mass_group`` and ``q``; matches without a common peak have neither score nor q."""
     matches = matches.withColumn("ssm_id", F.xxhash64("query_id", "library_id", "charge"))
-    some = matches.where(F.size("matches") > 0)
-    named = features(F.col("q_peaks"), F.col("l_peaks"), F.col("matches"), cfg.min_mz, cfg.max_mz, cfg.bin_size) if cfg.model != "none" else None
     difference = (F.col("q_precursor_mz") - F.col("l_precursor_mz")) * F.col("charge")
-    some = some.withColumn("mass_diff", difference)
-    if named is None:
-        from ionweave.functions.similarity import Aligned, cosine
-
-        scored = some.withColumn("score", cosine(Aligned(F.col("q_peaks"), F.col("l_peaks"), F.col("matches"))))
+    some = matches.where(F.size("matches") > 0).withColumn("mass_diff", difference)
+    if cfg.model == "none":
+        some, pair = Aligned.on(some, "q_peaks", "l_peaks", "matches")
+        scored = Aligned.off(some.withColumn("score", cosine(pair)))
     else:
         ppm = (F.col("q_precursor_mz") - F.col("l_precursor_mz")) / F.col("l_precursor_mz") * 1e6
         extra = {"mass_diff_ppm": ppm, "mass_diff_da": difference, "abs_mass_diff_ppm": F.abs(ppm), "abs_mass_diff_da": F.abs(difference), "sequence_len": F.coalesce(F.length("peptide"), F.lit(0)).cast("double")}
         extra |= {f"charge_{n}": c.cast("double") for n, c in charge_flags().items()}
-        wide = some.withColumns(named | extra).persist()
-        scored = rescore(wide, [*named, *extra], cfg.model, cfg.fdr)
+        wide, names = with_features(some, "q_peaks", "l_peaks", "matches", cfg.min_mz, cfg.max_mz, cfg.bin_size)
+        scored = rescore(wide.withColumns(extra).persist(), [*names, *extra], cfg.model, cfg.fdr)
     grouped_by = ["mass_group"] if grouped else []
     scored = fdr.shift_groups(scored, least=cfg.fdr_min_group_size) if grouped else scored.withColumn("mass_group", F.lit(None).cast("int"))
     q = fdr.q_values(scored, groups=grouped_by).select("ssm_id", "score", "mass_group", "q")

@@ -86,6 +86,17 @@ def test_shifted_greedy_match(spark):
     assert matching.align(df, 0.02, True, annotated=True).first()["dot"] == 7.0
 
 
+def test_both_alignments_agree(spark):
+    rng = np.random.default_rng(8)
+    peaks = lambda: sorted(((float(m), float(i), None, None, int(z) or None) for m, i, z in zip(rng.uniform(100, 160, 20).round(1), rng.integers(1, 6, 20), rng.integers(0, 3, 20))), key=lambda p: p[:2])
+    rows = [(str(k), "l", 2, 500.0 + float(rng.uniform(-9, 9)), 500.0, peaks(), peaks()) for k in range(25)]
+    df = spark.createDataFrame(rows, f"query_id string, library_id string, charge int, q_precursor_mz double, l_precursor_mz double, q_peaks array<{PEAK}>, l_peaks array<{PEAK}>")
+    for shift in (False, True):
+        for annotated in (False, True):
+            a, b = (matching.align(df, 0.55, shift, annotated, native).orderBy("query_id").select("matches").collect() for native in (True, False))
+            assert a == b
+
+
 def test_index_recall(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
