@@ -6,8 +6,8 @@ carries how many words come before it, so reading a word adds up to its ordinal,
 ids. The automaton is one flat file in the shared folder; Spark hands it to each executor once and the
 workers map it into memory. Words it lacks are split and merged exactly by the tokenizer's rules.
 
-Counts are over all documents; the lexicon keeps the ``LEXICON`` most frequent words of at most ``WIDEST``
-bytes (which words it holds changes speed, never ids). Null and empty texts have no ids and decode
+Counts are over all documents; the lexicon keeps the most frequent words of at most ``WIDEST`` bytes, up
+to ``LEXICON`` (which words it holds changes speed, never ids). Null and empty texts have no ids and decode
 to the empty text; equal texts have equal ids; extra columns are ignored.
 """
 
@@ -30,9 +30,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import shared_dir
+from ionweave.llm.common import cut, shared_dir
 
-LEXICON, WIDEST, KEPT = 60_000, 48, 600_000
+LEXICON, WIDEST, KEPT, SLICE, LONG, SLOTS = 60_000, 48, 180_000, 1200, 48, (1 << 20) - 1
+NEVER = 1 << 60
+#: Words counted less often, in a task or in all, are not worth compiling.
+TASK_RARE, RARE = 2, 4
 #: White space of the tokenizer's patterns; Python's split() also takes these four control characters.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -63,67 +66,111 @@ class Tokenizer:
         self.split = regex.compile(pattern)
         letters = byte_letters()
         self.inner, self.last = [vocab.get(c) for c in letters], [vocab.get(c + self.end) for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # by a pair's two ids in one number
+        self.joined: list[int] = []  # the id that a merge of this rank makes
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.words: dict[str, list[int]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """The ids of one word's bytes: the pair of lowest rank, leftmost first, is joined until none is left."""
-        seq = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        seq = [s for s in seq if s is not None]
-        if len(seq) > 40:
-            return self._merge_long(seq)
-        get = self.merges.get
-        while len(seq) > 1:
-            best = min((m for m in map(get, zip(seq, seq[1:])) if m), default=None)
-            if best is None:
-                break
-            new, out, k, n = best[1], [], 0, len(seq)
-            while k < n:
-                if k + 1 < n and get((seq[k], seq[k + 1])) == best:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(seq[k])
-                    k += 1
-            seq = out
-        return seq
-
-    def _merge_long(self, seq: list[int]) -> list[int]:
-        """The same with a heap and linked neighbours, for very long words."""
-        n, get = len(seq), self.merges.get
+            self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank)
+            self.joined.append(vocab[a + b])
+        self.gaps = None in self.inner or None in self.last
+        fill = lambda ids: np.array([-1 if i is None else i for i in ids], np.int64)
+        self.inner_ids, self.last_ids, self.joined_ids = fill(self.inner), fill(self.last), np.array([*self.joined, 0], np.int64)
+        self.keys = np.array(sorted(self.ranks) or [-1], np.int64)
+        self.rank_of = np.array([self.ranks.get(k, NEVER) for k in self.keys.tolist()], np.int64)
+        spot = (self.keys * 0x9E3779B1 >> 7) & SLOTS
+        self.slots = np.full(SLOTS + 1, -1, np.int64)  # a key's place by its hash; -2 where several meet
+        self.slots[spot] = np.arange(len(self.keys))
+        met, n = np.unique(spot, return_counts=True)
+        self.slots[met[n > 1]] = -2
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs, ``NEVER`` for those that don't merge."""
+        key = left << 20 | right
+        at = self.slots[(key * 0x9E3779B1 >> 7) & SLOTS]
+        many = at == -2
+        if many.any():
+            at[many] = np.minimum(np.searchsorted(self.keys, key[many]), len(self.keys) - 1)
+        return np.where((at >= 0) & (self.keys[at] == key), self.rank_of[at], NEVER)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word's bytes: the pair of lowest rank, leftmost first, is joined until none is left.
+
+        Words of one length advance together, a join a step, so a step is a few array operations.
+        """
+        out: list[bytes] = [b""] * len(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lens).tolist():
+            rows = np.flatnonzero(lens == n)
+            if n > LONG or self.gaps:
+                for r in rows.tolist():
+                    out[r] = np.array(self._merge_long(words[r]), "<u4").tobytes()
+                continue
+            if not n:
+                continue
+            by = np.frombuffer(b"".join([words[r] for r in rows.tolist()]), np.uint8).reshape(-1, n)
+            ids = self.inner_ids[by]
+            ids[:, -1] = self.last_ids[by[:, -1]]
+            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+            while True:
+                size = ids.shape[1]
+                at = ranks.argmin(axis=1) if size > 1 else np.zeros(len(rows), np.int64)
+                best = ranks[np.arange(len(rows)), at] if size > 1 else np.full(len(rows), NEVER)
+                done = best == NEVER
+                if done.any():
+                    flat = ids[done].astype("<u4").tobytes()
+                    for k, r in enumerate(rows[done].tolist()):
+                        out[r] = flat[4 * size * k : 4 * size * (k + 1)]
+                    go = ~done
+                    rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+                if not len(rows):
+                    break
+                line = np.arange(len(rows))
+                ids[line, at] = self.joined_ids[best]
+                col = np.arange(size - 1)
+                ids = np.take_along_axis(ids, col + (col > at[:, None]), axis=1)
+                ranks = np.take_along_axis(ranks, (col := np.arange(size - 2)) + (col >= at[:, None]), axis=1)
+                left, right = np.flatnonzero(at > 0), np.flatnonzero(at < size - 2)
+                if len(left):
+                    ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+                if len(right):
+                    ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap and linked neighbours, for one very long word; bytes without a token are left out."""
+        seq = [s for s in [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]] if s is not None]
+        n, get, joined = len(seq), self.ranks.get, self.joined
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(m[0], k, seq[k], seq[k + 1], m[1]) for k in range(n - 1) if (m := get((seq[k], seq[k + 1])))]
+        heap = [(r, k, seq[k], seq[k + 1]) for k in range(n - 1) if (r := get(seq[k] << 20 | seq[k + 1], NEVER)) < NEVER]
         heapify(heap)
         while heap:
-            _, k, a, b, new = heappop(heap)
+            rank, k, a, b = heappop(heap)
             j = after[k]
             if seq[k] != a or j < 0 or seq[j] != b:
                 continue
+            new = joined[rank]
             seq[k], seq[j] = new, -1
             after[k] = after[j]
             if after[k] >= 0:
                 before[after[k]] = k
-                if m := get((new, seq[after[k]])):
-                    heappush(heap, (m[0], k, new, seq[after[k]], m[1]))
+                if (r := get(new << 20 | seq[after[k]], NEVER)) < NEVER:
+                    heappush(heap, (r, k, new, seq[after[k]]))
             p = before[k]
-            if p >= 0 and (m := get((seq[p], new))):
-                heappush(heap, (m[0], p, seq[p], new, m[1]))
+            if p >= 0 and (r := get(seq[p] << 20 | new, NEVER)) < NEVER:
+                heappush(heap, (r, p, seq[p], new))
         return [s for s in seq if s >= 0]
 
-    def word(self, run: str) -> list[int]:
-        """The ids of a run without white space."""
-        out = []
-        for piece in self.split.findall(run.replace("Σ", "σ").lower()):
-            ids = self.words.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= WIDEST and len(self.words) < KEPT:
-                    self.words[piece] = ids
-            out += ids
-        return out
+    def pieces_of(self, run: str) -> list[str]:
+        """The pieces of a run without white space."""
+        low = run.replace("Σ", "σ").lower()
+        return [low] if low.isalpha() else self.split.findall(low)
+
+    def words(self, runs: list[str]) -> list[bytes]:
+        """The packed ids of runs without white space."""
+        parts = [self.pieces_of(r) for r in runs]
+        distinct = list(dict.fromkeys(p for ps in parts for p in ps))
+        packed = dict(zip(distinct, self.merge_many([p.encode() for p in distinct])))
+        return [packed[ps[0]] if len(ps) == 1 else b"".join([packed[p] for p in ps]) for ps in parts]
 
     def runs(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """Whether a part is a special token, and its runs."""
@@ -135,8 +182,8 @@ class Tokenizer:
                 yield False, [r for r in _SPACE.split(part) if r] if _CONTROL.search(part) else part.split()
 
 
-def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
-    """The minimal acyclic automaton of ``words`` and their ids, as the bytes of its file."""
+def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
+    """The minimal acyclic automaton of ``words`` and their packed ids, as the bytes of its file."""
     keys = sorted(words)
     register: dict[tuple, int] = {}
     states: list[tuple] = []  # (final, ((byte, state), ...)) of frozen states
@@ -178,9 +225,8 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
             total += count[t]
         count[s] = total
     starts.append(len(labels))
-    flat = [i for k in keys for i in words[k]]
-    offsets = np.concatenate([[0], np.cumsum([len(words[k]) for k in keys])]).astype("<i4") if keys else np.zeros(1, "<i4")
-    parts = [np.array(x, "<i4").tobytes() for x in (starts, targets, skips)] + [offsets.tobytes(), np.array(flat, "<u4").tobytes(), bytes(finals), bytes(labels)]
+    offsets = np.concatenate([[0], np.cumsum([len(words[k]) // 4 for k in keys])]).astype("<i4") if keys else np.zeros(1, "<i4")
+    parts = [np.array(x, "<i4").tobytes() for x in (starts, targets, skips)] + [offsets.tobytes(), b"".join(words[k] for k in keys), bytes(finals), bytes(labels)]
     head = struct.pack("<8i", root, *map(len, parts))
     return head + b"".join(parts)
 
@@ -213,19 +259,23 @@ class Lexicon:
         return bytes(self.ids[4 * self.offsets[ordinal] : 4 * self.offsets[ordinal + 1]]) if self.finals[state] else None
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` of all runs without white space, counted in each task before the shuffle."""
+def word_counts(docs: DataFrame, least: int = 1) -> DataFrame:
+    """``(word, n)`` of all runs without white space, counted in each task before the shuffle.
+
+    Counts below ``least`` in a task are left out of its sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            some = [(w, c) for w, c in n.items() if c >= least]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([c for _, c in some], pa.int64())], ["word", "n"])
 
         n: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     n.update(t.split())
-            if len(n) > KEPT:
+            if len(n) > 3 * KEPT:
                 yield out()
                 n = Counter()
         yield out()
@@ -236,9 +286,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, size: int = LEXICON) -> str:
     """Compile the frequent words into the shared folder, register the file with Spark, return its name."""
     spark = docs.sparkSession
-    short = word_counts(docs).where(F.octet_length("word") <= WIDEST)
-    top = short.orderBy(F.desc("n"), "word").limit(size).collect()  # ``size`` short words
-    data = compile_lexicon({r["word"].encode(): tokenizer.word(r["word"]) for r in top})
+    short = cut(word_counts(docs, TASK_RARE).where((F.octet_length("word") <= WIDEST) & (F.col("n") >= RARE)))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, total = None, 0
+    for lv, n in sorted(short.groupBy(level).count().collect(), reverse=True):  # some hundred levels
+        if total + n > size:
+            break
+        least, total = lv, total + n
+    top = [r["word"] for r in short.where(level >= least).collect()] if least is not None else []  # at most ``size`` short words
+    data = compile_lexicon({w.encode(): ids for w, ids in zip(top, tokenizer.words(top))})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     jvm, target = spark._jvm, f"{shared_dir(spark)}/{name}"
     path = jvm.org.apache.hadoop.fs.Path(target)
@@ -250,53 +306,82 @@ def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, size: int = LEXICON) ->
     return name
 
 
-def encode(docs: DataFrame, tokenizer_file: str, size: int = LEXICON) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``: ids packed as little-endian unsigned 32-bit integers."""
-    with open(tokenizer_file, encoding="utf-8") as f:
-        spec = f.read()
-    name = build_lexicon(docs, Tokenizer(spec), size)
-    sent = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary
+ENCODED = "doc_id long, n_tokens long, ids binary"
+
+
+def _encoder(sent, name: str):
+    """Batches of (doc_id, text) to batches of (doc_id, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, lex = Tokenizer(sent.value), Lexicon(SparkFiles.get(name))
-        specials = {s: np.uint32(i).tobytes() for s, i in tok.specials.items()}
+        specials = {s: np.array([i], "<u4").tobytes() for s, i in tok.specials.items()}
         known: dict[str, bytes] = {}
-
-        def packed(r: str) -> bytes:
-            got = lex.find(r.encode()) if len(r) <= WIDEST else None
-            if got is None:
-                got = np.array(tok.word(r), "<u4").tobytes()
-            if len(r) <= WIDEST:
-                if len(known) >= KEPT:
-                    known.clear()
-                known[r] = got
-            return got
-
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                parts = []
-                for special, runs in tok.runs(t) if t else ():
-                    if special:
-                        parts.append(specials[runs[0]])
-                    else:
-                        parts += [k if (k := known.get(r)) is not None else packed(r) for r in runs]
-                out.append(b"".join(parts))
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            seen: Counter = Counter()
+            texts = [list(tok.runs(t)) if t else [] for t in b.column(1).to_pylist()]
+            for t in texts:
+                for special, runs in t:
+                    if not special:
+                        seen.update(runs)
+            if len(known) > KEPT:
+                known = {}
+            unseen = []
+            for r in seen.keys() - known.keys():
+                got = lex.find(r.encode()) if seen[r] > 1 and len(r) <= WIDEST else None  # rare words are seldom in it
+                if got is None:
+                    unseen.append(r)
+                else:
+                    known[r] = got
+            known.update(zip(unseen, tok.words(unseen)))
+            ids = known.__getitem__
+            out = [b"".join(map(ids, t[0][1])) if len(t) == 1 and not t[0][0] else b"".join([specials[r] if special else ids(r) for special, runs in t for r in runs]) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
-    """``encoded`` with ``text``: the tokens of ``ids`` as the tokenizer writes them, special ones kept."""
-    with open(tokenizer_file, encoding="utf-8") as f:
-        tok = Tokenizer(f.read())
-    sent = encoded.sparkSession.sparkContext.broadcast([tok.tokens.get(i, "") for i in range(max(tok.tokens) + 1)])  # one vocabulary
+def _decoder(sent):
+    """Batches with packed ids to the same with their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sent.value.__getitem__
-        for b in batches:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             texts = [" ".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return run
+
+
+def _spec(tokenizer_file: str) -> str:
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return f.read()
+
+
+def _token_texts(tok: Tokenizer) -> list[str]:
+    return [tok.tokens.get(i, "") for i in range(max(tok.tokens) + 1)]
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def encode(docs: DataFrame, tokenizer_file: str, size: int = LEXICON) -> DataFrame:
+    """``(doc_id, n_tokens, ids)``: ids packed as little-endian unsigned 32-bit integers."""
+    spec = _spec(tokenizer_file)
+    name = build_lexicon(docs, Tokenizer(spec), size)
+    return _narrow(docs).mapInArrow(_encoder(docs.sparkSession.sparkContext.broadcast(spec), name), ENCODED)
+
+
+def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
+    """``encoded`` with ``text``: the tokens of ``ids`` as the tokenizer writes them, special ones kept."""
+    sent = encoded.sparkSession.sparkContext.broadcast(_token_texts(Tokenizer(_spec(tokenizer_file))))  # one vocabulary
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(sent), ENCODED + ", text string")
+
+
+def round_trip(docs: DataFrame, tokenizer_file: str, size: int = LEXICON) -> DataFrame:
+    """``(doc_id, n_tokens, ids, text)``: encoded, and decoded from the ids, in one pass of one worker."""
+    spec, sc = _spec(tokenizer_file), docs.sparkSession.sparkContext
+    tok = Tokenizer(spec)
+    name = build_lexicon(docs, tok, size)
+    encoder, decoder = _encoder(sc.broadcast(spec), name), _decoder(sc.broadcast(_token_texts(tok)))
+    return _narrow(docs).mapInArrow(lambda batches: decoder(encoder(batches)), ENCODED + ", text string")

@@ -22,8 +22,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ionweave.llm import bpe_codec
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    both = bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
