@@ -166,6 +166,22 @@ def test_mgf_search_and_mztab(spark, tmp_path):
         registry.read_queries(spark, str(tmp_path / "q.txt"))
 
 
+def test_command_line(spark, tmp_path):
+    from ionweave.__main__ import parse, run
+
+    (tmp_path / "c.ini").write_text("precursor_tolerance_mass = 20\nprecursor_tolerance_mode = ppm\nfragment_mz_tolerance = 0.5\nmin_peaks = 5\nfdr = 0.2\n")
+    ns, cfg = parse([str(tmp_path / "p.fasta"), str(tmp_path / "q.mgf"), "out", "--config", str(tmp_path / "c.ini"), "--fragment_mz_tolerance", "0.02", "--model", "none", "--mode", "bf", "--min_mz_range", "50", "--fdr", "0.5", "--add_decoys"])
+    assert (cfg.fragment_mz_tolerance, cfg.min_peaks, cfg.fdr, cfg.add_decoys, cfg.precursor_tolerance_mode) == (0.02, 5, 0.5, True, "ppm")
+    with pytest.raises(SystemExit):
+        parse(["a", "b", "c"])
+    (tmp_path / "p.fasta").write_text(">x\nLESLIEKAEPTIDEKHPYLEDR\n")
+    mz = lambda p: (sum(seq.MONOISOTOPIC[c] for c in p) + seq.WATER) / 2 + seq.PROTON
+    (tmp_path / "q.mgf").write_text("".join(f"BEGIN IONS\nTITLE=s{k}\nPEPMASS={mz(p)}\n" + "".join(f"{v:.4f} 1.0\n" for v in ladder(p)) + "END IONS\n" for k, p in enumerate(["LESLIEK", "HPYLEDR"])))
+    out = run(spark, ns.library, ns.queries, str(tmp_path / "res"), cfg)
+    rows = {r["PSM_ID"]: r["sequence"] for r in text.read_mztab(spark, out).collect()}
+    assert rows == {"s0": "LESLIEK", "s1": "HPYLEDR"}
+
+
 def test_mzml_and_mzxml(spark, tmp_path):
     pack = lambda v, f: base64.b64encode(struct.pack(f, *v)).decode()
     cv = lambda n, v="", u="": f'<cvParam name="{n}" value="{v}" unitName="{u}"/>'
