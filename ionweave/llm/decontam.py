@@ -2,10 +2,13 @@
 
 The CGK random walk maps word sequences so that a small edit distance becomes a small Hamming
 distance: it reads a window word by word, emits the current word at every step and moves on when a
-random bit of (step, word) says so. Benchmark items and document windows of the same size are embedded
-by the same walks; bit-sampling LSH compares ``SAMPLED`` random coordinates in each of ``WALKS`` x
-``TABLES`` tables, and every collision is verified by the exact edit distance of the item to the
-best-matching run of words around the window (bit-parallel, no approximation).
+random bit of (step, word) says so. An item is cut into pieces of ``PIECE`` to twice as many words that
+cover it (shorter items are one piece); of its edits some piece has no more than its share. Pieces and
+document windows of the same size are embedded by the same walks; bit-sampling LSH compares ``SAMPLED``
+random coordinates in each of ``TABLES`` tables a walk, and every collision is verified by the exact edit
+distance of the whole item to the best-matching run of words around it (bit-parallel, no approximation).
+The walks of a size (``LEAST`` at least) are as many as one piece with its share of edits needs to be met with a chance of
+``TARGET``, so recall doesn't fall with an item's length; longer items have more pieces to be met by.
 
 Windows are taken at every word. Those with too few of the items' word pairs are passed over first: an
 edit breaks two pairs at most (the q-gram lemma), so this loses nothing. Items are read in blocks of ``BLOCK`` in id order,
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
-WALKS, TABLES, SAMPLED, RATIO, BLOCK = 6, 3, 3, 1.25, 2000
+#: Least recall at that limit, of items of any length.
+TARGET = 0.998
+PIECE, LEAST, TABLES, SAMPLED, BLOCK = 12, 6, 3, 3, 2000
 HITS = "doc_id long, item_id long, distance int, n_item_words int, similarity double"
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
@@ -69,10 +75,41 @@ def edit_distance_within(masks: dict[int, int], m: int, words: list[int]) -> int
     return best
 
 
+def _draw(rng: np.random.Generator, size: int, words: int):
+    """One walk over windows of ``size`` words: its moves, and the coordinates that its tables sample."""
+    steps = max(SAMPLED, int(1.6 * size))
+    moves = rng.integers(0, 2, (steps, words + 1), dtype=np.int8)
+    return moves, [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]
+
+
+@lru_cache(maxsize=None)
+def walks_needed(size: int, edits: int, target: float, trials: int = 800) -> int:
+    """Walks after which a piece of ``size`` words with ``edits`` random edits is met with a chance of ``target``.
+
+    In half of the trials the edits are spread, in half they are in the first half; both must reach it.
+    """
+    if not edits:
+        return LEAST
+    rng, rows = np.random.default_rng(size * 1000 + edits), []
+    for trial in range(trials):
+        w = list(range(1, size + 1))
+        for _ in range(edits):
+            p = int(rng.integers(max(1, len(w) // (1 + trial % 2))))
+            w[p : p + 1] = ([], [0], [*w[p : p + 1], 0])[int(rng.integers(3))]
+        rows.append((w + [0] * size)[:size])
+    words = np.array([list(range(1, size + 1)), *rows], np.int32).ravel()
+    met, walks = np.zeros(trials, bool), 0
+    while walks < LEAST or min(met[::2].mean(), met[1::2].mean()) < target and walks < 200:  # edits that leave no word can't be met
+        for sig in Index._signatures(words, np.arange(trials + 1) * size, size, [_draw(rng, size, size)]):
+            met |= sig[1:] == sig[0]
+        walks += 1
+    return walks
+
+
 class Index:
     """LSH tables of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, walks: int = WALKS, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, target: float = TARGET, seed: int = 11):
         self.edits, self.vocab, self.items, rng = edits, {}, [], np.random.default_rng(seed)
         for item_id, text in items:
             words = [w for w in map(norm, (text or "").split()) if w]
@@ -83,26 +120,27 @@ class Index:
                     masks[c] = masks.get(c, 0) | 1 << k
                 self.items.append((item_id, seq, masks))
         self.longest = max((len(s) for _, s, _ in self.items), default=0)
-        self.classes = []
-        left = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
-        while left:
-            size = len(self.items[left[0]][1])
-            own = [k for k in left if len(self.items[k][1]) <= RATIO * size]
-            left = left[len(own) :]
-            lost = max(int(edits * len(self.items[k][1])) for k in own)
-            steps = max(SAMPLED, int(1.6 * size))
-            draws = []
-            for _ in range(walks):
-                moves = rng.integers(0, 2, (steps, len(self.vocab) + 1), dtype=np.int8)
-                draws.append((moves, [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]))
+        self.classes, self.pieces = [], []  # pieces: item, its word that the piece starts with
+        sizes: dict[int, list[int]] = {}
+        lost: dict[int, int] = {}
+        for k, (_, seq, _) in enumerate(self.items):
+            count = max(1, len(seq) // PIECE)
+            for j in range(count):
+                at, end = len(seq) * j // count, len(seq) * (j + 1) // count
+                sizes.setdefault(end - at, []).append(len(self.pieces))
+                lost[end - at] = max(lost.get(end - at, 0), int(edits * len(seq)) // count)
+                self.pieces.append((k, at))
+        for size, own in sorted(sizes.items()):
+            draws = [_draw(rng, size, len(self.vocab)) for _ in range(walks_needed(size, lost[size], target))]
             words = np.zeros((len(own), size), np.int32)
-            for r, k in enumerate(own):
-                words[r] = self.items[k][1][:size]
+            for r, piece in enumerate(own):
+                k, at = self.pieces[piece]
+                words[r] = self.items[k][1][at : at + size]
             flat, tables = words.ravel(), []
             for sig in self._signatures(flat, np.arange(len(own)) * size, size, draws):
                 order = np.argsort(sig, kind="stable")
                 tables.append((sig[order], np.array(own)[order]))
-            self.classes.append((size, max(0, size - 1 - 2 * lost), draws, tables))
+            self.classes.append((size, max(0, size - 1 - 2 * lost[size]), draws, tables))
         self.pairs = np.zeros(1 << 22, bool)  # word pairs of items, hashed
         for _, seq, _ in self.items:
             self.pairs[self._pair(np.array(seq, np.int64))] = True
@@ -162,15 +200,19 @@ class Index:
                         hit = hit[hi[hit] > lo[hit]]
                 if not met:
                     continue
-                for p, k in np.unique(np.concatenate(met, axis=1), axis=1).T.tolist():
-                    d = int(np.searchsorted(ends, p, "right"))
+                for at, piece in np.unique(np.concatenate(met, axis=1), axis=1).T.tolist():
+                    d = int(np.searchsorted(ends, at, "right"))
+                    k, before = self.pieces[piece]
                     seq, masks = self.items[k][1:]
+                    p = at - before  # where the item starts, give or take its edits
                     m, slack = len(seq), int(self.edits * len(seq)) + 4
-                    spot = (d, k, p // 8)
+                    wide = slack + 4
+                    spot = (d, k, p // wide)
                     if spot in tried or found.get((d, k)) == 0:
                         continue
                     tried.add(spot)
-                    start, stop = max(p - 8 - slack, int(ends[d]) - sizes[d]), min(p + m + slack + 8, int(ends[d]))
+                    # holds every run of few enough edits for all ``p`` of the spot
+                    start, stop = max(p // wide * wide - slack, int(ends[d]) - sizes[d]), min((p // wide + 1) * wide + m + slack, int(ends[d]))
                     got = edit_distance_within(masks, m, words[start:stop].tolist())
                     if got <= int(self.edits * m) and got < found.get((d, k), m + 1):
                         found[d, k] = got
