@@ -29,11 +29,14 @@ def exact_neighbours(queries: DataFrame, library: DataFrame, k: int) -> DataFram
 
 
 def train_cells(library: DataFrame, num_list: int, seed: int = 42, sample: int = 100_000) -> DataFrame:
-    """``(cell, centroid)``: k-means on at most about ``sample`` library vectors."""
+    """``(cell, centroid)``: k-means on at most about ``sample`` library vectors.
+
+    Centroids have unit length: cells are chosen by inner product, and a long centroid would draw vectors of other cells.
+    """
     total = library.count()
     part = library.sample(min(1.0, sample / max(total, 1)), seed) if total > sample else library
     model = KMeans(k=num_list, seed=seed, maxIter=12, featuresCol="features").fit(part.select(array_to_vector("vec").alias("features")))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # ``num_list`` rows
+    rows = [(i, [float(x) for x in c / (float(c @ c) ** 0.5 or 1.0)]) for i, c in enumerate(model.clusterCenters())]  # ``num_list`` rows
     return library.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 

@@ -142,7 +142,7 @@ def candidate_semi_join(spark, d):
 def ivf_knn(spark, d):
     v = embedded(spark, d).persist()
     cells = ann.train_cells(v, 16)
-    return ann.ivf_neighbours(v.where(F.col("id") % 100 == 0), ann.assign_cells(v, cells), cells, 10, 8).select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
+    return ann.ivf_neighbours(v.where(F.col("id") % 100 == 0), ann.assign_cells(v, cells), cells, 10, 12).select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
 
 
 @query(f"WITH {KNN} SELECT q.vec_id AS query_id, min(rank) AS rank FROM embeddings q JOIN knn k ON k.query_id = q.vec_id JOIN embeddings l ON l.vec_id = k.library_id AND l.label <> q.label GROUP BY 1")
