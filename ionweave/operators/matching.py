@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 NO_ANNOTATION = 2.0 / 3.0  # weight of a shifted match whose peak has no charge annotation
 
@@ -112,10 +111,14 @@ def align(pairs: DataFrame, tolerance: float, allow_shift: bool, annotated: bool
 
 
 def best_match(aligned: DataFrame) -> DataFrame:
-    """The best candidate of each query, also over charges; equal scores go to the smaller library id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("dot"), "library_id", "charge")
-    counted = aligned.withColumn("num_candidates", F.count("*").over(Window.partitionBy("query_id")))
-    return counted.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """``(query_id, library_id, charge, matches, dot, num_candidates)``: the best candidate of each query, also over charges.
+
+    Equal scores go to the smaller library id. One aggregation that combines before its shuffle and carries ids and matches
+    only; ``with_spectra`` attaches the winners' peaks.
+    """
+    rank = F.struct((-F.col("dot")).alias("o"), "library_id", "charge")
+    chosen = aligned.groupBy("query_id").agg(F.min_by(F.struct("library_id", "charge", "matches", "dot"), rank).alias("m"), F.count("*").alias("num_candidates"))
+    return chosen.select("query_id", "m.*", "num_candidates")
 
 
 def annotated_pairs(ssms: DataFrame) -> DataFrame:

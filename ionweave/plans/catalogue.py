@@ -13,7 +13,7 @@ from ionweave.operators import analysis, ann, fdr, matching, vectorize
 from ionweave.operators import candidates as cand
 from ionweave.operators import preprocess as pre
 from ionweave.plans import fixtures as fx
-from ionweave.plans.fixtures import ALIGNED, CAND, PAIR, PEAK, RAW, SIDES, SPEC, table
+from ionweave.plans.fixtures import ALIGNED, CAND, GREEDY, PAIR, PEAK, RAW, SCORED, SIDES, SPEC, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,7 +95,27 @@ def bin_vectorise(spark, d):
     return v.select("id", F.explode("entries").alias("e")).select("id", F.col("e.slot").alias("slot"), r6(F.col("e.w"), "w"))
 
 
-@query()
+def murmur_sql(bins: str) -> str:
+    """The 32-bit hash of bin numbers' decimal text (one to five digits), modulo 800, as common table expressions over ``bins(bin)``."""
+    m, turn = 4294967296, lambda x, k: f"({x} * {1 << k} % 4294967296 + ({x} // {1 << 32 - k}))"
+    byte = lambda k: f"CASE WHEN length(t) >= {k} THEN ascii(substr(t, {k}, 1)) ELSE 0 END"
+    mixed = lambda x: f"({turn(f'({x} * 3432918353 % {m})', 15)} * 461845907 % {m})"
+    fmix = lambda x, k, f: f"(xor({x}, {x} // {1 << k}) * {f} % {m})"
+    head = f"CAST(CASE WHEN length(t) >= 4 THEN {byte(1)} + {byte(2)} * 256 + {byte(3)} * 65536 + {byte(4)} * 16777216 ELSE 0 END AS UBIGINT) AS k1"
+    tail = f"CAST(CASE WHEN length(t) >= 4 THEN {byte(5)} ELSE {byte(1)} + {byte(2)} * 256 + {byte(3)} * 65536 END AS UBIGINT) AS k2"
+    return (
+        f"h0 AS (SELECT bin, t, {head}, {tail} FROM (SELECT bin, CAST(bin AS VARCHAR) AS t FROM {bins})), "
+        f"h1 AS (SELECT bin, t, k2, CASE WHEN length(t) >= 4 THEN xor(CAST(42 AS UBIGINT), {mixed('k1')}) ELSE CAST(42 AS UBIGINT) END AS h FROM h0), "
+        f"h2 AS (SELECT bin, t, k2, CASE WHEN length(t) >= 4 THEN ({turn('h', 13)} * 5 + 3864292196) % {m} ELSE h END AS h FROM h1), "
+        f"h3 AS (SELECT bin, xor(xor(h, {mixed('k2')}), CAST(length(t) AS UBIGINT)) AS h FROM h2), h4 AS (SELECT bin, {fmix('h', 16, 2246822507)} AS h FROM h3), "
+        f"h5 AS (SELECT bin, {fmix('h', 13, 3266489909)} AS h FROM h4), slots AS (SELECT bin, CAST(xor(h, h // 65536) % 800 AS INT) AS slot FROM h5)"
+    )
+
+
+@query(
+    f"WITH {SPEC}, {PEAK}, fine AS MATERIALIZED (SELECT id, intensity, CAST(round(((mz - {vectorize.dimensions(11.0, 2010.0, 0.04)[1]!r}) - (mz - {vectorize.dimensions(11.0, 2010.0, 0.04)[1]!r}) % CAST(0.04 AS DOUBLE)) / CAST(0.04 AS DOUBLE)) AS INT) AS bin FROM peak JOIN spec USING (id)), seen AS (SELECT DISTINCT bin FROM fine), {murmur_sql('seen')}, "
+    "b AS (SELECT id, slot, sum(intensity) AS w FROM fine JOIN slots USING (bin) GROUP BY ALL) SELECT id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM b"
+)
 def hash_vectorise(spark, d):
     v = vectorize.vectorise(fx.in_range(spark, d), 11.0, 2010.0, 0.04, 800)
     return v.select("id", F.explode("entries").alias("e")).select("id", F.col("e.slot").alias("slot"), r6(F.col("e.w"), "w"))
@@ -171,8 +191,8 @@ def peak_pairs(spark, d):
 
 
 @query(
-    f"WITH {SPEC}, {PEAK}, {CAND}, mv AS (SELECT *, unnest(CASE WHEN abs((q_mz - l_mz) * charge) >= 0.55 THEN range(0, charge + 1) ELSE [0] END) AS k FROM cand), sh AS (SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE (q_mz - l_mz) * charge / k END AS s FROM mv) "
-    f"SELECT query_id, library_id, q.i AS qi, l.i AS li, round(q.intensity * l.intensity * CASE WHEN s = 0 THEN 1 ELSE 2.0 / 3.0 END, 6) AS w FROM sh JOIN peak q ON q.id = query_id JOIN peak l ON l.id = library_id AND abs(q.mz - (l.mz + s)) <= {fx.FRAGMENT}"
+    f"WITH {SPEC}, {PEAK}, {CAND}, mv AS (SELECT *, unnest(CASE WHEN abs((q_mz - l_mz) * charge) >= 0.55 THEN range(0, charge + 1) ELSE [0] END) AS k FROM cand), sh AS MATERIALIZED (SELECT mv.*, CASE WHEN k = 0 THEN 0.0 ELSE (q_mz - l_mz) * charge / k END AS s, q.i AS qi, q.mz, q.intensity FROM mv JOIN peak q ON q.id = query_id) "
+    f"SELECT query_id, library_id, qi, l.i AS li, round(sh.intensity * l.intensity * CASE WHEN s = 0 THEN 1 ELSE 2.0 / 3.0 END, 6) AS w FROM sh JOIN peak l ON l.id = library_id WHERE abs(sh.mz - (l.mz + s)) <= {fx.FRAGMENT}"
 )
 def peak_pairs_shifted(spark, d):
     return pairs_of(wide(spark, d), True)
@@ -190,17 +210,27 @@ def best_match(spark, d):
     return b.select("query_id", "library_id", "charge", F.size("matches").alias("n_matches"), r6(F.col("dot"), "dot"))
 
 
-@query()
+@query(
+    f"WITH {SPEC}, {PEAK}, {CAND.replace(str(fx.STD), str(fx.OPEN))}, mv AS (SELECT *, unnest(CASE WHEN abs((q_mz - l_mz) * charge) >= {fx.FRAGMENT} THEN range(0, charge + 1) ELSE [0] END) AS k FROM cand), sh AS MATERIALIZED (SELECT mv.*, CASE WHEN k = 0 THEN 0.0 ELSE (q_mz - l_mz) * charge / k END AS s, q.i AS qi, q.mz, q.intensity FROM mv JOIN peak q ON q.id = query_id), "
+    f"pp AS (SELECT query_id, library_id, sh.charge, qi, l.i AS li, sh.intensity * l.intensity * CASE WHEN s = 0 THEN 1 ELSE 2.0 / 3.0 END AS w FROM sh JOIN peak l ON l.id = library_id WHERE abs(sh.mz - (l.mz + s)) <= {fx.FRAGMENT}), {GREEDY}, {SCORED}, "
+    "n AS (SELECT query_id, count(*) AS num_candidates FROM cand GROUP BY 1) SELECT query_id, library_id, charge, n AS n_matches, round(dot, 6) AS dot, num_candidates FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, library_id) AS k FROM scored) JOIN n USING (query_id) WHERE k = 1"
+)
 def best_match_shifted(spark, d):
-    b = matching.best_match(fx.aligned(spark, d, True))
+    """The search's own kernel (whole arrays, ``native=False``) over the open window."""
+    library, pairs = fx.candidates(spark, d, fx.OPEN)
+    b = matching.best_match(matching.align(matching.with_spectra(pairs, fx.queries_of(library), library), fx.FRAGMENT, True, native=False))
     return b.select("query_id", "library_id", "charge", F.size("matches").alias("n_matches"), r6(F.col("dot"), "dot"), "num_candidates")
 
 
-@query()
+@query(
+    f"WITH {SPEC}, {PEAK}, {CAND}, {PAIR}, {GREEDY}, {SCORED}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, library_id) AS k FROM scored) WHERE k = 1), mt AS (SELECT query_id, u.qi AS qi, u.li AS li FROM (SELECT query_id, unnest(m) AS u FROM b)) "
+    "SELECT b.query_id, library_id, 'q' AS side, p.i, round(mz, 6) AS mz, li AS partner, 'b' || li AS ion FROM b JOIN peak p ON p.id = b.query_id LEFT JOIN mt ON mt.query_id = b.query_id AND mt.qi = p.i "
+    "UNION ALL SELECT b.query_id, library_id, 'l', p.i, round(mz, 6), qi, CASE WHEN qi IS NOT NULL THEN 'b' || p.i END FROM b JOIN peak p ON p.id = b.library_id LEFT JOIN mt ON mt.query_id = b.query_id AND mt.li = p.i"
+)
 def annotated_match(spark, d):
     kind = "array<struct<mz:double,intensity:double,ion_type:string,ion_index:int,ion_charge:int>>"
     full = lambda c: F.transform(c, lambda p, i: F.struct(p["mz"], p["intensity"], F.lit("b"), i, F.lit(1))).cast(kind)
-    b = matching.best_match(fx.aligned(spark, d)).withColumn("l_peaks", full("l_peaks"))
+    b = fx.best_with_peaks(spark, d).withColumn("l_peaks", full("l_peaks"))
     return matching.annotated_pairs(b).select("query_id", "library_id", "side", "i", r6(F.col("mz"), "mz"), "partner", "ion")
 
 
@@ -254,7 +284,14 @@ def sim_entropy(spark, d):
     return similarity(spark, d, unweighted=sim.entropy, weighted=lambda a: sim.entropy(a, weighted=True))
 
 
-@query()
+_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_BINS = vectorize.dimensions(11.0, 2010.0, 0.04)[0]
+
+
+@query(
+    f"WITH {ALIGNED}, s AS (SELECT query_id, n, (SELECT count(*) FROM peak WHERE peak.id = b.library_id) AS p FROM best b), t AS (SELECT query_id, p, unnest(range(n + 1, p + 1)) AS i FROM s), "
+    f"u AS (SELECT query_id, -ln(sum(exp({_CHOOSE.format('p', 'i')} + {_CHOOSE.format(f'({_BINS} - p)', '(p - i)')} - {_CHOOSE.format(str(_BINS), 'p')}))) AS h FROM t GROUP BY 1) SELECT query_id, round(coalesce(least(h, 100), 100), 6) AS hypergeometric FROM s LEFT JOIN u USING (query_id)"
+)
 def sim_hypergeometric(spark, d):
     return similarity(spark, d, hypergeometric=lambda a: sim.hypergeometric_score(a, 11.0, 2010.0, 0.04))
 
@@ -534,9 +571,9 @@ def parse_annotation(spark, d):
     return table(spark, d, "part").select("p_partkey", seq.fragment_annotation(text).alias("a")).select("p_partkey", "a.ion_type", "a.ion_index", "a.charge")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 0 END AS code, CASE p_size % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'y' ELSE '_' END AS name FROM part")
+@query("WITH k(i, ion, code, name) AS (VALUES (0, '?', 0, '_'), (1, 'a', 1, 'a'), (2, 'b', 2, 'b'), (3, 'c', 3, 'c'), (4, 'x', 4, 'x'), (5, 'y', 5, 'y'), (6, 'z', 6, 'z'), (7, 'I', 7, 'I'), (8, 'm', 8, 'm'), (9, 'p', 9, 'p'), (10, 'r', 10, 'r')) SELECT p_partkey, code, name FROM part JOIN k ON i = p_size % 11")
 def ion_type_codes(spark, d):
-    ion = F.element_at(F.array(*[F.lit(x) for x in ("a", "b", "y", "?")]), F.col("p_size") % 4 + 1)
+    ion = F.element_at(F.array(*[F.lit(x) for x in "?abcxyzImpr"]), F.col("p_size") % 11 + 1)
     return table(spark, d, "part").select("p_partkey", seq.encode_ion_type(ion).alias("code")).withColumn("name", seq.decode_ion_type(F.col("code")))
 
 

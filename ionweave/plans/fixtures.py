@@ -49,9 +49,15 @@ def aligned(spark: SparkSession, sf_dir: str, allow_shift: bool = False, toleran
     return matching.align(matching.with_spectra(pairs, queries_of(library), library), FRAGMENT, allow_shift)
 
 
+def best_with_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best matches with both spectra."""
+    library = in_range(spark, sf_dir)
+    return matching.with_spectra(matching.best_match(aligned(spark, sf_dir)), queries_of(library), library)
+
+
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best matches, with root-scaled and normalised peaks for the similarities."""
-    found = matching.best_match(aligned(spark, sf_dir))
+    found = best_with_peaks(spark, sf_dir)
     unit = lambda c: normalise(scale(by_mz(F.col(c)), "root", 50))
     return found.where(F.size("matches") > 0).withColumns({"q_peaks": unit("q_peaks"), "l_peaks": unit("l_peaks")})
 
@@ -59,9 +65,9 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB SQL, as common table expressions.
 SPEC = "spec AS (SELECT p_partkey AS id, p_retailprice AS precursor_mz, 2 + p_size % 2 AS charge, p_name AS peptide, p_partkey % 2 = 1 AS is_decoy FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem))"
 RAW = "raw AS (SELECT l_partkey AS id, l_extendedprice / 50 AS mz, l_quantity AS intensity FROM lineitem)"
-PEAK = RAW + ", peak AS (SELECT id, mz, intensity, row_number() OVER (PARTITION BY id ORDER BY mz, intensity) - 1 AS i, sqrt(intensity) / sqrt(sum(intensity) OVER (PARTITION BY id)) AS unit FROM raw WHERE mz BETWEEN 11 AND 2010)"
-CAND = f"cand AS (SELECT q.id AS query_id, l.id AS library_id, q.charge, q.precursor_mz AS q_mz, l.precursor_mz AS l_mz FROM spec q JOIN spec l ON q.charge = l.charge AND abs(q.precursor_mz - l.precursor_mz) * q.charge <= {STD} WHERE q.id % 100 = 0 AND q.id <> l.id)"
-PAIR = f"pp AS (SELECT query_id, library_id, c.charge, q.i AS qi, l.i AS li, q.intensity * l.intensity AS w FROM cand c JOIN peak q ON q.id = query_id JOIN peak l ON l.id = library_id AND abs(q.mz - l.mz) <= {FRAGMENT})"
+PEAK = RAW + ", peak AS MATERIALIZED (SELECT id, mz, intensity, row_number() OVER (PARTITION BY id ORDER BY mz, intensity) - 1 AS i, sqrt(intensity) / sqrt(sum(intensity) OVER (PARTITION BY id)) AS unit FROM raw WHERE mz BETWEEN 11 AND 2010)"
+CAND = f"cand AS MATERIALIZED (SELECT q.id AS query_id, l.id AS library_id, q.charge, q.precursor_mz AS q_mz, l.precursor_mz AS l_mz FROM spec q JOIN spec l ON q.charge = l.charge AND abs(q.precursor_mz - l.precursor_mz) * q.charge <= {STD} WHERE q.id % 100 = 0 AND q.id <> l.id)"
+PAIR = f"side_q AS MATERIALIZED (SELECT c.*, q.i AS qi, q.mz, q.intensity FROM cand c JOIN peak q ON q.id = query_id), pp AS (SELECT query_id, library_id, s.charge, qi, l.i AS li, s.intensity * l.intensity AS w FROM side_q s JOIN peak l ON l.id = library_id WHERE abs(s.mz - l.mz) <= {FRAGMENT})"
 GREEDY = """greedy AS (SELECT query_id, library_id, charge, list_reduce(list([struct_pack(qi := qi, li := li, w := w)] ORDER BY w DESC, qi, li), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.qi = x[1].qi OR y.li = x[1].li)) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM pp GROUP BY ALL)"""
 SCORED = "scored AS (SELECT c.query_id, c.library_id, c.charge, coalesce(len(m), 0) AS n, coalesce(list_sum(list_transform(m, lambda x: x.w)), 0) AS dot, m FROM cand c LEFT JOIN greedy g ON c.query_id = g.query_id AND c.library_id = g.library_id)"
 BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, library_id) AS k FROM scored) WHERE k = 1 AND n > 0)"

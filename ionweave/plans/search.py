@@ -41,7 +41,7 @@ def match_level(queries: DataFrame, library: DataFrame, cfg: SearchConfig, level
     if level == "open" and cfg.mode == "ann" and (near := neighbours(queries, library, cfg)) is not None:
         pairs = restrict(pairs, *near)
     aligned = matching.align(matching.with_spectra(pairs, queries, library), cfg.fragment_mz_tolerance, cfg.allow_peak_shifts, native=False)
-    return matching.best_match(aligned).withColumn("level", F.lit(level)).persist()  # a row a query, read for scores, groups and rates
+    return matching.with_spectra(matching.best_match(aligned), queries, library).withColumn("level", F.lit(level)).persist()  # a row a query, read for scores, groups and rates
 
 
 def score(matches: DataFrame, cfg: SearchConfig, grouped: bool) -> DataFrame:
