@@ -68,7 +68,7 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = rule_quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 3) != 1)
-    scored = rule_quality.score(docs.select("doc_id", "text"), model)
+    scored = rule_quality.score(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= rule_quality.THRESHOLD).cast("int").alias("predicted"))
 
 

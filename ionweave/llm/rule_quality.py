@@ -6,7 +6,8 @@ expression, so scoring is native and reads each text once. The fit uses at most
 documents (those with the smallest hashed ids), of which only the statistics reach the driver.
 
 A null text counts as empty; null labels are ignored; without both classes the score is constant;
-repeated label rows of a document count once; other columns are ignored.
+repeated label rows of a document count once; an empty table gives no rows. Rows are scored one by one, also rows
+that share an id. Other columns, whatever their names, are ignored (``score``) or kept as they are (``accepted``).
 """
 
 from __future__ import annotations
@@ -23,11 +24,20 @@ THRESHOLD = 0.5
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column's name begins with."""
+    prefix = "st_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with one double column per statistic (names returned), each from the whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("tmp_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("tmp_lines", F.split(t, "\n"))
-    words, lines, n = F.size("tmp_words"), F.size("tmp_lines"), F.greatest(F.length(t), F.lit(1))
+    """``docs`` with one double column per statistic (names returned, none of them taken), each from the whole text."""
+    t, prefix = F.coalesce(F.col(text), F.lit("")), free_prefix(docs.columns)
+    w, ln = f"{prefix}words_of", f"{prefix}lines_of"
+    base = docs.withColumn(w, F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != "")).withColumn(ln, F.split(t, "\n"))
+    words, lines, n = F.size(w), F.size(ln), F.greatest(F.length(t), F.lit(1))
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
     share = {
         "upper": without(UPPER) / n,
@@ -40,12 +50,12 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
         "newline": without("\n") / n,
         "mean_word": F.length(t) / F.greatest(words, F.lit(1)),
         "words": F.log1p(words.cast("double")),
-        "distinct_words": F.size(F.array_distinct("tmp_words")) / F.greatest(words, F.lit(1)),
-        "distinct_lines": F.size(F.array_distinct("tmp_lines")) / F.greatest(lines, F.lit(1)),
+        "distinct_words": F.size(F.array_distinct(w)) / F.greatest(words, F.lit(1)),
+        "distinct_lines": F.size(F.array_distinct(ln)) / F.greatest(lines, F.lit(1)),
         "words_line": F.log1p(words / F.greatest(lines, F.lit(1))),
     }
-    stats = base.withColumns({f"st_{k}": v.cast("double") for k, v in share.items()}).drop("tmp_words", "tmp_lines")
-    return stats, [f"st_{k}" for k in share]
+    stats = base.withColumns({prefix + k: v.cast("double") for k, v in share.items()}).drop(w, ln)
+    return stats, [prefix + k for k in share]
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, is greater, threshold) of each condition
@@ -53,18 +63,17 @@ Rule = tuple[tuple[int, bool, float], ...]  # (statistic, is greater, threshold)
 
 @dataclass(frozen=True)
 class RuleModel:
-    names: list[str]
     rules: list[Rule]
     weights: list[float]
     bias: float
 
-    def column(self) -> Column:
-        """The score, 0 to 1, as a Spark expression over the statistics."""
+    def column(self, names: list[str]) -> Column:
+        """The score, 0 to 1, as a Spark expression over the statistics' columns."""
         total = F.lit(self.bias)
         for rule, w in zip(self.rules, self.weights):
             holds = F.lit(True)
             for k, greater, at in rule:
-                holds = holds & ((F.col(self.names[k]) > at) if greater else (F.col(self.names[k]) <= at))
+                holds = holds & ((F.col(names[k]) > at) if greater else (F.col(names[k]) <= at))
             total = total + F.when(holds, F.lit(w)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -123,12 +132,12 @@ def _top_eigen(r: np.ndarray) -> float:
     return float(np.linalg.norm(r @ v) ** 2)
 
 
-def fit_matrix(values: np.ndarray, y: np.ndarray, names: list[str], trees: int = 80, most_rules: int = 60, seed: int = 7) -> RuleModel:
+def fit_matrix(values: np.ndarray, y: np.ndarray, trees: int = 80, most_rules: int = 60, seed: int = 7) -> RuleModel:
     """The rule ensemble for ``values`` (rows x statistics) and 0/1 labels ``y``."""
     rng, n = np.random.default_rng(seed), len(y)
     if n == 0 or y.min() == y.max():
         p = 0.5 if n == 0 else (y.sum() + 0.5) / (n + 1)
-        return RuleModel(names, [], [], float(np.log(p / (1 - p))))
+        return RuleModel([], [], float(np.log(p / (1 - p))))
     x = []
     for k in range(values.shape[1]):
         cuts = np.unique(np.quantile(values[:, k], np.linspace(0, 1, 66)[1:-1]))
@@ -142,7 +151,7 @@ def fit_matrix(values: np.ndarray, y: np.ndarray, names: list[str], trees: int =
     rules = list(dict.fromkeys(tuple(sorted(set(r))) for r in found))
     if not rules:
         p = y.mean()
-        return RuleModel(names, [], [], float(np.log(p / (1 - p))))
+        return RuleModel([], [], float(np.log(p / (1 - p))))
 
     def holds(rule):
         ok = np.ones(n, bool)
@@ -164,10 +173,13 @@ def fit_matrix(values: np.ndarray, y: np.ndarray, names: list[str], trees: int =
         loss = -np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
         if best is None or (loss < best[0] and (start[0] != 0).sum() <= most_rules):
             best = (loss, lam)
-    w, b = _lasso(r, y, best[1])
-    used = np.argsort(-np.abs(w))[: 2 * most_rules]
-    used = np.sort(used[w[used] != 0])
-    return RuleModel(names, [rules[i] for i in used], [float(w[i]) for i in used], float(b))
+    lam = best[1]
+    w, b = _lasso(r, y, lam)
+    while (w != 0).sum() > 2 * most_rules:  # a stronger penalty leaves fewer rules
+        lam *= 1.25
+        w, b = _lasso(r, y, lam)
+    used = np.flatnonzero(w)
+    return RuleModel([rules[i] for i in used], [float(w[i]) for i in used], float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> RuleModel:
@@ -178,10 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
     stats, names = statistics(rows)
     got = stats.select(F.col("y").cast("double"), *names).toPandas().to_numpy()
     got = got[np.lexsort(got.T)]  # the same fit whatever order rows arrive in
-    return fit_matrix(got[:, 1:], got[:, 0], names)
+    return fit_matrix(got[:, 1:], got[:, 0])
 
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with ``score``, 0 to 1."""
+    """``(doc_id, score)`` of every row, 0 to 1."""
+    stats, names = statistics(docs.select("doc_id", "text"))
+    return stats.select("doc_id", model.column(names).alias("score"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more."""
     stats, names = statistics(docs)
-    return stats.withColumn("score", model.column()).drop(*names)
+    return stats.where(model.column(names) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

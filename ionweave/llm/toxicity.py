@@ -13,7 +13,9 @@ one the sentence's likeliest words are the positive instances, chosen anew as th
 A document scores by its ``WORST`` worst distinct words, through a logistic fit on the
 training documents.
 
-Whole texts are scored. Null and empty texts have no word and get the score of the lowest margin.
+Whole texts are scored, row by row, also rows that share an id. Null and empty texts have no word and get the score of
+the lowest margin; null labels are ignored, repeated label rows count once, an empty table gives no rows. Other columns,
+whatever their names, are ignored (``score``) or kept as they are (``accepted``).
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Most labelled documents (half of either class, if there are enough) and their longest text in training.
 SAMPLE, LONGEST = 6000, 20_000
@@ -38,7 +40,7 @@ THRESHOLD = 0.3
 ODDS, SUPPORT = 3.0, 0.008
 NOTHING = -3.0
 #: Documents at a time, words remembered and words at a time, which bound a task's memory.
-SLICE, KEPT, WORDS = 400, 250_000, 4000
+SLICE, SLICE_BYTES, KEPT, WORDS = 400, 2_000_000, 250_000, 4000
 _SPACED = re.compile(r"(?<!\S)(?:[^\s](?:[ \t]+|$)){4,}")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -269,14 +271,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
     return fit_texts(got["text"].tolist(), got["y"].tolist())
 
 
-def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores, 0 to 1 (replacing a column of that name)."""
-    docs = docs.drop(name)
-    at, names = docs.columns.index("text"), [*docs.columns, name]
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``SLICE`` rows and, unless one row is longer, ``SLICE_BYTES`` of text."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lo, held = 0, 0
+        for k, n in enumerate(size.tolist()):
+            if k > lo and (held + n > SLICE_BYTES or k - lo == SLICE):
+                yield b.slice(lo, k - lo)
+                lo, held = k, 0
+            held += n
+        yield b.slice(lo)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scorer(model: ToxicModel, at: int):
+    """(batch, its scores) of every slice of the batches, texts in column ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         known: dict[str, float] = {}
-        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+        for b in _slices(batches, at):
             sets = [units(t) if t else set() for t in b.column(at).to_pylist()]
             if len(known) > KEPT:
                 known.clear()
@@ -286,11 +299,28 @@ def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame
             for k, s in enumerate(sets):
                 if s:
                     top[k] = worst_margins(np.fromiter(map(known.__getitem__, s), np.float64, len(s)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(top))], names)
+            yield b, model.score(top)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return run
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """``(doc_id, score)`` of every row of ``docs``."""
-    return scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).select("doc_id", "score")
+    """``(doc_id, score)`` of every row of ``docs``, 0 to 1."""
+    rows = _scorer(model, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, s in rows(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    rows = _scorer(model, docs.columns.index("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, s in rows(batches):
+            yield b.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

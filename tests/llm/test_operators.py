@@ -321,17 +321,17 @@ def test_quality(spark, nothing):
     docs = frame(spark, [r[:2] for r in rows] + [(1000, None), (1001, "")])
     labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     model = rule_quality.fit(docs, labels, "quality", crc_mod("doc_id", 3) != 1)
-    got = {r["doc_id"]: r["score"] for r in rule_quality.score(docs.select("doc_id", "text"), model).collect()}
+    got = {r["doc_id"]: r["score"] for r in rule_quality.score(docs, model).collect()}
     assert all((got[r[0]] >= 0.5) == r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1)
     assert 0 <= got[1000] == got[1001] <= 1
     # the compiled column equals the rules applied by hand
     stats, names = rule_quality.statistics(docs)
-    for r in stats.withColumn("s", model.column()).limit(30).collect():
+    for r in stats.withColumn("s", model.column(names)).limit(30).collect():
         z = model.bias + sum(w for rule, w in zip(model.rules, model.weights) if all((r[names[k]] > at) == up for k, up, at in rule))
         assert r["s"] == pytest.approx(1 / (1 + math.exp(-z)))
     constant = rule_quality.fit(docs, labels.limit(0), "quality", F.lit(True))
-    assert {r["score"] for r in rule_quality.score(docs.select("doc_id", "text"), constant).collect()} == {0.5}
-    assert rule_quality.score(nothing.select("doc_id", "text"), model).count() == 0
+    assert {r["score"] for r in rule_quality.score(docs, constant).collect()} == {0.5}
+    assert rule_quality.score(nothing, model).count() == 0
 
 
 # --- op9 -----------------------------------------------------------------------------------
