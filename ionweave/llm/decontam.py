@@ -2,20 +2,24 @@
 
 The CGK random walk maps word sequences so that a small edit distance becomes a small Hamming
 distance: it reads a window word by word, emits the current word at every step and moves on when a
-random bit of (step, word) says so. An item is cut into pieces of ``PIECE`` to twice as many words that
-cover it (shorter items are one piece); of its edits some piece has no more than its share. Pieces and
-document windows of the same size are embedded by the same walks; bit-sampling LSH compares ``SAMPLED``
-random coordinates in each of ``TABLES`` tables a walk, and every collision is verified by the exact edit
+random bit of (walk, step, word), taken from a hash, says so. Items of up to ``2 * PIECE - 1`` words are
+embedded whole, in windows of their own size; the distortion of a walk grows with the square of its edits, so a
+longer item is cut into pieces of ``PIECE`` to twice as many words that cover it, and of its edits some piece has
+no more than its share. Pieces and document windows of the same size take the same walks; bit-sampling LSH compares
+``SAMPLED`` random coordinates in each of ``TABLES`` tables a walk, and every collision is verified by the exact edit
 distance of the whole item to the best-matching run of words around it (bit-parallel, no approximation).
-The walks of a size (``LEAST`` at least) are as many as one piece with its share of edits needs to be met with a chance of
-``TARGET``, so recall doesn't fall with an item's length; longer items have more pieces to be met by.
+The walks of a size are as many as a piece with its share of edits needs to be met with a chance of ``TARGET``, and of
+``EACH`` for every kind of edits alone (``KINDS``: spread, in the first half, only deletions, only insertions, only
+substitutions, every second word).
 
 Windows are taken at every word. Those with too few of the items' word pairs are passed over first: an
-edit breaks two pairs at most (the q-gram lemma), so this loses nothing. Items are read in blocks of ``BLOCK`` in id order,
-so what a task holds is bounded however many items there are; all documents are searched for every block.
+edit breaks two pairs at most (the q-gram lemma), so this loses nothing. Items go in id order into blocks of at most
+``BLOCK`` items and ``BLOCK_WORDS`` words (a longer item is a block), which are broadcast; an index has some hundred bytes
+a piece, whatever the vocabulary. Documents are read once for all blocks, and a task holds ``HELD`` blocks at a time.
 
 Words are lower-cased and lose edge punctuation. Null or empty texts match nothing, items without a
-word are skipped, repeated items are reported each, and other columns are ignored.
+word are skipped, repeated items and repeated documents are reported each, other columns are ignored, and empty
+tables give no match.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
-#: Least recall at that limit, of items of any length.
-TARGET = 0.998
-PIECE, LEAST, TABLES, SAMPLED, BLOCK = 12, 6, 3, 3, 2000
+#: Least recall at that limit: over all kinds of edits, and of each kind.
+TARGET, EACH = 0.998, 0.985
+KINDS = ("spread", "front", "delete", "insert", "replace", "second", "first")
+PIECE, LEAST, TABLES, SAMPLED = 12, 6, 3, 3
+BLOCK, BLOCK_WORDS, HELD, KEPT = 2000, 400_000, 4, 500_000
 HITS = "doc_id long, item_id long, distance int, n_item_words int, similarity double"
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
@@ -42,18 +49,44 @@ def norm(token: str) -> str:
     return token.lower().strip(EDGES)
 
 
-class _Ids(dict):
-    """Word ids of raw tokens, remembered; 0 for words that no item has, -1 for bare punctuation."""
-
-    def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
-
-    def __missing__(self, token: str) -> int:
-        w = norm(token)
-        k = self.vocab.get(w, 0) if w else -1
-        if len(self) < 500_000:
-            self[token] = k
-        return k
+class Tokens:
+    """Codes of raw tokens, for all blocks of items: 0 for bare punctuation, else the place of a word in ``forms``."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.forms: list[str] = [""]
+        self.places: dict[str, int] = {"": 0}
+        self.known: dict[int, np.ndarray] = {}
+
+    def read(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
+        """(places of the texts with words, their codes)."""
+        if len(self.codes) > KEPT:
+            self.__init__()
+        owners, out, codes = [], [], self.codes
+        for k, text in enumerate(texts):
+            tokens = text.split() if text else []
+            if tokens:
+                try:
+                    got = [codes[t] for t in tokens]
+                except KeyError:
+                    for t in tokens:
+                        if t not in codes:
+                            w = norm(t)
+                            codes[t] = self.places.setdefault(w, len(self.places))
+                            if codes[t] == len(self.forms):
+                                self.forms.append(w)
+                    got = [codes[t] for t in tokens]
+                got = np.array(got, np.int32)
+                owners.append(k)
+                out.append(got[got > 0])
+        return owners, out
+
+    def table(self, block: int, vocab: dict[str, int]) -> np.ndarray:
+        """The word of a block's vocabulary of every code, 0 for words that no item has."""
+        have = self.known.get(block, np.zeros(0, np.int32))
+        if len(have) < len(self.forms):
+            have = self.known[block] = np.concatenate([have, np.array([vocab.get(w, 0) for w in self.forms[len(have) :]], np.int32)])
+        return have
 
 
 def edit_distance_within(masks: dict[int, int], m: int, words: list[int]) -> int:
@@ -75,32 +108,64 @@ def edit_distance_within(masks: dict[int, int], m: int, words: list[int]) -> int
     return best
 
 
-def _draw(rng: np.random.Generator, size: int, words: int):
-    """One walk over windows of ``size`` words: its moves, and the coordinates that its tables sample."""
-    steps = max(SAMPLED, int(1.6 * size))
-    moves = rng.integers(0, 2, (steps, words + 1), dtype=np.int8)
-    return moves, [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Splitmix64: well-mixed 64-bit numbers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draw(rng: np.random.Generator, size: int) -> tuple[int, list[np.ndarray]]:
+    """One walk over windows of ``size`` words: the seed of its moves, and the coordinates that its tables sample."""
+    steps = max(SAMPLED, int(1.6 * size))  # at most 64: a hash has the moves of all steps
+    return int(rng.integers(1 << 62)), [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]
+
+
+def _signatures(words: np.ndarray, starts: np.ndarray, size: int, draws) -> Iterator[np.ndarray]:
+    """The LSH signatures of the windows of ``size`` words at ``starts``, table by table."""
+    for seed, tables in draws:
+        moves = _mix(words.astype(np.uint64) ^ np.uint64(seed))
+        at = np.zeros(len(starts), np.int64)
+        sigs = [np.zeros(len(starts), np.uint64) for _ in tables]
+        for step in range(max(int(t[-1]) for t in tables) + 1):
+            inside, place = at < size, starts + np.minimum(at, size - 1)
+            word = None
+            for sig, t in zip(sigs, tables):
+                if step in t:
+                    word = np.where(inside, words[place], 0).astype(np.uint64) + np.uint64(1) if word is None else word
+                    sig *= np.uint64(0x9E3779B97F4A7C15)
+                    sig += word
+            at += (moves[place] >> np.uint64(step)).astype(np.int64) & 1  # beyond the window only zeros follow
+        yield from sigs
+
+
+def _edited(rng: np.random.Generator, size: int, edits: int, kind: str) -> list[int]:
+    """The words 1 to ``size`` after ``edits`` random edits of a kind; 0 is a foreign word."""
+    w = list(range(1, size + 1))
+    if kind in ("first", "second"):
+        for p in range(kind == "second", size, 2)[:edits]:
+            w[p] = 0
+        return w
+    for _ in range(edits):
+        p = int(rng.integers(max(1, len(w) // (2 if kind == "front" else 1))))
+        how = {"delete": 0, "replace": 1, "insert": 2}.get(kind, int(rng.integers(3)))
+        w[p : p + 1] = ([], [0], [*w[p : p + 1], 0])[how]
+    return w
 
 
 @lru_cache(maxsize=None)
-def walks_needed(size: int, edits: int, target: float, trials: int = 800) -> int:
-    """Walks after which a piece of ``size`` words with ``edits`` random edits is met with a chance of ``target``.
-
-    In half of the trials the edits are spread, in half they are in the first half; both must reach it.
-    """
+def walks_needed(size: int, edits: int, target: float, trials: int = 1400) -> int:
+    """Walks after which a piece of ``size`` words with ``edits`` edits is met with a chance of ``target``, and ``EACH`` by kind."""
     if not edits:
         return LEAST
-    rng, rows = np.random.default_rng(size * 1000 + edits), []
-    for trial in range(trials):
-        w = list(range(1, size + 1))
-        for _ in range(edits):
-            p = int(rng.integers(max(1, len(w) // (1 + trial % 2))))
-            w[p : p + 1] = ([], [0], [*w[p : p + 1], 0])[int(rng.integers(3))]
-        rows.append((w + [0] * size)[:size])
+    rng = np.random.default_rng(size * 1000 + edits)
+    rows = [(_edited(rng, size, edits, KINDS[k % len(KINDS)]) + [0] * size)[:size] for k in range(trials)]
     words = np.array([list(range(1, size + 1)), *rows], np.int32).ravel()
     met, walks = np.zeros(trials, bool), 0
-    while walks < LEAST or min(met[::2].mean(), met[1::2].mean()) < target and walks < 200:  # edits that leave no word can't be met
-        for sig in Index._signatures(words, np.arange(trials + 1) * size, size, [_draw(rng, size, size)]):
+    kinds = np.arange(trials) % len(KINDS)
+    while walks < LEAST or (met.mean() < target or np.bincount(kinds, met).min() < EACH * trials / len(KINDS)) and walks < 200:  # edits that leave no word can't be met
+        for sig in _signatures(words, np.arange(trials + 1) * size, size, [_draw(rng, size)]):
             met |= sig[1:] == sig[0]
         walks += 1
     return walks
@@ -114,16 +179,12 @@ class Index:
         for item_id, text in items:
             words = [w for w in map(norm, (text or "").split()) if w]
             if words:
-                seq = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-                masks: dict[int, int] = {}
-                for k, c in enumerate(seq):
-                    masks[c] = masks.get(c, 0) | 1 << k
-                self.items.append((item_id, seq, masks))
-        self.longest = max((len(s) for _, s, _ in self.items), default=0)
+                self.items.append((item_id, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)))
+        self.longest = max((len(s) for _, s in self.items), default=0)
         self.classes, self.pieces = [], []  # pieces: item, its word that the piece starts with
         sizes: dict[int, list[int]] = {}
         lost: dict[int, int] = {}
-        for k, (_, seq, _) in enumerate(self.items):
+        for k, (_, seq) in enumerate(self.items):
             count = max(1, len(seq) // PIECE)
             for j in range(count):
                 at, end = len(seq) * j // count, len(seq) * (j + 1) // count
@@ -131,52 +192,45 @@ class Index:
                 lost[end - at] = max(lost.get(end - at, 0), int(edits * len(seq)) // count)
                 self.pieces.append((k, at))
         for size, own in sorted(sizes.items()):
-            draws = [_draw(rng, size, len(self.vocab)) for _ in range(walks_needed(size, lost[size], target))]
+            draws = [_draw(rng, size) for _ in range(walks_needed(size, lost[size], target))]
             words = np.zeros((len(own), size), np.int32)
             for r, piece in enumerate(own):
                 k, at = self.pieces[piece]
                 words[r] = self.items[k][1][at : at + size]
-            flat, tables = words.ravel(), []
-            for sig in self._signatures(flat, np.arange(len(own)) * size, size, draws):
+            tables = []
+            for sig in _signatures(words.ravel(), np.arange(len(own)) * size, size, draws):
                 order = np.argsort(sig, kind="stable")
-                tables.append((sig[order], np.array(own)[order]))
+                tables.append((sig[order], np.array(own, np.int32)[order]))
             self.classes.append((size, max(0, size - 1 - 2 * lost[size]), draws, tables))
         self.pairs = np.zeros(1 << 22, bool)  # word pairs of items, hashed
-        for _, seq, _ in self.items:
-            self.pairs[self._pair(np.array(seq, np.int64))] = True
+        for _, seq in self.items:
+            self.pairs[self._pair(seq.astype(np.int64))] = True
 
     @staticmethod
     def _pair(words: np.ndarray) -> np.ndarray:
         return (words[:-1] * 2654435761 + words[1:]) & 0x3FFFFF
 
-    @staticmethod
-    def _signatures(words: np.ndarray, starts: np.ndarray, size: int, draws) -> Iterator[np.ndarray]:
-        """The LSH signatures of the windows of ``size`` words at ``starts``, table by table."""
-        for moves, tables in draws:
-            at = np.zeros(len(starts), np.int64)
-            sigs = [np.zeros(len(starts), np.uint64) for _ in tables]
-            for step in range(max(int(t[-1]) for t in tables) + 1):
-                word = np.where(at < size, words[starts + np.minimum(at, size - 1)], 0)
-                for sig, t in zip(sigs, tables):
-                    if step in t:
-                        sig *= np.uint64(0x9E3779B97F4A7C15)
-                        sig += word.astype(np.uint64) + np.uint64(1)
-                at += moves[step][word]
-            yield from sigs
-
-    def search(self, docs: list[str | None], ids: _Ids | None = None) -> list[tuple[int, int, int]]:
-        """(document's position, item's position, distance) of every verified match; ``ids`` may be reused."""
-        ids = _Ids(self.vocab) if ids is None else ids
-        pad, parts, owners, sizes = [0] * (self.longest + 1), [], [], []
-        for k, text in enumerate(docs):
-            if text:
-                seq = [c for c in map(ids.__getitem__, text.split()) if c >= 0]
-                if any(seq):
-                    parts.append(np.array(seq + pad, np.int32))
-                    owners.append(k)
-                    sizes.append(len(parts[-1]))
-        if not parts or not self.items:
+    def masks(self, k: int) -> dict[int, int]:
+        """Where an item has each of its words, as bits."""
+        out: dict[int, int] = {}
+        for place, word in enumerate(self.items[k][1].tolist()):
+            out[word] = out.get(word, 0) | 1 << place
+        return out
+
+    def search(self, docs: list[str | None]) -> list[tuple[int, int, int]]:
+        """(document's position, item's position, distance) of every verified match."""
+        tokens = Tokens()
+        owners, codes = tokens.read(docs)
+        return self.find(owners, [tokens.table(0, self.vocab)[c] for c in codes])
+
+    def find(self, owners: list[int], texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """The same for texts as words of the block's vocabulary, with the documents' positions."""
+        pad = np.zeros(self.longest + 1, np.int32)
+        some = [k for k, t in enumerate(texts) if t.any()]
+        if not some or not self.items:
             return []
+        owners, parts = [owners[k] for k in some], [np.concatenate([texts[k], pad]) for k in some]
+        sizes = [len(t) for t in parts]
         words, ends = np.concatenate(parts), np.cumsum(sizes)
         known = np.flatnonzero(words)
         known = known[known < len(words) - 1]
@@ -186,12 +240,18 @@ class Index:
         pairs[known + 1] = 1
         pairs = np.cumsum(pairs, dtype=np.int32)  # item pairs that start before a word
         found: dict[tuple[int, int], int] = {}
-        tried = set()
+        tried, masked = set(), {}
         for size, need, draws, tables in self.classes:
             starts = np.flatnonzero((pairs[size - 1 :] - pairs[: len(pairs) - size + 1] >= max(need, 1))[: len(words) - size + 1] if need else words[: len(words) - size + 1] > 0)
             for part in np.array_split(starts, len(starts) // 200_000 + 1):
+                if not len(part):
+                    continue
+                near = np.zeros(len(words) + 1, np.int32)  # words that some window covers
+                near[part] = 1
+                np.subtract.at(near, part + size, 1)
+                near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 met = []
-                for sig, (keys, items) in zip(self._signatures(words, part, size, draws), tables):
+                for sig, (keys, items) in zip(_signatures(words[near], np.searchsorted(near, part), size, draws), tables):
                     lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
                     hit = np.flatnonzero(hi > lo)
                     while len(hit):
@@ -203,9 +263,9 @@ class Index:
                 for at, piece in np.unique(np.concatenate(met, axis=1), axis=1).T.tolist():
                     d = int(np.searchsorted(ends, at, "right"))
                     k, before = self.pieces[piece]
-                    seq, masks = self.items[k][1:]
                     p = at - before  # where the item starts, give or take its edits
-                    m, slack = len(seq), int(self.edits * len(seq)) + 4
+                    m = len(self.items[k][1])
+                    slack = int(self.edits * m) + 4
                     wide = slack + 4
                     spot = (d, k, p // wide)
                     if spot in tried or found.get((d, k)) == 0:
@@ -213,73 +273,75 @@ class Index:
                     tried.add(spot)
                     # holds every run of few enough edits for all ``p`` of the spot
                     start, stop = max(p // wide * wide - slack, int(ends[d]) - sizes[d]), min((p // wide + 1) * wide + m + slack, int(ends[d]))
-                    got = edit_distance_within(masks, m, words[start:stop].tolist())
+                    if k not in masked:
+                        masked = {k: self.masks(k)} if len(masked) > 64 else masked | {k: self.masks(k)}
+                    got = edit_distance_within(masked[k], m, words[start:stop].tolist())
                     if got <= int(self.edits * m) and got < found.get((d, k), m + 1):
                         found[d, k] = got
         return [(owners[d], k, got) for (d, k), got in sorted(found.items())]
 
 
-def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in id order, ``block`` at a time."""
-    last = None
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    while True:
-        got = (rows if last is None else rows.where(F.col("item_id") > last)).orderBy("item_id", "text").limit(block).collect()
-        if not got:
-            return
-        if len(got) == block and got[0][0] != got[-1][0]:  # a block ends between ids
-            got = [r for r in got if r[0] != got[-1][0]]
-        elif len(got) == block:
-            got = rows.where(F.col("item_id") == got[0][0]).collect()
-        yield [(r[0], r[1]) for r in got]
-        last = got[-1][0]
-
-
-def _search_rows(index: Index, ids: _Ids, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
-    """``index.search`` over some millions of characters at a time."""
+def _blocks(items: DataFrame, edits: float, block: int) -> list[Broadcast]:
+    """The items' indexes in id order; the driver holds one block of items at a time."""
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").orderBy("item_id", "text")
+    out, held, words = [], [], 0
+    send = lambda part: out.append(items.sparkSession.sparkContext.broadcast(Index(part, edits)))  # at most ``BLOCK_WORDS`` words, or one item
+    for item_id, text in rows.toLocalIterator():
+        n = text.count(" ") + 1
+        if held and (len(held) == block or words + n > BLOCK_WORDS):
+            send(held)
+            held, words = [], 0
+        held.append((item_id, text))
+        words += n
+    if held:
+        send(held)
+    return out
+
+
+def _search_rows(indexes: list[Broadcast], tokens: Tokens, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, block, item, distance) of every match, over some millions of characters at a time."""
     lo = 0
     while lo < len(texts):
         hi, chars = lo, 0
         while hi < len(texts) and chars < 4_000_000:
             chars += len(texts[hi] or "")
             hi += 1
-        for k, item, distance in index.search(texts[lo:hi], ids):
-            yield lo + k, item, distance
+        owners, codes = tokens.read(texts[lo:hi])
+        for block, sent in enumerate(indexes):
+            index = sent.value
+            words = tokens.table(block, index.vocab)
+            for k, item, distance in index.find(owners, [words[c] for c in codes]):
+                yield lo + k, block, item, distance
+            if len(indexes) > HELD and block >= HELD and hasattr(sent, "_value"):
+                del sent._value  # read again from the executor's copy when its turn comes
         lo = hi
 
 
 def contaminated(docs: DataFrame, items: DataFrame, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, distance, n_item_words, similarity)`` of every document with an item's passage."""
-    narrow, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
-    for part in _blocks(items, block):
-        index = narrow.sparkSession.sparkContext.broadcast(Index(part, edits))  # at most ``block`` items
+    indexes = _blocks(items, edits, block)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ids = _Ids(index.value.vocab)
-            for b in batches:
-                rows = []
-                for k, i, d in _search_rows(index.value, ids, b.column(1).to_pylist()):
-                    item_id, seq, _ = index.value.items[i]
-                    rows.append((b.column(0)[k].as_py(), item_id, d, len(seq), 1 - d / len(seq)))
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "distance", "n_item_words", "similarity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for b in batches:
+            rows = []
+            for k, part, i, d in _search_rows(indexes, tokens, b.column(1).to_pylist()):
+                item_id, seq = indexes[part].value.items[i]
+                rows.append((b.column(0)[k].as_py(), item_id, d, len(seq), 1 - d / len(seq)))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "distance", "n_item_words", "similarity"])
 
-        hits = narrow.mapInArrow(run, HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return narrow.sparkSession.createDataFrame([], HITS) if out is None else out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
 
 
 def clean(docs: DataFrame, items: DataFrame, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, that have no item's passage."""
-    at = docs.columns.index("text")
-    for part in _blocks(items, block):
-        index = docs.sparkSession.sparkContext.broadcast(Index(part, edits))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ids = _Ids(index.value.vocab)
-            for b in batches:
-                hit = {k for k, _, _ in _search_rows(index.value, ids, b.column(at).to_pylist())}
-                yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, indexes = docs.columns.index("text"), _blocks(items, edits, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for b in batches:
+            hit = {k for k, *_ in _search_rows(indexes, tokens, b.column(at).to_pylist())}
+            yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
