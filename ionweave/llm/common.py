@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``rows`` rows and, unless one row alone is longer, ``size`` bytes in column ``at``."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+        lo, held = 0, 0
+        for k, n in enumerate(lengths):
+            if k > lo and (held + n > size or k - lo == rows):
+                yield b.slice(lo, k - lo)
+                lo, held = k, 0
+            held += n
+        yield b.slice(lo)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo ``modulus`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -9,7 +9,7 @@ the vocabulary's least score less ten and counts its UTF-8 bytes (byte fallback)
 White space is a space only, written as the vocabulary writes it, with one put before the text. No
 piece has that sign behind another character (checked), so texts fall apart before each run of it
 and equal parts are computed once. Scores are added in double precision. Null and empty texts have
-no piece; whole texts are counted; other columns are ignored.
+no piece; whole texts are counted, row by row, also rows of equal id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import slices
+
 SIGN, KEPT, UNKNOWN_PENALTY = "▁", 300_000, 10.0
 _PART = re.compile(f"{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 
 
 def read_vocabulary(model_file: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in id order."""
+    """Normal and user-defined pieces and their scores, of a sentencepiece model file, in id order.
+
+    Control, unknown, unused and byte pieces match no text.
+    """
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
+    real = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))]
+    return [(m.id_to_piece(i), m.get_score(i)) for i in real]
 
 
 class Counter:
@@ -99,7 +105,7 @@ def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value)
-        for b in batches:
+        for b in slices(batches, 1, 4000, 8_000_000):
             texts = b.column(1).to_pylist()
             got = [counter.text(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([c for _, c in got], pa.int64()), pa.array([s for s, _ in got], pa.float64())], ["doc_id", "n_chars", "n_tokens", "score"])
