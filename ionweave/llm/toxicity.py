@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import slices
+
 #: Most labelled documents (half of either class, if there are enough) and their longest text in training.
 SAMPLE, LONGEST = 6000, 20_000
 LANDMARKS, DECAY, SPAN, PIECE, WORST = 320, 0.7, 6, 24, 4
@@ -271,25 +272,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
     return fit_texts(got["text"].tolist(), got["y"].tolist())
 
 
-def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Runs of at most ``SLICE`` rows and, unless one row is longer, ``SLICE_BYTES`` of text."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        lo, held = 0, 0
-        for k, n in enumerate(size.tolist()):
-            if k > lo and (held + n > SLICE_BYTES or k - lo == SLICE):
-                yield b.slice(lo, k - lo)
-                lo, held = k, 0
-            held += n
-        yield b.slice(lo)
-
-
 def _scorer(model: ToxicModel, at: int):
     """(batch, its scores) of every slice of the batches, texts in column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         known: dict[str, float] = {}
-        for b in _slices(batches, at):
+        for b in slices(batches, at, SLICE, SLICE_BYTES):
             sets = [units(t) if t else set() for t in b.column(at).to_pylist()]
             if len(known) > KEPT:
                 known.clear()

