@@ -1,19 +1,28 @@
-"""LM scoring by a hierarchical Pitman-Yor model over word pairs.
-
-Every context (the word before, in one of ``CLASSES`` hashed classes) has a Chinese restaurant whose
-customers are the training tokens that follow; its tables are customers of the one parent restaurant of
-all words, whose tables draw from a uniform base over the vocabulary and one unknown word. Seating
-is sampled by Gibbs: in a sweep every dish of a context leaves and is seated anew, given all
-others, with the table count drawn from its exact conditional (generalised Stirling numbers) for up to
-``EXACT`` customers and onward in runs of a tenth; then every word of the parent. Sweeps run in
-parallel over shards of words, with context totals as of the sweep before. Predictive probabilities are
-averaged over ``SAMPLES`` seatings; discounts come from the counts of counts.
-
-Tokens are counted in each task and travel once, as compressed blocks by word shard; words that would
-fill a shard alone are split by context (which words, a sample decides; that moves work, not
-results: random numbers depend on the word pair only). Context totals are ``CLASSES`` numbers
-whatever the corpus; everything else stays in the shards. Rows are scored one by one, also rows with equal ids; null
-and empty texts are one end token; an empty table gives no rows.
+"""LM scoring by a hierarchical Pitman-Yor model of word triples.
+
+Three levels of Chinese restaurants: one for every pair of words before a token, one for every word
+before it, which all pairs ending in that word share as parent, and one of all words, which every
+one-word restaurant shares; its tables draw from a uniform base over the vocabulary and one unknown
+word. Contexts are exact (64-bit word hashes): their number grows with the corpus.
+
+Seating is sampled by Gibbs, a dish of a restaurant at a time: its tables leave the restaurant and the
+parent's dish, and its customers are seated anew given all others. Up to ``EXACT`` customers the
+number of tables is drawn from its conditional (generalised Stirling numbers); beyond, further customers
+come one by one by the predictive rule and the whole sequence is accepted or refused by Metropolis-Hastings,
+which has the same conditional as its limit (runs of customers without a new table are drawn at once,
+from their exact chance). Dishes are in ``COLOURS`` classes; totals are brought up to date after each.
+Discounts and strengths are drawn on a grid by their likelihood at every exchange. Predictive
+probabilities are averaged over ``SAMPLES`` seatings.
+
+Tokens travel once, as compressed blocks, to the shard of the word before them, which so holds
+all restaurants of that word. Words that would fill a shard alone are dealt by the pair before the token
+(a sample decides which; that moves work); their one-word restaurants are spread over shards and kept,
+like the restaurant of all words, in buckets by dish. Shards and buckets exchange customers twice; between
+exchanges a shard sees its own changes at once and others' as of the exchange. Nothing of the size of
+the vocabulary is broadcast or collected.
+
+Rows are scored one by one, also rows with equal ids; null and empty texts are one end token; long texts are
+counted in runs of ``CHUNK`` tokens; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +34,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.llm.common import cut
 
-CLASSES, EXACT, SAMPLES, BURN_IN = 1 << 16, 64, 3, 2
-THETA = 1.0
-FLUSH, SHARD_CHARS, LEAST_SHARDS, SAMPLE_CHARS = 12_000_000, 16_000_000, 24, 8_000_000
-BEFORE_ALL = 0x51ED270B  # class of the place before a text
-PARTS = 16  # slices of a vector of context totals
+EXACT, SAMPLES, BURN_IN, COLOURS = 64, 3, 2, 3
+CHUNK, FLUSH, SHARD_CHARS, LEAST_SHARDS, SAMPLE_CHARS = 500_000, 12_000_000, 10_000_000, 24, 8_000_000
+START = 0x51ED270B27B4F3A1  # hash of the place before a text
+#: Discounts and strengths that can be drawn.
+DISCOUNTS = [k / 20 for k in range(1, 20)]
+STRENGTHS = [0.05, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 100.0]
 OUT = "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+FLOW = "kind int, key long, sender long, blob binary, nums array<double>"
+#: Kinds of rows between shards and buckets.
+TO_BUCKET, TO_SHARD, STATE, NUMBERS, CONTEXT = range(5)
 
 
 def word_hash(word: bytes) -> int:
@@ -56,99 +68,79 @@ def uniforms(keys: np.ndarray, step: int) -> np.ndarray:
     return ((_mix(keys ^ _mix(np.array([step], np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-# --- counting ---------------------------------------------------------------------------------
+def squeeze(arrays) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(tuple((a.dtype.str, np.ascontiguousarray(a).tobytes()) for a in arrays), 5))
+
 
+def expand(blob: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(b, d) for d, b in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
 
-def _pack(rids, ids, train, rows, hashes, lid, cls, doc, cnt) -> bytes:
-    used, lid = np.unique(lid, return_inverse=True)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(lid)) + 1]) if len(lid) else np.zeros(0, np.int64)
-    arrays = (np.diff(rids, prepend=0), ids, train, hashes[used], np.diff(first, append=len(lid)).astype(np.uint32), cls.astype(np.uint16), doc.astype(np.uint16), cnt.astype(np.uint32))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(tuple((a.dtype.str, a.tobytes()) for a in arrays), 5))
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The array in the narrowest unsigned type that holds it."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
-def _unpack(blob: bytes):
-    return [np.frombuffer(b, d) for d, b in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
+
+# --- counting ---------------------------------------------------------------------------------
 
 
 def _count(shards: np.ndarray, hot: np.ndarray):
-    """Blocks of (word, context class, row, count), a row for each shard and flush."""
+    """Blocks of (pair before, word, row, count), a row for each shard and flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
-            vocab: dict[bytes, int] = {b"": 0}
+            vocab: dict[bytes | None, int] = {b"": 0, None: 1}
             put, ids, lens = vocab.setdefault, [], []
-            for _, _, _, text in rows:
-                words = text.lower().split() if text else []
+            for _, _, _, before, words in rows:
+                ids += [put(w, len(vocab)) for w in before]
                 ids += [put(w, len(vocab)) for w in words]
-                ids.append(0)
-                lens.append(len(words) + 1)
-            lid, lens = np.array(ids, np.int64), np.array(lens)
-            hashes = np.array([word_hash(w) for w in vocab], np.uint64)
-            cls = (hashes & np.uint64(CLASSES - 1)).astype(np.int64)[np.concatenate([[0], lid[:-1]])]
-            cls[np.cumsum(lens) - lens] = BEFORE_ALL % CLASSES
-            key, cnt = np.unique(lid << 32 | cls << 16 | np.repeat(np.arange(len(rows)), lens), return_counts=True)
-            lid, cls, doc = key >> 32, key >> 16 & 0xFFFF, key & 0xFFFF
-            shard = (hashes >> np.uint64(20)).astype(np.int64)
-            salted = np.isin(hashes, hot)
-            shard = (shard[lid] + np.where(salted[lid], cls * 7919, 0)) % len(shards)
+                lens.append(len(words) + 2)
+            ids, lens = np.array(ids, np.int64), np.array(lens)
+            hashes = np.array([START if w is None else word_hash(w) for w in vocab], np.uint64)
+            inside = np.ones(len(ids), bool)
+            first = np.cumsum(lens) - lens
+            inside[first] = inside[first + 1] = False
+            at = np.flatnonzero(inside)
+            pairs, pair = np.unique(ids[at - 1] << 32 | ids[at - 2], return_inverse=True)
+            key, cnt = np.unique(np.repeat(np.arange(len(rows)), lens - 2) << 48 | pair << 24 | ids[at], return_counts=True)
+            doc, pair, w = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
+            u, v = pairs[pair] >> 32, pairs[pair] & 0xFFFFFFFF
+            spread = np.where(np.isin(hashes, hot)[u], _mix(hashes[v] ^ hashes[u]), hashes[u] >> np.uint64(20))
+            shard = (spread % np.uint64(len(shards))).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(len(shards) + 1))
-            null = np.array([r[1] is None for r in rows])
-            head = (np.array([r[0] for r in rows]), np.array([r[1] or 0 for r in rows], np.int64), np.array([r[2] for r in rows], np.uint8) | null.astype(np.uint8) << 1)
+            heads = [np.array(c, np.int64) for c in ([r[0] for r in rows], [r[1] or 0 for r in rows], [r[2] | (r[1] is None) << 1 for r in rows])]
             found = [k for k in range(len(shards)) if edges[k + 1] > edges[k]]
             blobs = []
             for k in found:
                 part = order[edges[k] : edges[k + 1]]
-                blobs.append(_pack(*head, rows, hashes, lid[part], cls[part], doc[part], cnt[part]))
-            return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+                docs, d = np.unique(doc[part], return_inverse=True)
+                used, local = np.unique(np.concatenate([u[part], v[part], w[part]]), return_inverse=True)
+                lu, lv, lw = np.split(small(local), 3)
+                blobs.append(squeeze([*(h[docs] for h in heads), hashes[used], lu, lv, lw, np.bincount(d).astype(np.uint32), small(cnt[part])]))
+            return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         rows, size = [], 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append(row)
-                size += len(row[3] or b"")
-                if size > FLUSH or len(rows) >= 60_000:
-                    yield flush(rows)
-                    rows, size = [], 0
+            for rid, doc_id, flag, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = text.lower().split() if text else []
+                words.append(b"")
+                before: list = [None, None]
+                for lo in range(0, len(words), CHUNK):
+                    run_of = words[lo : lo + CHUNK]
+                    rows.append((rid, doc_id, flag, before, run_of))
+                    before = [*before, *run_of[-2:]][-2:]
+                    size += sum(map(len, run_of)) + len(run_of)
+                    if size > FLUSH or len(rows) >= 30_000:
+                        yield flush(rows)
+                        rows, size = [], 0
         if rows:
             yield flush(rows)
 
     return run
 
 
-# --- one shard --------------------------------------------------------------------------------
-
-
-class Shard:
-    """All counts of a shard's words, and the seating of its training tokens."""
-
-    def __init__(self, blobs: list[bytes]):
-        parts, at, rids, ids, train = [], 0, [], [], []
-        for blob in blobs:
-            rid, doc_id, flags, hashes, runs, cls, doc, cnt = _unpack(blob)
-            parts.append((np.repeat(hashes, runs), cls, doc.astype(np.int64) + at, cnt))
-            rids.append(np.cumsum(rid))
-            ids.append(doc_id)
-            train.append(flags)
-            at += len(rid)
-        words, cls, self.doc, self.cnt = (np.concatenate(x) for x in zip(*parts))
-        self.rids, self.ids, self.flags = np.concatenate(rids), np.concatenate(ids), np.concatenate(train)
-        self.words, w = np.unique(words, return_inverse=True)
-        pairs, self.pair = np.unique(w * CLASSES + cls, return_inverse=True)
-        self.pw, self.pc = pairs // CLASSES, pairs % CLASSES
-        learned = (self.flags[self.doc] & 1).astype(np.float64)
-        self.c = np.bincount(self.pair, self.cnt * learned, len(pairs)).astype(np.int64)
-        self.key = _mix(self.words[self.pw] ^ (self.pc.astype(np.uint64) << np.uint64(1)))
-        self.raw = np.bincount(self.pw, self.c, len(self.words)).astype(np.int64)
-        self.known = np.flatnonzero(self.c > 0)
-        self.many = np.flatnonzero(self.c > 1)
-
-    def by_word(self, t: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pw, t, len(self.words)).astype(np.int64)
-
-    def by_class(self, t: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pc, t, CLASSES).astype(np.int64)
-
+# --- seating ----------------------------------------------------------------------------------
 
 _STIRLING: dict[float, np.ndarray] = {}
 
@@ -166,118 +158,356 @@ def log_stirling(d: float) -> np.ndarray:
     return _STIRLING[d]
 
 
-def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, key: np.ndarray, step: int) -> np.ndarray:
-    """Table counts of dishes with ``c`` customers, given the tables of ``others`` and the parent's ``p``."""
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers, by Stirling's series seven places on."""
+    x = np.asarray(x, np.float64)
+    y = x + 7
+    low = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5) * (x + 6))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - low
+
+
+def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, theta: float, d: float, key: np.ndarray, step: int) -> np.ndarray:
+    """Table counts of dishes with up to ``EXACT`` customers, given others' tables and the parent's ``p``: exact draws."""
     t = np.minimum(c, 1).astype(np.int64)
     logs, u = log_stirling(d), uniforms(key, step)
-    small = np.minimum(c, EXACT)
-    order = np.argsort(small, kind="stable")
-    edges = np.searchsorted(small[order], np.arange(2, EXACT + 2))
+    order = np.argsort(c, kind="stable")
+    edges = np.searchsorted(c[order], np.arange(2, EXACT + 2))
     for n in range(2, EXACT + 1):
         group = order[edges[n - 2] : edges[n - 1]]
         for rows in np.array_split(group, len(group) * n // 1_000_000 + 1):
             if len(rows):
                 j = np.arange(n)
-                w = np.cumsum(np.log(THETA + d * (others[rows][:, None] + j)) + np.log(p[rows])[:, None], axis=1) + logs[n, 1 : n + 1]
+                w = np.cumsum(np.log((theta + d * (others[rows][:, None] + j)) * p[rows][:, None]), axis=1) + logs[n, 1 : n + 1]
                 w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
                 t[rows] = 1 + (w < (u[rows] * w[:, -1])[:, None]).sum(axis=1)
-    rows, done, run = np.flatnonzero(c > EXACT), EXACT, 0
-    while len(rows):
-        run += 1
-        size = np.minimum(max(1, done // 10), c[rows] - done)
-        a = (THETA + d * (others[rows] + t[rows])) * p[rows]
-        mean = size * a / (a + done - d * t[rows])
-        # the number of new tables in a run, from its normal or Poisson limit
-        v, w = uniforms(key[rows], step + 1000 * run), uniforms(key[rows], step + 1000 * run + 500)
-        normal = np.floor(np.maximum(mean + np.sqrt(mean) * np.sqrt(-2 * np.log(v)) * np.cos(2 * np.pi * w) + 0.5, 0))
-        few = np.zeros(len(rows))
-        term, total = np.exp(-mean), np.exp(-mean)
-        for k in range(1, 24):
-            few += v > total
-            term = term * mean / k
-            total = total + term
-        t[rows] += np.minimum(np.where(mean > 8, normal, few), size).astype(np.int64)
-        done += max(1, done // 10)
-        rows = rows[c[rows] > done]
     return t
 
 
-def chain(s: Shard, history: list[dict], hot: np.ndarray):
-    """Sweep by sweep: table counts of pairs and of words, given each round's totals in ``history``."""
-    t = np.minimum(s.c, 1)
-    tw = np.minimum(s.by_word(t), 1)
-    for k, h in enumerate(history):
-        for sweep in range(BURN_IN if k == 0 else SAMPLES):
-            cw = s.by_word(t)
-            shared = np.isin(s.words, hot)
-            for i in np.flatnonzero(shared):
-                cw[i] = h["hot"].get(int(s.words[i]), (0, cw[i]))[1]
-            p = parent(cw, tw, h)
-            m, step = s.many, 10 * k + sweep + 1
-            t = t.copy()
-            t[m] = seat(s.c[m], np.maximum(h["tables"][s.pc[m]] - t[m], 0), p[s.pw[m]], h["d2"], s.key[m], step)
-            cw = s.by_word(t)
-            for i in np.flatnonzero(shared):
-                cw[i] = h["hot"].get(int(s.words[i]), (0, cw[i]))[1]
-            tw = seat(cw, np.full(len(cw), max(h["parent_tables"] - 1, 0)), np.full(len(cw), 1 / (h["vocabulary"] + 1)), h["d1"], s.words, step + 5_000_000)
-            yield k, t, tw
-
-
-def parent(cw: np.ndarray, tw: np.ndarray, h: dict) -> np.ndarray:
-    """The parent restaurant's predictive probability of words with ``cw`` customers at ``tw`` tables."""
-    return (np.maximum(cw - h["d1"] * tw, 0) + (THETA + h["d1"] * h["parent_tables"]) / (h["vocabulary"] + 1)) / (THETA + h["parent_customers"])
-
-
-# --- jobs -------------------------------------------------------------------------------------
-
-
-def _over_shards(blocks: DataFrame, work, schema: str) -> DataFrame:
-    """``work(shard)`` over every shard; a partition holds all blocks of its shards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(k, []).append(blob)
-        for k in sorted(held):
-            yield from work(Shard(sorted(held.pop(k))))
-
-    return blocks.mapInArrow(run, schema)
+def arrive(row, t, start, c, others, p, theta: float, d: float, key, step: int) -> np.ndarray:
+    """Customers of dishes come one by one, from ``start`` customers at ``t`` tables up to ``c``.
 
+    Returns spells ``(row, tables, from, to)``: a spell's last customer opens a table, but the last spell's.
+    """
+    out, n = [], 0
+    row, t, start, c, others, p, key = (np.asarray(x) for x in (row, t, start, c, others, p, key))
+    t, start = t.astype(np.float64), start.astype(np.float64)
+    while len(row):
+        n += 1
+        a, x, u = (theta + d * (others + t)) * p, start - d * t, np.log(uniforms(key, step * 1_000_003 + n))
+        base = log_gamma(x + a) - log_gamma(x)
+        none = lambda k: base + log_gamma(x + k) - log_gamma(x + k + a)  # noqa: E731  log chance of no new table among k customers
+        last = none(c - start) > u
+        lo, hi = np.zeros(len(row)), c - start
+        while (wide := hi - lo > 1).any():
+            mid = np.where(wide, np.floor((lo + hi) / 2), hi)
+            past = none(mid) <= u
+            hi, lo = np.where(wide & past, mid, hi), np.where(wide & ~past, mid, lo)
+        end = np.where(last, c, start + hi)
+        out.append(np.stack([row, t, start, end]))
+        ended = ~last & (end == c)
+        out.append(np.stack([row, t + 1, c, c])[:, ended])
+        go = ~last & (end < c)
+        row, t, start, c, others, p, key = row[go], t[go] + 1, end[go], c[go], others[go], p[go], key[go]
+    return np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((4, 0), np.int64)
+
+
+class Seats:
+    """Table counts of the dishes of restaurants, and the spells of dishes with over ``EXACT`` customers."""
+
+    def __init__(self, t: np.ndarray, spells: np.ndarray | None = None):
+        self.t = t
+        self.spells = np.zeros((4, 0), np.int64) if spells is None else spells
+
+    def redo(self, rows, c, others, p, theta: float, d: float, key, step: int) -> None:
+        """The dishes ``rows`` seated anew; the other arrays are of the rows only."""
+        few = c <= EXACT
+        t = self.t.copy()
+        t[rows[few]] = seat(c[few], others[few], p[few], theta, d, key[few], step)
+        gone = np.zeros(len(t), bool)
+        gone[rows] = True
+        old = self.spells[:, gone[self.spells[0]]]
+        kept = [self.spells[:, ~gone[self.spells[0]]]]
+        many = np.flatnonzero(~few)
+        if len(many):
+            r, place = rows[many], np.full(len(t), -1, np.int64)
+            place[r] = np.arange(len(many))
+            c, others, p, key = c[many], others[many], p[many], key[many]
+            old = old[:, place[old[0]] >= 0]
+            at = place[old[0]]
+            old, at = old[:, old[2] <= c[at]], at[old[2] <= c[at]]  # customers that left since
+            old[3] = np.minimum(old[3], c[at])
+            # customers that came since, on from the last spell
+            tail = np.zeros(len(many), np.int64)
+            np.maximum.at(tail, at, old[1])
+            ends = np.full(len(many), EXACT, np.int64)
+            np.maximum.at(ends, at, old[3])
+            fresh = tail == 0
+            first = lambda k: seat(np.full(len(many), EXACT), others, p, theta, d, key, step + k)
+            tail = np.where(fresh, first(200), tail)
+            more = (ends < c) | fresh
+            grown = arrive(np.flatnonzero(more), tail[more], ends[more], c[more], others[more], p[more], theta, d, key[more], step + 400)
+            path = np.concatenate([np.stack([at, *old[1:]]), grown], axis=1)
+            path = self._joined(path)
+            new = self._joined(arrive(np.arange(len(many)), first(600), np.full(len(many), EXACT), c, others, p, theta, d, key, step + 800))
+
+            def weight(s):
+                a, x = (theta + d * (others[s[0]] + s[1])) * p[s[0]], -d * s[1]
+                return np.bincount(s[0], log_gamma(s[3] + x + a) - log_gamma(s[2] + x + a), len(many))
+
+            take = np.log(uniforms(key, step + 1200)) < weight(new) - weight(path)
+            chosen = np.concatenate([new[:, take[new[0]]], path[:, ~take[path[0]]]], axis=1)
+            top = np.zeros(len(many), np.int64)
+            np.maximum.at(top, chosen[0], chosen[1])
+            t[r] = top
+            kept.append(np.stack([r[chosen[0]], *chosen[1:]]))
+        self.t, self.spells = t, np.concatenate(kept, axis=1)
+
+    @staticmethod
+    def _joined(s: np.ndarray) -> np.ndarray:
+        """Spells of one dish at the same number of tables as one."""
+        order = np.lexsort((s[2], s[1], s[0]))
+        s = s[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(s[0]) != 0) | (np.diff(s[1]) != 0)])) if s.shape[1] else np.zeros(0, np.int64)
+        return np.stack([s[0][first], s[1][first], s[2][first], np.maximum.reduceat(s[3], first)]) if len(first) else s
+
+    def likelihood(self, c: np.ndarray) -> np.ndarray:
+        """Log likelihood of the dishes' seating by discount, but for the terms of whole restaurants."""
+        out = np.zeros(len(DISCOUNTS))
+        few = (c >= 2) & (c <= EXACT)
+        pairs, n = np.unique(c[few] * (EXACT + 1) + self.t[few], return_counts=True)
+        r, t, lo, hi = self.spells
+        top = np.zeros(len(c), np.int64)
+        np.maximum.at(top, r, t)
+        hi = hi - (t < top[r])  # the last customer of the other spells opened a table
+        start = t[lo == EXACT]
+        for k, d in enumerate(DISCOUNTS):
+            out[k] = (n * log_stirling(d).ravel()[pairs]).sum() + log_stirling(d)[EXACT, start].sum() + (log_gamma(hi - d * t) - log_gamma(lo - d * t)).sum()
+        return out
+
+
+def restaurants(tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
+    """Log likelihood of restaurants' totals, by discount and strength."""
+    out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+    ts, n = np.unique(tables[tables > 0], return_counts=True)
+    cs, m = np.unique(customers[customers > 0], return_counts=True)
+    for j, s in enumerate(STRENGTHS):
+        c = (m * (log_gamma(s + cs) - log_gamma(np.array([s])))).sum()
+        for i, d in enumerate(DISCOUNTS):
+            out[i, j] = (n * (ts * np.log(d) + log_gamma(s / d + ts) - log_gamma(np.array([s / d])))).sum() - c
+    return out
 
-def _totals(rows: DataFrame) -> list[np.ndarray]:
-    """Vectors of context totals (``part``, ``blob``) added up in two steps; returns one vector a name."""
 
-    def add(key, pdf):
-        import pandas as pd
+def predictive(c, t, tables, customers, up, theta, d):
+    """A restaurant's chance of dishes with ``c`` customers at ``t`` tables, given the parent's ``up``."""
+    return (c - d * t + (theta + d * tables) * up) / (theta + customers)
 
-        return pd.DataFrame({"name": [key[0]], "part": [key[1]], "lot": [0], "blob": [sum(np.frombuffer(b, np.int64) for b in pdf["blob"]).tobytes()]})
 
-    schema = "name int, part int, lot int, blob binary"
-    once = rows.groupBy("name", "part", "lot").applyInPandas(add, schema).groupBy("name", "part").applyInPandas(add, schema)
-    got = once.collect()  # a few names, PARTS slices
-    names = max((r["name"] for r in got), default=-1) + 1
-    return [np.concatenate([np.frombuffer(r["blob"], np.int64) for r in sorted((r for r in got if r["name"] == k), key=lambda r: r["part"])]) for k in range(names)]
+# --- a shard ----------------------------------------------------------------------------------
 
 
-def _vectors(vectors: list[np.ndarray], lot: int) -> pa.RecordBatch:
-    size = len(vectors[0]) // PARTS
-    rows = [(n, p, lot, v[p * size : (p + 1) * size].tobytes()) for n, v in enumerate(vectors) for p in range(PARTS)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["name", "part", "lot", "blob"])
+class Shard:
+    """All tokens after the shard's words, and the seating of its training tokens."""
+
+    def __init__(self, blobs: list[bytes], hot: np.ndarray):
+        cols = [expand(b) for b in sorted(blobs)]
+        self.rids, self.ids, self.flags = (np.concatenate(c) for c in zip(*(x[:3] for x in cols)))
+        self.words, local = np.unique(np.concatenate([x[3] for x in cols]), return_inverse=True)
+        n, offsets = len(self.words), np.cumsum([0] + [len(x[3]) for x in cols])
+        u, v, w = (np.concatenate([local[lo : lo + len(x[3])].astype(np.int32)[x[k]] for x, lo in zip(cols, offsets)]) for k in (4, 5, 6))
+        at = np.cumsum([0] + [len(x[0]) for x in cols])
+        self.doc = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + lo, x[7]) for x, lo in zip(cols, at)])
+        self.cnt = np.concatenate([x[8].astype(np.int32) for x in cols])
+        del cols, local
+        pairs, x = np.unique(u.astype(np.int64) * n + v, return_inverse=True)
+        del u, v
+        types, self.row3 = np.unique(x * n + w, return_inverse=True)
+        self.row3 = self.row3.astype(np.int32)
+        del x, w
+        self.x3, w3 = (types // n).astype(np.int32), types % n
+        both, row2 = np.unique(pairs[self.x3] // n * n + w3, return_inverse=True)
+        self.row2, self.u2, self.w2 = row2.astype(np.int32), both // n, both % n
+        self.c3 = np.bincount(self.row3, self.cnt * (self.flags[self.doc] & 1), len(types)).astype(np.int64)
+        self.pairs, self.n = len(pairs), n
+        self.customers3 = np.bincount(self.x3, self.c3, self.pairs)
+        self.shared = np.isin(self.words, hot)[self.u2]  # rows of one-word restaurants that lie in buckets
+        self.raw = np.bincount(self.w2[row2], self.c3, n).astype(np.int64)
+        self.key2 = _mix(self.words[self.u2] ^ _mix(self.words[self.w2]))
+        self.multi = np.flatnonzero(self.c3 > 1)
+        self.key3 = _mix(self.key2[row2[self.multi]] ^ _mix(self.words[pairs[self.x3[self.multi]] % n]))
+        self.s3, self.s2 = Seats(np.minimum(self.c3, 1)), Seats(np.zeros(len(both), np.int64))
+        self.s2.t = np.where(self.shared, 0, np.minimum(self.below(), 1))
+
+    def below(self) -> np.ndarray:
+        """Customers that this shard's word pairs send to the one-word restaurants."""
+        return np.bincount(self.row2, self.s3.t, len(self.u2)).astype(np.int64)
+
+    def sent(self) -> np.ndarray:
+        """Customers that this shard's own one-word restaurants send to the restaurant of all words."""
+        return np.bincount(self.w2, np.where(self.shared, 0, self.s2.t), self.n).astype(np.int64)
+
+    # state between jobs
+    def pack_state(self) -> bytes:
+        return squeeze([small(self.s3.t[self.multi]), *self.s3.spells, small(self.s2.t), *self.s2.spells])
+
+    def load_state(self, blob: bytes) -> None:
+        a = expand(blob)
+        self.s3.t[self.multi] = a[0]
+        self.s3.spells, self.s2 = np.stack(a[1:5]), Seats(a[5].astype(np.int64), np.stack(a[6:10]))
+
+    # exchange
+    def orders(self, buckets: int):
+        """Row numbers of words and of shared rows by bucket; alike whenever the shard is built."""
+        word, rows = self.words % np.uint64(buckets), np.flatnonzero(self.shared)
+        for b in range(buckets):
+            mine = np.flatnonzero(word == b)
+            if len(mine):
+                yield b, mine, rows[word[self.w2[rows]] == b]
+
+    def to_buckets(self, me: int, buckets: int):
+        below, sent = self.below(), self.sent()
+        for b, mine, rows in self.orders(buckets):
+            local = np.searchsorted(mine, self.w2[rows])
+            yield TO_BUCKET, b, me, squeeze([self.words[mine], small(sent[mine]), small(self.raw[mine]), self.words[self.u2[rows]], small(local), small(below[rows])]), None
+
+    def from_buckets(self, rows: dict[int, bytes], buckets: int, totals: dict) -> None:
+        """Readings of the restaurant of all words and of shared rows, as of the exchange."""
+        self.c1, self.t1, self.count = (np.zeros(self.n, np.int64) for _ in range(3))
+        c2, t2 = np.zeros(len(self.u2), np.int64), np.zeros(len(self.u2), np.int64)
+        for b, mine, shared in self.orders(buckets):
+            c1, t1, raw, c, t = expand(rows[b])
+            self.c1[mine], self.t1[mine], self.count[mine], c2[shared], t2[shared] = c1, t1, raw, c, t
+        self.far2 = np.where(self.shared, c2 - self.below(), 0)  # customers from other shards
+        self.far1 = self.c1 - self.sent()
+        self.s2.t = np.where(self.shared, t2, self.s2.t)
+        self.totals = totals
+        # totals of shared restaurants: others' part stays
+        at = {int(w): i for i, w in enumerate(self.words)}
+        self.far_customers, self.far_tables = np.zeros(self.n), np.zeros(self.n)
+        here = np.bincount(self.u2, np.where(self.shared, self.below(), 0), self.n)
+        mine = np.bincount(self.u2, np.where(self.shared, t2, 0), self.n)
+        for w, (tables, customers) in totals["contexts"].items():
+            if w in at:
+                self.far_tables[at[w]], self.far_customers[at[w]] = tables - mine[at[w]], customers - here[at[w]]
+
+    # chances
+    def root(self, leave=0, rows=slice(None)) -> np.ndarray:
+        """The chance of words in the restaurant of all words, ``leave`` customers gone."""
+        h = self.totals
+        c = np.maximum(self.far1[rows] + self._sent[rows] - leave, 0)
+        t = np.minimum(self.t1[rows], c)
+        gone = self.t1[rows] - t
+        return predictive(c, t, h["tables1"] - gone, h["customers1"] + self._moved - leave, 1 / (h["vocabulary"] + 1), h["theta1"], h["d1"])
+
+    def refresh(self) -> None:
+        """Totals of all levels from the present seating."""
+        self._c2 = self.far2 + self.below()
+        self.s2.t = np.clip(self.s2.t, np.minimum(self._c2, 1), self._c2)
+        self._sent = self.sent()
+        self._moved = int((self.far1 + self._sent - self.c1).sum())
+        self._tables3 = np.bincount(self.x3, self.s3.t, self.pairs)
+        self._tables2 = np.bincount(self.u2, self.s2.t, self.n) + self.far_tables
+        self._customers2 = np.bincount(self.u2, self.below(), self.n) + self.far_customers
+
+    def sweep(self, step: int) -> None:
+        """Every dish of the shard's restaurants seated anew, the word pairs' first."""
+        h = self.totals
+        self.refresh()
+        colour = self.key3 % np.uint64(COLOURS)
+        for k in range(COLOURS):
+            at = np.flatnonzero(colour == k)
+            i = self.multi[at]
+            j, t = self.row2[i], self.s3.t[i]
+            c = self._c2[j] - t
+            tables = np.minimum(self.s2.t[j], c)
+            u = self.u2[j]
+            up = predictive(c, tables, self._tables2[u] - (self.s2.t[j] - tables), self._customers2[u] - t, self.root(self.s2.t[j] - tables, self.w2[j]), h["theta2"], h["d2"])
+            self.s3.redo(i, self.c3[i], self._tables3[self.x3[i]] - t, up, h["theta3"], h["d3"], self.key3[at], 10_000 * step + k)
+            self.refresh()
+        colour = self.key2 % np.uint64(COLOURS)
+        for k in range(COLOURS):
+            j = np.flatnonzero((colour == k) & (self._c2 > 1) & ~self.shared)
+            t, u = self.s2.t[j], self.u2[j]
+            self.s2.redo(j, self._c2[j], self._tables2[u] - t, self.root(t, self.w2[j]), h["theta2"], h["d2"], self.key2[j], 10_000 * step + 5000 + k)
+            self.refresh()
+
+    def chances(self) -> np.ndarray:
+        """The model's chance of every (pair, word) under the present seating; sums to one over words."""
+        h = self.totals
+        root = predictive(self.c1, self.t1, h["tables1"], h["customers1"], 1 / (h["vocabulary"] + 1), h["theta1"], h["d1"])
+        up = predictive(self._c2, self.s2.t, self._tables2[self.u2], self._customers2[self.u2], root[self.w2], h["theta2"], h["d2"])
+        return predictive(self.c3, self.s3.t, self._tables3[self.x3], self.customers3[self.x3], up[self.row2], h["theta3"], h["d3"])
+
+    def numbers(self) -> np.ndarray:
+        """What the driver adds up: counts of ones and twos, then likelihoods of both levels."""
+        c2 = np.where(self.shared, 0, self.below())
+        ones = [(self.c3 == 1).sum(), (self.c3 == 2).sum(), (c2 == 1).sum(), (c2 == 2).sum()]
+        own = np.zeros(self.n, bool)
+        own[self.u2[~self.shared]] = True
+        t2 = np.bincount(self.u2, np.where(self.shared, 0, self.s2.t), self.n)
+        three = restaurants(np.bincount(self.x3, self.s3.t, self.pairs), self.customers3) + self.s3.likelihood(self.c3)[:, None]
+        two = restaurants(t2[own], np.bincount(self.u2, c2, self.n)[own]) + self._only(self.s2, ~self.shared).likelihood(c2)[:, None]
+        return np.concatenate([ones, np.zeros(4), three.ravel(), two.ravel(), np.zeros(two.size)])
+
+    @staticmethod
+    def _only(s: Seats, rows: np.ndarray) -> Seats:
+        return Seats(np.where(rows, s.t, 0), s.spells[:, rows[s.spells[0]]])
+
+
+# --- a bucket ---------------------------------------------------------------------------------
+
+
+def bucket(senders: list[int], blobs: list[bytes], h: dict):
+    """Adds up the shards' customers, seats shared rows and the restaurant of all words, answers each shard."""
+    cols = [expand(b) for b in blobs]
+    words, at = np.unique(np.concatenate([x[0] for x in cols]), return_inverse=True)
+    lo = np.cumsum([0] + [len(x[0]) for x in cols])
+    add = lambda k: np.bincount(at, np.concatenate([x[k] for x in cols]), len(words)).astype(np.int64)
+    c1, raw = add(1), add(2)
+    uw = np.concatenate([np.stack([x[3], words[at[a:b]][x[4]]]) for x, a, b in zip(cols, lo, lo[1:])], axis=1)
+    order = np.lexsort(uw)
+    first = np.concatenate([[True], (np.diff(uw[:, order].astype(np.int64)) != 0).any(axis=0)]) if len(order) else np.zeros(0, bool)
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(first) - 1
+    u, w = uw[:, order][:, first]
+    w = np.searchsorted(words, w)
+    c2 = np.bincount(row, np.concatenate([x[5] for x in cols]), len(u)).astype(np.int64)
+    s2, s1 = Seats(np.minimum(c2, 1)), Seats(np.zeros(len(words), np.int64))
+    own = c1
+    c1 = own + np.bincount(w, s2.t, len(words)).astype(np.int64)
+    s1.t = np.minimum(c1, 1)
+    if "tables1" in h:
+        tables = np.array([h["contexts"].get(int(x), (0, 0))[0] for x in u], np.int64)
+        key, rows = _mix(u ^ _mix(words[w])), np.flatnonzero(c2 > 1)
+        for k in range(3):
+            many = np.flatnonzero(c1 > 1)
+            s1.redo(many, c1[many], np.maximum(h["tables1"] - s1.t[many], 0), np.full(len(many), 1 / (h["vocabulary"] + 1)), h["theta1"], h["d1"], words[many], 10 * h["step"] + k)
+            if k < 2 and len(rows):
+                left = c1[w] - s2.t  # customers of the word without the row's own
+                up = predictive(left, np.minimum(s1.t[w], left), h["tables1"], h["customers1"] - s2.t, 1 / (h["vocabulary"] + 1), h["theta1"], h["d1"])
+                s2.redo(rows, c2[rows], np.maximum(tables - s2.t, 0)[rows], up[rows], h["theta2"], h["d2"], key[rows], 10 * h["step"] + k)
+                c1 = own + np.bincount(w, s2.t, len(words)).astype(np.int64)
+                s1.t = np.minimum(s1.t, c1)
+    places = np.cumsum([0] + [len(x[5]) for x in cols])
+    for k, sender in enumerate(senders):
+        r = slice(lo[k], lo[k + 1])
+        mine = row[places[k] : places[k + 1]]
+        yield TO_SHARD, sender, h["bucket"], squeeze([small(c1[at[r]]), small(s1.t[at[r]]), small(raw[at[r]]), small(c2[mine]), small(s2.t[mine])]), None
+    head = [0, 0, (c2 == 1).sum(), (c2 == 2).sum(), raw.sum(), (raw > 0).sum(), c1.sum(), s1.t.sum()]
+    wide = len(STRENGTHS)
+    dishes = lambda s, c: np.repeat(s.likelihood(c), wide)  # noqa: E731  a discount's sum for every strength
+    yield NUMBERS, 0, 0, None, np.concatenate([head, np.zeros(len(DISCOUNTS) * wide), dishes(s2, c2), dishes(s1, c1)])
+    contexts, of = np.unique(u, return_inverse=True)
+    for x, t, c in zip(contexts.astype(np.int64).tolist(), np.bincount(of, s2.t), np.bincount(of, c2)):
+        yield CONTEXT, x, 0, None, np.array([t, c], float)
 
 
-def _stat_vector(numbers: list[float]) -> np.ndarray:
-    out = np.zeros(CLASSES, np.int64)
-    out[: len(numbers)] = numbers
-    return out
+# --- jobs -------------------------------------------------------------------------------------
 
 
-def _hot_slots(s: Shard, hot: np.ndarray, values: np.ndarray, base: int, numbers: np.ndarray) -> None:
-    """Puts the shard's part of hot words' ``values`` at their slots of a vector."""
-    at = np.searchsorted(hot, s.words)
-    mine = np.flatnonzero((at < len(hot)) & (hot[np.minimum(at, max(len(hot) - 1, 0))] == s.words)) if len(hot) else []
-    for i in mine:
-        numbers[base + at[i]] += values[i]
+def _batch(rows) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * 5
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()))
+    return pa.table([pa.array(list(c), t) for c, t in zip(cols, types)], names=["kind", "key", "sender", "blob", "nums"])
 
 
 def _hot_words(docs: DataFrame, chars: int, shards: int) -> np.ndarray:
@@ -289,7 +519,33 @@ def _hot_words(docs: DataFrame, chars: int, shards: int) -> np.ndarray:
     counted = part.groupBy("w").count()
     least = (counted.agg(F.sum("count")).first()[0] or 0) / (4 * shards)
     top = counted.where(F.col("count") > max(least, 100)).collect()
-    return np.unique(np.array([word_hash(r["w"].encode().lower()) for r in top] + [word_hash(b"")], np.uint64))
+    return np.unique(np.array([word_hash(r["w"].encode().lower()) for r in top if r["w"]] + [START], np.uint64))
+
+
+def _reading(flow: DataFrame, h: dict, step: int) -> dict:
+    """Totals that all need, and the next discounts and strengths, from the numbers of shards and buckets."""
+    sums = flow.where(F.col("kind").isin(NUMBERS, CONTEXT)).select("kind", "key", F.posexplode("nums")).groupBy("kind", "key", "pos").agg(F.sum("col").alias("n")).collect()
+    numbers = np.zeros(8 + 3 * len(DISCOUNTS) * len(STRENGTHS))
+    contexts: dict[int, list] = {}
+    for r in sums:
+        if r["kind"] == NUMBERS:
+            numbers[r["pos"]] = r["n"]
+        else:
+            contexts.setdefault(r["key"] % (1 << 64), [0, 0])[r["pos"]] = int(r["n"])
+    three, two, one = numbers[8:].reshape(3, len(DISCOUNTS), len(STRENGTHS))
+    totals = np.array([contexts[k] for k in contexts], np.int64).reshape(-1, 2)
+    two = two + restaurants(totals[:, 0], totals[:, 1])
+    out = {"contexts": contexts, "tokens": int(numbers[4]), "vocabulary": int(numbers[5]), "customers1": int(numbers[6]), "tables1": int(numbers[7]), "step": step}
+    one = one + restaurants(np.array([out["tables1"]]), np.array([out["customers1"]]))
+    if "d3" not in h:  # no seating yet: from the counts of ones and twos
+        nearest = lambda a, b: min(DISCOUNTS, key=lambda d: abs(d - (a / (a + 2 * b) if a else 0.5)))
+        return out | {"d3": nearest(*numbers[:2]), "d2": nearest(*numbers[2:4]), "d1": 0.5, "theta3": 1.0, "theta2": 1.0, "theta1": 1.0}
+    for level, grid in ((3, three), (2, two), (1, one)):
+        p = np.exp(grid - grid.max()).ravel()
+        i = int(np.searchsorted(np.cumsum(p), np.random.default_rng(100 * step + level).random() * p.sum()))
+        i, j = divmod(min(i, p.size - 1), len(STRENGTHS))
+        out |= {f"d{level}": DISCOUNTS[i], f"theta{level}": STRENGTHS[j]}
+    return out
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -298,85 +554,67 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), learn.alias("learn"), F.col("text").cast("string"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(LEAST_SHARDS, chars // SHARD_CHARS + 1)
+    buckets = max(8, n // 4)
     hot = _hot_words(rows, chars, n)
-    places = spark.range(40 * n).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-    shards = np.array([r["k"] for r in places.groupBy("p").agg(F.min("k").alias("k")).collect()] or [0])  # one key a partition
-    blocks = rows.select("rid", "doc_id", F.col("learn").cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot), "shard int, blob binary")
-    blocks = blocks.repartition(n, "shard").persist(StorageLevel.DISK_ONLY)
-
-    # Number of the totals' slots; hot words follow from slot 16 on, twice.
-    def numbers(s: Shard, t: np.ndarray, tw: np.ndarray) -> np.ndarray:
-        cw, here = s.by_word(t), ~np.isin(s.words, hot)
-        v = _stat_vector([s.c.sum(), (s.raw[here] > 0).sum(), (s.c == 1).sum(), (s.c == 2).sum(), (cw[here] == 1).sum(), (cw[here] == 2).sum(), cw[here].sum(), tw[here].sum()])
-        _hot_slots(s, hot, s.raw, 16, v)
-        _hot_slots(s, hot, cw, 16 + len(hot), v)
-        return v
-
-    def reading(v: np.ndarray, tables: np.ndarray, customers: np.ndarray, before: dict | None) -> dict:
-        raw, seated = v[16 : 16 + len(hot)], v[16 + len(hot) : 16 + 2 * len(hot)]
-        h = {"tables": tables, "customers": customers, "hot": {int(w): (int(a), int(b)) for w, a, b in zip(hot, raw, seated)}}
-        h["tokens"], h["vocabulary"] = int(v[0]), int(v[1] + (raw > 0).sum())
-        kn = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a and b else 0.5
-        h["d2"], h["d1"] = (before["d2"], before["d1"]) if before else (kn(v[2], v[3]), kn(v[4], v[5]))
-        h["parent_customers"] = int(v[6] + seated.sum())
-        hot_tables = seat(seated, np.full(len(hot), max(int(v[7]) - 1, 0)), np.full(len(hot), 1 / (h["vocabulary"] + 1)), h["d1"], hot, 9_000_000) if len(hot) else np.zeros(0)
-        h["parent_tables"] = int(v[7] + hot_tables.sum())
-        return h
-
-    def begin(s: Shard):
-        t = np.minimum(s.c, 1)
-        yield _vectors([numbers(s, t, np.minimum(s.by_word(t), 1)), s.by_class(t), s.by_class(s.c)], int(s.words[0] % 64) if len(s.words) else 0)
-
-    schema = "name int, part int, lot int, blob binary"
-    v = _totals(_over_shards(blocks, begin, schema))
-    if not v:
-        return spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    history = [reading(v[0], v[1], v[2], None)]
-
-    def sweeps(known: list[dict]):
-        def run(s: Shard):
-            out = []
-            for k, t, tw in chain(s, known, hot):
-                if k == len(known) - 1:
-                    out += [numbers(s, t, tw), s.by_class(t)]
-            yield _vectors(out[-2:] if len(known) == 1 else out, int(s.words[0] % 64))
+    places = spark.range(40 * n).select(F.col("id").alias("k"), F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    shards = np.array([r["k"] for r in places.groupBy("p").agg(F.min("k").alias("k")).collect()])  # one key a partition
+    blocks = rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot), "shard long, blob binary")
+    blocks = cut(blocks.repartition(n, "shard"))
+
+    def meet(flow: DataFrame, h: dict) -> DataFrame:
+        def run(key, part):
+            got = sorted(zip(part.column("sender").to_pylist(), part.column("blob").to_pylist()))
+            return _batch(bucket([s for s, _ in got], [b for _, b in got], h | {"bucket": key[0].as_py()}))
+
+        return flow.where(F.col("kind") == TO_BUCKET).groupBy("key").applyInArrow(run, FLOW)
+
+    def begin(key, part):
+        me, s = key[0].as_py(), Shard(part.column("blob").to_pylist(), hot)
+        return _batch([*s.to_buckets(me, buckets), (NUMBERS, 0, 0, None, s.numbers())])
+
+    def load(me: int, blobs: pa.Table, letters: pa.Table, h: dict) -> Shard:
+        s = Shard(blobs.column("blob").to_pylist(), hot)
+        rows = list(zip(*(letters.column(c).to_pylist() for c in ("kind", "sender", "blob"))))
+        for kind, _, blob in rows:
+            if kind == STATE:
+                s.load_state(blob)
+        s.from_buckets({sender: blob for kind, sender, blob in rows if kind == TO_SHARD}, buckets, h)
+        return s
+
+    def burn(h: dict):
+        def run(key, blobs, letters):
+            me = key[0].as_py()
+            s = load(me, blobs, letters, h)
+            for k in range(BURN_IN):
+                s.sweep(k + 1)
+            return _batch([*s.to_buckets(me, buckets), (STATE, me, 0, s.pack_state(), None), (NUMBERS, 0, 0, None, s.numbers())])
+
+        return run
+
+    def finish(h: dict):
+        def run(key, blobs, letters):
+            s = load(key[0].as_py(), blobs, letters, h)
+            p = np.zeros(len(s.c3))
+            for k in range(SAMPLES):
+                s.sweep(BURN_IN + k + 1)
+                p += s.chances() / SAMPLES
+            w = s.w2[s.row2]
+            base = np.log10((s.count + 0.1) / (h["tokens"] + 0.1 * (h["vocabulary"] + 1)))[w]
+            add = lambda x: np.bincount(s.doc, s.cnt * x[s.row3], len(s.rids))
+            ids = pa.array(s.ids, pa.int64(), mask=s.flags & 2 > 0)
+            cols = [pa.array(s.rids), ids, pa.array(np.bincount(s.doc, s.cnt, len(s.rids)).astype(np.int64)), pa.array(add((s.count > 0)[w]).astype(np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+            return pa.table(cols, names=["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         return run
 
-    v = _totals(_over_shards(blocks, sweeps(history), schema))
-    history.append(reading(v[0], v[1], history[0]["customers"], history[0]))
-    v = _totals(_over_shards(blocks, sweeps(history), schema))
-    final = [reading(v[2 * k], v[2 * k + 1], history[0]["customers"], history[0]) for k in range(SAMPLES)]
-    sent = spark.sparkContext.broadcast((history, final))  # CLASSES numbers a seating
-
-    def finish(s: Shard):
-        history, final = sent.value
-        first, p, k = history[0], np.zeros(len(s.c)), 0
-        for level, t, tw in chain(s, history, hot):
-            if level == 0:
-                continue
-            h = final[k]
-            k += 1
-            cw = s.by_word(t)
-            for i in np.flatnonzero(np.isin(s.words, hot)):
-                cw[i] = h["hot"].get(int(s.words[i]), (0, cw[i]))[1]
-                tw[i] = seat(cw[i : i + 1], np.array([max(h["parent_tables"] - 1, 0)]), np.array([1 / (h["vocabulary"] + 1)]), h["d1"], s.words[i : i + 1], 9_000_000)[0]
-            up = parent(cw, tw, h)
-            p += (np.maximum(s.c - h["d2"] * t, 0) + (THETA + h["d2"] * h["tables"][s.pc]) * up[s.pw]) / (THETA + first["customers"][s.pc])
-        raw = s.raw.copy()
-        for i in np.flatnonzero(np.isin(s.words, hot)):
-            raw[i] = first["hot"].get(int(s.words[i]), (raw[i], 0))[0]
-        base = np.log10((raw + 0.1) / (first["tokens"] + 0.1 * (first["vocabulary"] + 1)))
-        w = s.pw[s.pair]
-        docs, at = np.unique(s.doc, return_inverse=True)
-        add = lambda x: np.bincount(at, x, len(docs))
-        logp = np.log10(p / SAMPLES)
-        null = pa.array(s.flags[docs] & 2 > 0)
-        ids = pa.array(s.ids[docs], mask=np.asarray(null))
-        cols = [pa.array(s.rids[docs]), ids, pa.array(add(s.cnt).astype(np.int64)), pa.array(add(s.cnt * (raw[w] > 0)).astype(np.int64)), pa.array(add(s.cnt * base[w])), pa.array(add(s.cnt * logp[s.pair]))]
-        yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    sums = _over_shards(blocks, finish, OUT).groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    done = cut(sums.select("doc_id", "n_tokens", "n_known", F.lit(history[0]["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"))
-    blocks.unpersist()
-    return done
+    def together(letters: DataFrame):
+        return blocks.groupBy("shard").cogroup(letters.where(F.col("kind").isin(TO_SHARD, STATE)).withColumnRenamed("key", "shard").groupBy("shard"))
+
+    sent = cut(blocks.groupBy("shard").applyInArrow(begin, FLOW))
+    back = cut(meet(sent, {"step": 1}))
+    h = _reading(sent.unionByName(back), {}, 2)
+    sent = cut(together(back).applyInArrow(burn(h), FLOW))
+    back = cut(meet(sent, h))
+    h = _reading(sent.unionByName(back), h, 3)
+    sums = together(sent.unionByName(back)).applyInArrow(finish(h), OUT).groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return cut(sums.select("doc_id", "n_tokens", "n_known", F.lit(h["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"))

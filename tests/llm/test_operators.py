@@ -60,32 +60,139 @@ def test_language_model(spark, docs, nothing):
     assert pitman_yor.score(nothing, learn).count() == 0
 
 
-def test_seating_is_the_conditional():
-    # table counts of 5 customers against the enumerated conditional
-    d, others, p, n = 0.6, 4, 0.3, 200_000
+def table_weights(c, others, p, theta, d):
+    """Conditional of the number of tables of ``c`` customers, enumerated."""
     weight = {1: 1.0}
-    for c in range(1, 5):
+    for n in range(1, c):
         nxt = Counter()
         for t, w in weight.items():
-            nxt[t] += w * (c - d * t)
-            nxt[t + 1] += w
+            nxt[t] += w * (n - d * t) / n
+            nxt[t + 1] += w / n
         weight = nxt
-    post = {t: w * p**t * math.prod(1.0 + d * (others + j) for j in range(t)) for t, w in weight.items()}
-    t = pitman_yor.seat(np.full(n, 5), np.full(n, others), np.full(n, p), d, pitman_yor._mix(np.arange(n, dtype=np.uint64)), 3)
-    for k, w in post.items():
-        assert (t == k).mean() == pytest.approx(w / sum(post.values()), abs=0.005)
-    big = pitman_yor.seat(np.full(2000, 5000), np.full(2000, 10), np.full(2000, 0.01), d, pitman_yor._mix(np.arange(2000, dtype=np.uint64)), 3)
-    assert (big >= 1).all() and (big <= 5000).all()
+    post = {t: w * math.prod(p * (theta + d * (others + j)) for j in range(t)) for t, w in weight.items()}
+    return {t: w / sum(post.values()) for t, w in post.items()}
+
+
+def test_seating_is_the_conditional():
+    n = 100_000
+    key = pitman_yor._mix(np.arange(n, dtype=np.uint64))
+    for c, others, p, theta, d in ((5, 4, 0.3, 1.0, 0.6), (64, 3, 0.05, 2.0, 0.5)):
+        t = pitman_yor.seat(np.full(n, c), np.full(n, others), np.full(n, p), theta, d, key, 3)
+        for k, w in table_weights(c, others, p, theta, d).items():
+            assert (t == k).mean() == pytest.approx(w, abs=0.006)
+
+
+def test_seating_of_many_customers_has_the_same_conditional():
+    n, c, others, p, theta, d = 6000, 150, 20, 0.05, 1.0, 0.5
+    key, rows, s = pitman_yor._mix(np.arange(n, dtype=np.uint64)), np.arange(n), pitman_yor.Seats(np.ones(n, np.int64))
+    for step in range(12):
+        size = c + (3 if step % 3 == 1 else 0)  # customers come and go between sweeps
+        s.redo(rows, np.full(n, size), np.full(n, others), np.full(n, p), theta, d, key, 10_000 * step)
+    for _ in range(6):
+        step += 1
+        s.redo(rows, np.full(n, c), np.full(n, others), np.full(n, p), theta, d, key, 10_000 * step)
+    want = table_weights(c, others, p, theta, d)
+    for k, w in want.items():
+        assert (s.t == k).mean() == pytest.approx(w, abs=0.03)
+    assert s.t.mean() == pytest.approx(sum(k * w for k, w in want.items()), rel=0.02)
+
+
+def plain_sampler(texts, learn, d, theta, sweeps, burn, seed=0):
+    """Scores of texts by a sequential sampler that moves one customer at a time, three levels of words."""
+    rng = np.random.default_rng(seed)
+    sizes, n_tables, n_customers = {}, Counter(), Counter()  # (context, word) -> customers of its tables
+
+    def chance(context, w):
+        up = chance(context[1:], w) if context else 1 / (vocabulary + 1)
+        lv, here = len(context), sizes.get((context, w), [])
+        return (sum(here) - d[lv] * len(here) + (theta[lv] + d[lv] * n_tables[context]) * up) / (theta[lv] + n_customers[context])
+
+    def come(context, w):
+        lv, here = len(context), sizes.setdefault((context, w), [])
+        up = chance(context[1:], w) if context else 1 / (vocabulary + 1)
+        weights = np.array([x - d[lv] for x in here] + [(theta[lv] + d[lv] * n_tables[context]) * up])
+        k = int((rng.random() * weights.sum() > np.cumsum(weights)).sum())
+        n_customers[context] += 1
+        if k < len(here):
+            here[k] += 1
+        else:
+            here.append(1)
+            n_tables[context] += 1
+            if context:
+                come(context[1:], w)
+
+    def go(context, w):
+        here = sizes[context, w]
+        k = int((rng.random() * sum(here) > np.cumsum(here)).sum())
+        here[k] -= 1
+        n_customers[context] -= 1
+        if not here[k]:
+            del here[k]
+            n_tables[context] -= 1
+            if context:
+                go(context[1:], w)
+
+    triples = {i: list(zip([None, None, *ws], [None, *ws], ws)) for i, ws in texts.items()}
+    tokens = [((a, b), w) for i in texts if learn(i) for a, b, w in triples[i]]
+    vocabulary = len({w for _, w in tokens})
+    for context, w in tokens:
+        come(context, w)
+    out = {i: [0.0] * len(ws) for i, ws in texts.items()}
+    for s in range(sweeps):
+        for context, w in tokens:
+            go(context, w)
+            come(context, w)
+        if s >= burn:
+            for i in texts:
+                for k, (a, b, w) in enumerate(triples[i]):
+                    out[i][k] += chance((a, b), w) / (sweeps - burn)
+    return {i: sum(map(math.log10, p)) for i, p in out.items()}
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_language_model_agrees_with_a_plain_sampler(spark, monkeypatch, spread):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    follow = {w: rng.sample(words, 4) for w in words}
+    rows = []
+    for i in range(60):
+        text = [rng.choice(words)]
+        while len(text) < 25:
+            text.append(rng.choice(follow[text[-1]] if rng.random() < 0.9 else words))
+        rows.append((i, " ".join(text)))
+    if spread:  # some restaurants of one word over several shards
+        monkeypatch.setattr(pitman_yor, "_hot_words", lambda *a: np.unique(np.array([pitman_yor.word_hash(w.encode()) for w in words[:10]], np.uint64)))
+    seen, reading = {}, pitman_yor._reading
+
+    def kept(*a):
+        seen.update(reading(*a))
+        return dict(seen)
+
+    monkeypatch.setattr(pitman_yor, "_reading", kept)
+    learn = crc_mod("doc_id", 10) != 0
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(frame(spark, rows), learn).collect()}
+    d, theta = ([seen[f"{name}{k}"] for k in (1, 2, 3)] for name in ("d", "theta"))
+    texts = {i: [*t.split(), ""] for i, t in rows}
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = plain_sampler(texts, lambda i: not held(i), d, theta, 60, 20)
+    assert any(map(held, texts))
+    for part in (held, lambda i: not held(i)):
+        mine, plain = (sum(x[i] for i in texts if part(i)) / sum(len(texts[i]) for i in texts if part(i)) for x in (got, want))
+        assert mine == pytest.approx(plain, abs=0.02)
+    assert all(got[i] == pytest.approx(want[i], abs=0.06 * len(texts[i])) for i in texts)
 
 
 def test_predictions_sum_to_one():
-    h = {"d1": 0.7, "d2": 0.6, "parent_tables": 9, "parent_customers": 20, "vocabulary": 5}
     cw, tw = np.array([8, 5, 4, 2, 1, 0]), np.array([3, 2, 2, 1, 1, 0])
-    up = pitman_yor.parent(cw, tw, h)
+    up = pitman_yor.predictive(cw, tw, 9, 20, 1 / 6, 1.0, 0.7)
     assert up.sum() == pytest.approx(1)
     c, t = np.array([3, 2, 0, 0, 0, 0]), np.array([2, 1, 0, 0, 0, 0])
-    p = (np.maximum(c - h["d2"] * t, 0) + (1 + h["d2"] * 3) * up) / (1 + 5)
-    assert p.sum() == pytest.approx(1)
+    assert pitman_yor.predictive(c, t, 3, 5, up, 1.0, 0.6).sum() == pytest.approx(1)
+
+
+def test_log_gamma():
+    x = np.array([0.05, 0.3, 1.0, 2.5, 17.0, 1234.5, 1e7])
+    assert pitman_yor.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
 
 
 # --- op2 -----------------------------------------------------------------------------------
