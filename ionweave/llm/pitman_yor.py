@@ -27,8 +27,10 @@ counted in runs of ``CHUNK`` tokens; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import cut
 
 EXACT, SAMPLES, BURN_IN, COLOURS = 64, 3, 2, 3
-CHUNK, FLUSH, SHARD_CHARS, LEAST_SHARDS, SAMPLE_CHARS = 500_000, 12_000_000, 10_000_000, 24, 8_000_000
+CHUNK, FLUSH, SHARD_CHARS, LEAST_SHARDS, SAMPLE_CHARS, COMMON = 500_000, 20_000_000, 16_000_000, 24, 8_000_000, 60_000
 START = 0x51ED270B27B4F3A1  # hash of the place before a text
 #: Discounts and strengths that can be drawn.
 DISCOUNTS = [k / 20 for k in range(1, 20)]
@@ -84,29 +86,46 @@ def small(a: np.ndarray) -> np.ndarray:
 # --- counting ---------------------------------------------------------------------------------
 
 
-def _count(shards: np.ndarray, hot: np.ndarray):
-    """Blocks of (pair before, word, row, count), a row for each shard and flush."""
+def planes(a: np.ndarray) -> np.ndarray:
+    """The four bytes of small numbers apart, which packs well: the upper ones are mostly zero."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T
+
+
+def numbers_of(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b.reshape(4, -1).T).view("<u4").ravel()
+
+
+class Vocabulary(dict):
+    """Numbers words in the order they are met."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
+    """Blocks of (pair before, word, row, count), a row for each shard and flush, in the order of the texts.
+
+    ``common`` words, the empty one first, go by their place in the list after ``START``; others by hash.
+    """
+    slots = {b"": 0, None: 1} | {w: k + 2 for k, w in enumerate(common)}
+    common_hashes = np.array([START if w is None else word_hash(w) for w in slots], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
-            vocab: dict[bytes | None, int] = {b"": 0, None: 1}
-            put, ids, lens = vocab.setdefault, [], []
-            for _, _, _, before, words in rows:
-                ids += [put(w, len(vocab)) for w in before]
-                ids += [put(w, len(vocab)) for w in words]
-                lens.append(len(words) + 2)
-            ids, lens = np.array(ids, np.int64), np.array(lens)
-            hashes = np.array([START if w is None else word_hash(w) for w in vocab], np.uint64)
+            vocab = Vocabulary(slots)
+            lens = np.array([len(r[4]) + 2 for r in rows])
+            ids = np.fromiter(map(vocab.__getitem__, chain.from_iterable(part for r in rows for part in r[3:])), np.uint32, lens.sum())
+            hashes = np.concatenate([common_hashes, np.array([word_hash(w) for w in islice(vocab, len(slots), None)], np.uint64)])
             inside = np.ones(len(ids), bool)
             first = np.cumsum(lens) - lens
             inside[first] = inside[first + 1] = False
             at = np.flatnonzero(inside)
-            pairs, pair = np.unique(ids[at - 1] << 32 | ids[at - 2], return_inverse=True)
-            key, cnt = np.unique(np.repeat(np.arange(len(rows)), lens - 2) << 48 | pair << 24 | ids[at], return_counts=True)
-            doc, pair, w = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
-            u, v = pairs[pair] >> 32, pairs[pair] & 0xFFFFFFFF
-            spread = np.where(np.isin(hashes, hot)[u], _mix(hashes[v] ^ hashes[u]), hashes[u] >> np.uint64(20))
-            shard = (spread % np.uint64(len(shards))).astype(np.int64)
+            u, v, w = ids[at - 1], ids[at - 2], ids[at]
+            shard = ((hashes >> np.uint64(20)) % np.uint64(len(shards))).astype(np.uint16 if len(shards) <= 1 << 16 else np.int64)[u]
+            salted = np.flatnonzero(np.isin(hashes, hot)[u])
+            shard[salted] = _mix(hashes[v[salted]] ^ hashes[u[salted]]) % np.uint64(len(shards))
+            doc = np.repeat(np.arange(len(rows), dtype=np.uint32), lens - 2)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(len(shards) + 1))
             heads = [np.array(c, np.int64) for c in ([r[0] for r in rows], [r[1] or 0 for r in rows], [r[2] | (r[1] is None) << 1 for r in rows])]
@@ -114,10 +133,16 @@ def _count(shards: np.ndarray, hot: np.ndarray):
             blobs = []
             for k in found:
                 part = order[edges[k] : edges[k + 1]]
-                docs, d = np.unique(doc[part], return_inverse=True)
-                used, local = np.unique(np.concatenate([u[part], v[part], w[part]]), return_inverse=True)
-                lu, lv, lw = np.split(small(local), 3)
-                blobs.append(squeeze([*(h[docs] for h in heads), hashes[used], lu, lv, lw, np.bincount(d).astype(np.uint32), small(cnt[part])]))
+                d, three, cnt = doc[part], np.stack([u[part], v[part], w[part]]), np.ones(len(part), np.uint8)
+                if len(part) * 4 > len(order):  # much of the texts has few words before: count repeats first
+                    rows4, cnt = np.unique(np.concatenate([[d], three]), axis=1, return_counts=True)
+                    d, three = rows4[0], rows4[1:]
+                new = np.concatenate([[True], d[1:] != d[:-1]])
+                rare = three >= len(slots)
+                used, place = np.unique(three[rare], return_inverse=True)
+                three[rare] = place + len(slots)
+                docs = d[new]
+                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), hashes[used], *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
             return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         rows, size = [], 0
@@ -130,8 +155,8 @@ def _count(shards: np.ndarray, hot: np.ndarray):
                     run_of = words[lo : lo + CHUNK]
                     rows.append((rid, doc_id, flag, before, run_of))
                     before = [*before, *run_of[-2:]][-2:]
-                    size += sum(map(len, run_of)) + len(run_of)
-                    if size > FLUSH or len(rows) >= 30_000:
+                    size += (len(text or b"") * len(run_of)) // len(words) + 1
+                    if size > FLUSH:
                         yield flush(rows)
                         rows, size = [], 0
         if rows:
@@ -159,10 +184,12 @@ def log_stirling(d: float) -> np.ndarray:
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function of positive numbers, by Stirling's series seven places on."""
+    """Logarithm of the gamma function of positive numbers, by Stirling's series, seven places on for small ones."""
     x = np.asarray(x, np.float64)
-    y = x + 7
-    low = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5) * (x + 6))
+    y, low = x, 0.0
+    if x.size and x.min() < 9:
+        y = x + 7
+        low = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5) * (x + 6))
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - low
 
 
@@ -183,6 +210,27 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, theta: float, d: floa
     return t
 
 
+def crowd(t: int, start: int, c: int, others, p, theta: float, d: float, key, step: int) -> np.ndarray:
+    """Where the tables of one dish are opened while its customers come, if that happens often.
+
+    The tables before each customer of a run are settled by repetition: every round is right a customer further at least.
+    """
+    ends = []
+    for n in range(start, c, 20_000):
+        at = np.arange(n, min(c, n + 20_000))
+        u, tables = uniforms(_mix(at.astype(np.uint64) ^ key), step), np.full(len(at), t)
+        while True:
+            a = (theta + d * (others + tables)) * p
+            opened = u * (a + at - d * tables) < a
+            now = t + np.cumsum(opened) - opened
+            if (now == tables).all():
+                break
+            tables = now
+        ends.append(at[opened] + 1)
+        t += int(opened.sum())
+    return np.concatenate(ends) if ends else np.zeros(0, np.int64)
+
+
 def arrive(row, t, start, c, others, p, theta: float, d: float, key, step: int) -> np.ndarray:
     """Customers of dishes come one by one, from ``start`` customers at ``t`` tables up to ``c``.
 
@@ -193,20 +241,27 @@ def arrive(row, t, start, c, others, p, theta: float, d: float, key, step: int)
     t, start = t.astype(np.float64), start.astype(np.float64)
     while len(row):
         n += 1
+        if n > 12:  # dishes with frequent new tables: customer by customer
+            often = c - start < 2000 * t
+            for r, t0, s0, c0, o, q, k in zip(*(x[often] for x in (row, t, start, c, others, p, key))):
+                ends = crowd(int(t0), int(s0), int(c0), o, q, theta, d, k, step * 1_000_003)
+                out.append(np.stack([np.full(len(ends) + 1, r), t0 + np.arange(len(ends) + 1), np.concatenate([[s0], ends]), np.concatenate([ends, [c0]])]))
+            row, t, start, c, others, p, key = (x[~often] for x in (row, t, start, c, others, p, key))
         a, x, u = (theta + d * (others + t)) * p, start - d * t, np.log(uniforms(key, step * 1_000_003 + n))
         base = log_gamma(x + a) - log_gamma(x)
         none = lambda k: base + log_gamma(x + k) - log_gamma(x + k + a)  # noqa: E731  log chance of no new table among k customers
         last = none(c - start) > u
+        out.append(np.stack([row, t, start, c])[:, last])
+        row, t, start, c, others, p, key, a, x, u, base = (y[~last] for y in (row, t, start, c, others, p, key, a, x, u, base))
         lo, hi = np.zeros(len(row)), c - start
         while (wide := hi - lo > 1).any():
             mid = np.where(wide, np.floor((lo + hi) / 2), hi)
             past = none(mid) <= u
             hi, lo = np.where(wide & past, mid, hi), np.where(wide & ~past, mid, lo)
-        end = np.where(last, c, start + hi)
+        end = start + hi
         out.append(np.stack([row, t, start, end]))
-        ended = ~last & (end == c)
-        out.append(np.stack([row, t + 1, c, c])[:, ended])
-        go = ~last & (end < c)
+        out.append(np.stack([row, t + 1, c, c])[:, end == c])
+        go = end < c
         row, t, start, c, others, p, key = row[go], t[go] + 1, end[go], c[go], others[go], p[go], key[go]
     return np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((4, 0), np.int64)
 
@@ -308,22 +363,35 @@ def predictive(c, t, tables, customers, up, theta, d):
 class Shard:
     """All tokens after the shard's words, and the seating of its training tokens."""
 
-    def __init__(self, blobs: list[bytes], hot: np.ndarray):
+    def __init__(self, blobs: list[bytes], hot: np.ndarray, common: np.ndarray):
         cols = [expand(b) for b in sorted(blobs)]
-        self.rids, self.ids, self.flags = (np.concatenate(c) for c in zip(*(x[:3] for x in cols)))
-        self.words, local = np.unique(np.concatenate([x[3] for x in cols]), return_inverse=True)
-        n, offsets = len(self.words), np.cumsum([0] + [len(x[3]) for x in cols])
-        u, v, w = (np.concatenate([local[lo : lo + len(x[3])].astype(np.int32)[x[k]] for x, lo in zip(cols, offsets)]) for k in (4, 5, 6))
+        self.rids, self.ids, self.flags = np.concatenate([np.cumsum(x[0]) for x in cols]), np.concatenate([x[1] for x in cols]), np.concatenate([x[2] for x in cols])
         at = np.cumsum([0] + [len(x[0]) for x in cols])
-        self.doc = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + lo, x[7]) for x, lo in zip(cols, at)])
+        self.doc = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + lo, numbers_of(x[7])) for x, lo in zip(cols, at)])
         self.cnt = np.concatenate([x[8].astype(np.int32) for x in cols])
+        # words of all blocks: the common ones that are here, then the others by hash
+        others, local = np.unique(np.concatenate([x[3] for x in cols]), return_inverse=True)
+        local, lo = local.astype(np.int64) + len(common), np.cumsum([0] + [len(x[3]) for x in cols])
+        u, v, w = (np.concatenate([np.concatenate([np.arange(len(common)), local[i : i + len(x[3])]])[numbers_of(x[k])] for x, i in zip(cols, lo)]) for k in (4, 5, 6))
+        here = np.zeros(len(common) + len(others), bool)
+        for ids in (u, v, w):
+            here[ids] = True
+        place = np.cumsum(here) - 1
+        u, v, w = place[u], place[v], place[w]
+        self.words = np.concatenate([common, others])[here]
+        n = len(self.words)
         del cols, local
-        pairs, x = np.unique(u.astype(np.int64) * n + v, return_inverse=True)
-        del u, v
-        types, self.row3 = np.unique(x * n + w, return_inverse=True)
+        if n < 2_000_000:
+            types, self.row3 = np.unique((u * n + v) * n + w, return_inverse=True)
+            w3, both = types % n, types // n
+            new = np.concatenate([[True], both[1:] != both[:-1]])
+            pairs, self.x3 = both[new], (np.cumsum(new) - 1).astype(np.int32)
+        else:
+            pairs, x = np.unique(u * n + v, return_inverse=True)
+            types, self.row3 = np.unique(x * n + w, return_inverse=True)
+            self.x3, w3 = (types // n).astype(np.int32), types % n
         self.row3 = self.row3.astype(np.int32)
-        del x, w
-        self.x3, w3 = (types // n).astype(np.int32), types % n
+        del u, v, w
         both, row2 = np.unique(pairs[self.x3] // n * n + w3, return_inverse=True)
         self.row2, self.u2, self.w2 = row2.astype(np.int32), both // n, both % n
         self.c3 = np.bincount(self.row3, self.cnt * (self.flags[self.doc] & 1), len(types)).astype(np.int64)
@@ -333,13 +401,15 @@ class Shard:
         self.raw = np.bincount(self.w2[row2], self.c3, n).astype(np.int64)
         self.key2 = _mix(self.words[self.u2] ^ _mix(self.words[self.w2]))
         self.multi = np.flatnonzero(self.c3 > 1)
+        once = self.c3 == 1  # these always have one table
+        self.once2, self.once3 = np.bincount(self.row2[once], minlength=len(both)), np.bincount(self.x3[once], minlength=len(pairs))
         self.key3 = _mix(self.key2[row2[self.multi]] ^ _mix(self.words[pairs[self.x3[self.multi]] % n]))
         self.s3, self.s2 = Seats(np.minimum(self.c3, 1)), Seats(np.zeros(len(both), np.int64))
         self.s2.t = np.where(self.shared, 0, np.minimum(self.below(), 1))
 
     def below(self) -> np.ndarray:
         """Customers that this shard's word pairs send to the one-word restaurants."""
-        return np.bincount(self.row2, self.s3.t, len(self.u2)).astype(np.int64)
+        return self.once2 + np.bincount(self.row2[self.multi], self.s3.t[self.multi], len(self.u2)).astype(np.int64)
 
     def sent(self) -> np.ndarray:
         """Customers that this shard's own one-word restaurants send to the restaurant of all words."""
@@ -398,15 +468,17 @@ class Shard:
         gone = self.t1[rows] - t
         return predictive(c, t, h["tables1"] - gone, h["customers1"] + self._moved - leave, 1 / (h["vocabulary"] + 1), h["theta1"], h["d1"])
 
-    def refresh(self) -> None:
-        """Totals of all levels from the present seating."""
-        self._c2 = self.far2 + self.below()
-        self.s2.t = np.clip(self.s2.t, np.minimum(self._c2, 1), self._c2)
+    def refresh(self, lowest: bool = True) -> None:
+        """Totals of all levels, or all but the ``lowest``, from the present seating."""
+        if lowest:
+            below = self.below()
+            self._c2 = self.far2 + below
+            self.s2.t = np.clip(self.s2.t, np.minimum(self._c2, 1), self._c2)
+            self._tables3 = self.once3 + np.bincount(self.x3[self.multi], self.s3.t[self.multi], self.pairs)
+            self._customers2 = np.bincount(self.u2, below, self.n) + self.far_customers
         self._sent = self.sent()
         self._moved = int((self.far1 + self._sent - self.c1).sum())
-        self._tables3 = np.bincount(self.x3, self.s3.t, self.pairs)
         self._tables2 = np.bincount(self.u2, self.s2.t, self.n) + self.far_tables
-        self._customers2 = np.bincount(self.u2, self.below(), self.n) + self.far_customers
 
     def sweep(self, step: int) -> None:
         """Every dish of the shard's restaurants seated anew, the word pairs' first."""
@@ -428,7 +500,7 @@ class Shard:
             j = np.flatnonzero((colour == k) & (self._c2 > 1) & ~self.shared)
             t, u = self.s2.t[j], self.u2[j]
             self.s2.redo(j, self._c2[j], self._tables2[u] - t, self.root(t, self.w2[j]), h["theta2"], h["d2"], self.key2[j], 10_000 * step + 5000 + k)
-            self.refresh()
+            self.refresh(lowest=False)
 
     def chances(self) -> np.ndarray:
         """The model's chance of every (pair, word) under the present seating; sums to one over words."""
@@ -510,16 +582,16 @@ def _batch(rows) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, types)], names=["kind", "key", "sender", "blob", "nums"])
 
 
-def _hot_words(docs: DataFrame, chars: int, shards: int) -> np.ndarray:
-    """Hashes of words that may hold over a quarter of a shard, from a sample of about ``SAMPLE_CHARS``.
+def _frequent_words(docs: DataFrame, chars: int, shards: int) -> tuple[np.ndarray, list[bytes]]:
+    """Hashes of words that may hold over a quarter of a shard (at most ``4 * shards``), and the ``COMMON`` most frequent words.
 
-    Only the placing of work depends on it. At most ``4 * shards`` words.
+    From a sample of about ``SAMPLE_CHARS``. Only the placing of work and the size of blocks depend on them.
     """
     part = docs.where(F.pmod(F.xxhash64("rid"), F.lit(max(1, chars // SAMPLE_CHARS))) == 0).select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w"))
-    counted = part.groupBy("w").count()
-    least = (counted.agg(F.sum("count")).first()[0] or 0) / (4 * shards)
-    top = counted.where(F.col("count") > max(least, 100)).collect()
-    return np.unique(np.array([word_hash(r["w"].encode().lower()) for r in top if r["w"]] + [START], np.uint64))
+    top = part.where("w != '' and length(w) <= 40").groupBy("w").count().orderBy(F.desc("count"), "w").limit(COMMON).collect()
+    least = max(sum(r["count"] for r in top) / (4 * shards), 100)
+    hot = [word_hash(r["w"].encode()) for r in top if r["count"] > least]
+    return np.unique(np.array([*hot, START], np.uint64)), [r["w"].encode() for r in top]
 
 
 def _reading(flow: DataFrame, h: dict, step: int) -> dict:
@@ -548,6 +620,15 @@ def _reading(flow: DataFrame, h: dict, step: int) -> dict:
     return out
 
 
+def _settle(df: DataFrame) -> DataFrame:
+    """``df`` cut off from what made it; Spark may then delete the files of the shuffles before."""
+    done = cut(df)
+    del df
+    gc.collect()
+    done.sparkSession._jvm.System.gc()
+    return done
+
+
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row, learning from rows where ``learn``."""
     spark = docs.sparkSession
@@ -555,11 +636,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(LEAST_SHARDS, chars // SHARD_CHARS + 1)
     buckets = max(8, n // 4)
-    hot = _hot_words(rows, chars, n)
+    hot, common = _frequent_words(rows, chars, n)
+    hashes = np.array([word_hash(b""), START, *map(word_hash, common)], np.uint64)
     places = spark.range(40 * n).select(F.col("id").alias("k"), F.pmod(F.hash("id"), F.lit(n)).alias("p"))
     shards = np.array([r["k"] for r in places.groupBy("p").agg(F.min("k").alias("k")).collect()])  # one key a partition
-    blocks = rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot), "shard long, blob binary")
-    blocks = cut(blocks.repartition(n, "shard"))
+    blocks = _settle(rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot, common), "shard long, blob binary").repartition(n, "shard"))
 
     def meet(flow: DataFrame, h: dict) -> DataFrame:
         def run(key, part):
@@ -569,11 +650,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         return flow.where(F.col("kind") == TO_BUCKET).groupBy("key").applyInArrow(run, FLOW)
 
     def begin(key, part):
-        me, s = key[0].as_py(), Shard(part.column("blob").to_pylist(), hot)
-        return _batch([*s.to_buckets(me, buckets), (NUMBERS, 0, 0, None, s.numbers())])
+        me, s = key[0].as_py(), Shard(part.column("blob").to_pylist(), hot, hashes)
+        return _batch([*s.to_buckets(me, buckets), (NUMBERS, -1, 0, None, s.numbers())])
 
     def load(me: int, blobs: pa.Table, letters: pa.Table, h: dict) -> Shard:
-        s = Shard(blobs.column("blob").to_pylist(), hot)
+        s = Shard(blobs.column("blob").to_pylist(), hot, hashes)
         rows = list(zip(*(letters.column(c).to_pylist() for c in ("kind", "sender", "blob"))))
         for kind, _, blob in rows:
             if kind == STATE:
@@ -610,11 +691,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     def together(letters: DataFrame):
         return blocks.groupBy("shard").cogroup(letters.where(F.col("kind").isin(TO_SHARD, STATE)).withColumnRenamed("key", "shard").groupBy("shard"))
 
-    sent = cut(blocks.groupBy("shard").applyInArrow(begin, FLOW))
-    back = cut(meet(sent, {"step": 1}))
-    h = _reading(sent.unionByName(back), {}, 2)
-    sent = cut(together(back).applyInArrow(burn(h), FLOW))
-    back = cut(meet(sent, h))
+    sent = blocks.groupBy("shard").applyInArrow(begin, FLOW)
+    h = _reading(sent.unionByName(back := _settle(meet(sent, {"step": 1}))), {}, 2)
+    sent = _settle(together(back).applyInArrow(burn(h), FLOW))
+    back = _settle(meet(sent, h))
     h = _reading(sent.unionByName(back), h, 3)
     sums = together(sent.unionByName(back)).applyInArrow(finish(h), OUT).groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return cut(sums.select("doc_id", "n_tokens", "n_known", F.lit(h["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -161,7 +161,7 @@ def test_language_model_agrees_with_a_plain_sampler(spark, monkeypatch, spread):
             text.append(rng.choice(follow[text[-1]] if rng.random() < 0.9 else words))
         rows.append((i, " ".join(text)))
     if spread:  # some restaurants of one word over several shards
-        monkeypatch.setattr(pitman_yor, "_hot_words", lambda *a: np.unique(np.array([pitman_yor.word_hash(w.encode()) for w in words[:10]], np.uint64)))
+        monkeypatch.setattr(pitman_yor, "_frequent_words", lambda *a: (np.unique(np.array([pitman_yor.word_hash(w.encode()) for w in words[:10]], np.uint64)), [b"w2", b"w11"]))
     seen, reading = {}, pitman_yor._reading
 
     def kept(*a):
