@@ -30,13 +30,14 @@ from __future__ import annotations
 import gc
 import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm.common import cut
@@ -95,6 +96,15 @@ def numbers_of(b: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(b.reshape(4, -1).T).view("<u4").ravel()
 
 
+def steps(hashes: np.ndarray) -> np.ndarray:
+    """Rising 64-bit numbers as differences, their bytes apart."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+
+
+def hashes_of(b: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(b.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Vocabulary(dict):
     """Numbers words in the order they are met."""
 
@@ -140,9 +150,11 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
                 new = np.concatenate([[True], d[1:] != d[:-1]])
                 rare = three >= len(slots)
                 used, place = np.unique(three[rare], return_inverse=True)
-                three[rare] = place + len(slots)
+                rising = np.argsort(hashes[used])
+                three[rare] = np.argsort(rising)[place] + len(slots)
+                before, three[0] = np.unique(three[0], return_inverse=True)
                 docs = d[new]
-                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), hashes[used], *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
+                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used[rising]]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
             return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         rows, size = [], 0
@@ -367,12 +379,15 @@ class Shard:
         cols = [expand(b) for b in sorted(blobs)]
         self.rids, self.ids, self.flags = np.concatenate([np.cumsum(x[0]) for x in cols]), np.concatenate([x[1] for x in cols]), np.concatenate([x[2] for x in cols])
         at = np.cumsum([0] + [len(x[0]) for x in cols])
-        self.doc = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + lo, numbers_of(x[7])) for x, lo in zip(cols, at)])
-        self.cnt = np.concatenate([x[8].astype(np.int32) for x in cols])
+        self.doc = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + lo, numbers_of(x[8])) for x, lo in zip(cols, at)])
+        self.cnt = np.concatenate([x[9].astype(np.int32) for x in cols])
         # words of all blocks: the common ones that are here, then the others by hash
-        others, local = np.unique(np.concatenate([x[3] for x in cols]), return_inverse=True)
-        local, lo = local.astype(np.int64) + len(common), np.cumsum([0] + [len(x[3]) for x in cols])
-        u, v, w = (np.concatenate([np.concatenate([np.arange(len(common)), local[i : i + len(x[3])]])[numbers_of(x[k])] for x, i in zip(cols, lo)]) for k in (4, 5, 6))
+        rare = [hashes_of(x[3]) for x in cols]
+        others, local = np.unique(np.concatenate(rare), return_inverse=True)
+        local, lo = local.astype(np.int64) + len(common), np.cumsum([0] + [len(x) for x in rare])
+        number = [np.concatenate([np.arange(len(common)), local[i:j]]) for i, j in zip(lo, lo[1:])]
+        u = np.concatenate([n[numbers_of(x[4])][numbers_of(x[5])] for n, x in zip(number, cols)])
+        v, w = (np.concatenate([n[numbers_of(x[k])] for n, x in zip(number, cols)]) for k in (6, 7))
         here = np.zeros(len(common) + len(others), bool)
         for ids in (u, v, w):
             here[ids] = True
@@ -380,7 +395,7 @@ class Shard:
         u, v, w = place[u], place[v], place[w]
         self.words = np.concatenate([common, others])[here]
         n = len(self.words)
-        del cols, local
+        del cols, local, number, rare
         if n < 2_000_000:
             types, self.row3 = np.unique((u * n + v) * n + w, return_inverse=True)
             w3, both = types % n, types // n
@@ -430,14 +445,16 @@ class Shard:
         word, rows = self.words % np.uint64(buckets), np.flatnonzero(self.shared)
         for b in range(buckets):
             mine = np.flatnonzero(word == b)
+            mine = mine[np.argsort(self.words[mine])]
             if len(mine):
                 yield b, mine, rows[word[self.w2[rows]] == b]
 
     def to_buckets(self, me: int, buckets: int):
-        below, sent = self.below(), self.sent()
+        below, sent, place = self.below(), self.sent(), np.zeros(self.n, np.int64)
         for b, mine, rows in self.orders(buckets):
-            local = np.searchsorted(mine, self.w2[rows])
-            yield TO_BUCKET, b, me, squeeze([self.words[mine], small(sent[mine]), small(self.raw[mine]), self.words[self.u2[rows]], small(local), small(below[rows])]), None
+            place[mine] = np.arange(len(mine))
+            local = place[self.w2[rows]]
+            yield TO_BUCKET, b, me, squeeze([steps(self.words[mine]), small(sent[mine]), small(self.raw[mine]), self.words[self.u2[rows]], small(local), small(below[rows])]), None
 
     def from_buckets(self, rows: dict[int, bytes], buckets: int, totals: dict) -> None:
         """Readings of the restaurant of all words and of shared rows, as of the exchange."""
@@ -530,7 +547,7 @@ class Shard:
 
 def bucket(senders: list[int], blobs: list[bytes], h: dict):
     """Adds up the shards' customers, seats shared rows and the restaurant of all words, answers each shard."""
-    cols = [expand(b) for b in blobs]
+    cols = [[hashes_of(x[0]), *x[1:]] for x in map(expand, blobs)]
     words, at = np.unique(np.concatenate([x[0] for x in cols]), return_inverse=True)
     lo = np.cumsum([0] + [len(x[0]) for x in cols])
     add = lambda k: np.bincount(at, np.concatenate([x[k] for x in cols]), len(words)).astype(np.int64)
@@ -620,6 +637,18 @@ def _reading(flow: DataFrame, h: dict, step: int) -> dict:
     return out
 
 
+@contextmanager
+def _planned_once(spark: SparkSession):
+    """No adaptive plans inside, so that what is cut there keeps its known partitioning."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _settle(df: DataFrame) -> DataFrame:
     """``df`` cut off from what made it; Spark may then delete the files of the shuffles before."""
     done = cut(df)
@@ -640,18 +669,22 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     hashes = np.array([word_hash(b""), START, *map(word_hash, common)], np.uint64)
     places = spark.range(40 * n).select(F.col("id").alias("k"), F.pmod(F.hash("id"), F.lit(n)).alias("p"))
     shards = np.array([r["k"] for r in places.groupBy("p").agg(F.min("k").alias("k")).collect()])  # one key a partition
-    blocks = _settle(rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot, common), "shard long, blob binary").repartition(n, "shard"))
+    blocks = rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot, common), "shard long, blob binary")
+    with _planned_once(spark):
+        blocks = _settle(blocks.repartition(n, "shard"))
 
     def meet(flow: DataFrame, h: dict) -> DataFrame:
         def run(key, part):
-            got = sorted(zip(part.column("sender").to_pylist(), part.column("blob").to_pylist()))
-            return _batch(bucket([s for s, _ in got], [b for _, b in got], h | {"bucket": key[0].as_py()}))
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("kind", "sender", "blob", "nums"))))
+            got = sorted((sender, blob) for kind, sender, blob, _ in rows if kind == TO_BUCKET)
+            through = [(NUMBERS, 0, 0, None, nums) for kind, _, _, nums in rows if kind == NUMBERS]
+            return _batch([*through, *(bucket([s for s, _ in got], [b for _, b in got], h | {"bucket": key[0].as_py()}) if got else ())])
 
-        return flow.where(F.col("kind") == TO_BUCKET).groupBy("key").applyInArrow(run, FLOW)
+        return flow.where(F.col("kind").isin(TO_BUCKET, NUMBERS)).groupBy("key").applyInArrow(run, FLOW)
 
     def begin(key, part):
         me, s = key[0].as_py(), Shard(part.column("blob").to_pylist(), hot, hashes)
-        return _batch([*s.to_buckets(me, buckets), (NUMBERS, -1, 0, None, s.numbers())])
+        return _batch([*s.to_buckets(me, buckets), (NUMBERS, me % buckets, 0, None, s.numbers())])
 
     def load(me: int, blobs: pa.Table, letters: pa.Table, h: dict) -> Shard:
         s = Shard(blobs.column("blob").to_pylist(), hot, hashes)
@@ -668,7 +701,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             s = load(me, blobs, letters, h)
             for k in range(BURN_IN):
                 s.sweep(k + 1)
-            return _batch([*s.to_buckets(me, buckets), (STATE, me, 0, s.pack_state(), None), (NUMBERS, 0, 0, None, s.numbers())])
+            return _batch([*s.to_buckets(me, buckets), (STATE, me, 0, s.pack_state(), None), (NUMBERS, me % buckets, 0, None, s.numbers())])
 
         return run
 
@@ -692,9 +725,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         return blocks.groupBy("shard").cogroup(letters.where(F.col("kind").isin(TO_SHARD, STATE)).withColumnRenamed("key", "shard").groupBy("shard"))
 
     sent = blocks.groupBy("shard").applyInArrow(begin, FLOW)
-    h = _reading(sent.unionByName(back := _settle(meet(sent, {"step": 1}))), {}, 2)
+    back = _settle(meet(sent, {"step": 1}))
+    h = _reading(back, {}, 2)
     sent = _settle(together(back).applyInArrow(burn(h), FLOW))
     back = _settle(meet(sent, h))
-    h = _reading(sent.unionByName(back), h, 3)
+    h = _reading(back, h, 3)
     sums = together(sent.unionByName(back)).applyInArrow(finish(h), OUT).groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return cut(sums.select("doc_id", "n_tokens", "n_known", F.lit(h["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"))
