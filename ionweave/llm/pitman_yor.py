@@ -122,10 +122,8 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
     common_hashes = np.array([START if w is None else word_hash(w) for w in slots], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            vocab = Vocabulary(slots)
-            lens = np.array([len(r[4]) + 2 for r in rows])
-            ids = np.fromiter(map(vocab.__getitem__, chain.from_iterable(part for r in rows for part in r[3:])), np.uint32, lens.sum())
+        def flush(rows, vocab):
+            lens, ids = np.array([len(r[3]) for r in rows]), np.concatenate([r[3] for r in rows])
             hashes = np.concatenate([common_hashes, np.array([word_hash(w) for w in islice(vocab, len(slots), None)], np.uint64)])
             inside = np.ones(len(ids), bool)
             first = np.cumsum(lens) - lens
@@ -157,7 +155,7 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
                 blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used[rising]]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
             return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-        rows, size = [], 0
+        rows, size, vocab = [], 0, Vocabulary(slots)
         for b in batches:
             for rid, doc_id, flag, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = text.lower().split() if text else []
@@ -165,14 +163,14 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
                 before: list = [None, None]
                 for lo in range(0, len(words), CHUNK):
                     run_of = words[lo : lo + CHUNK]
-                    rows.append((rid, doc_id, flag, before, run_of))
+                    rows.append((rid, doc_id, flag, np.fromiter(map(vocab.__getitem__, chain(before, run_of)), np.uint32, len(run_of) + 2)))
                     before = [*before, *run_of[-2:]][-2:]
                     size += (len(text or b"") * len(run_of)) // len(words) + 1
                     if size > FLUSH:
-                        yield flush(rows)
-                        rows, size = [], 0
+                        yield flush(rows, vocab)
+                        rows, size, vocab = [], 0, Vocabulary(slots)
         if rows:
-            yield flush(rows)
+            yield flush(rows, vocab)
 
     return run
 
