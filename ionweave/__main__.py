@@ -13,8 +13,8 @@ from pathlib import PurePath
 from pyspark.sql import SparkSession
 
 from ionweave.config import SearchConfig
-from ionweave.plans.search import search
-from ionweave.sources import mztab, registry
+from ionweave.plans.search import prepare, search
+from ionweave.sources import mztab, registry, versions
 
 
 def parse(args: list[str] | None = None) -> tuple[argparse.Namespace, SearchConfig]:
@@ -23,7 +23,7 @@ def parse(args: list[str] | None = None) -> tuple[argparse.Namespace, SearchConf
     for name in ("library", "queries", "out"):
         p.add_argument(name)
     p.add_argument("--config", help="an INI file of settings")
-    p.add_argument("--store", help="folder of the library's Parquet store; beside the library if not given")
+    p.add_argument("--store", help="folder of the processed library and its index; beside the library if not given")
     for f in fields(SearchConfig):
         p.add_argument(f"--{f.name}", nargs="?", const="True")
     ns = p.parse_args(args)
@@ -44,10 +44,11 @@ def parse(args: list[str] | None = None) -> tuple[argparse.Namespace, SearchConf
 
 def run(spark: SparkSession, library: str, queries: str, out: str, cfg: SearchConfig, store: str | None = None) -> str:
     """Search a query file against a library file and write mzTab; returns the path written."""
-    lib = registry.build_or_open(spark, library, store or f"{library}.store", cfg)
+    registry.verify(spark, library, registry.LIBRARY_READERS)
+    lib = prepare(lambda: registry.read_library(spark, library), cfg, store or f"{library}.store", versions.source_mark(spark, library), spark)
     qry = registry.read_queries(spark, queries)
     about = qry.select(qry["id"].alias("query_id"), "retention_time", "source_index")
-    found = search(qry, lib.drop("charge"), cfg).join(about, "query_id")
+    found = search(qry, lib, cfg).join(about, "query_id")
     uri = lambda p: p if "://" in p else PurePath(p).as_posix()
     return mztab.write(found, out, cfg, uri(library), uri(queries))
 

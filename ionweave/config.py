@@ -63,6 +63,11 @@ class SearchConfig:
         keys = ("min_mz", "max_mz", "bin_size", "hash_len", "num_list")
         return hashlib.sha1(json.dumps({k: getattr(self, k) for k in keys}).encode()).hexdigest()
 
+    def processing_hash(self) -> str:
+        """SHA-1 of the settings that fix what a processed library holds."""
+        keys = ("min_mz", "max_mz", "resolution", "remove_precursor", "remove_precursor_tolerance", "min_intensity", "min_peaks", "min_mz_range", "max_peaks_used_library", "scaling", "add_decoys", "seed")
+        return hashlib.sha1(json.dumps({k: getattr(self, k) for k in keys}).encode()).hexdigest()
+
     @classmethod
     def from_pairs(cls, pairs: dict[str, str]) -> SearchConfig:
         """Settings from ``key = value`` texts, as result files and config files hold them."""

@@ -20,13 +20,8 @@ def in_window(query_mz: Column, library_mz: Column, charge: Column, tolerance: f
     raise ValueError(f"unknown tolerance mode {mode!r}")
 
 
-def precursor_pairs(queries: DataFrame, library: DataFrame, tolerance: float, mode: str) -> DataFrame:
-    """``(query_id, library_id, charge)`` of all pairs of equal charge in the window.
-
-    Both sides have ``id, precursor_mz, precursor_charge``.
-    """
-    q = queries.select(F.col("id").alias("query_id"), F.col("precursor_mz").alias("q_mz"), F.col("precursor_charge").alias("charge"))
-    lib = library.select(F.col("id").alias("library_id"), F.col("precursor_mz").alias("l_mz"), F.col("precursor_charge").alias("charge"))
+def buckets(tolerance: float, mode: str) -> tuple:
+    """(buckets a query's window meets, bucket of a library spectrum) as functions of m/z; both read ``charge``."""
     if mode == "Da":
         low, high = (lambda q: q - tolerance / F.col("charge")), (lambda q: q + tolerance / F.col("charge"))
         bucket = lambda mz: F.floor(mz * F.col("charge") / max(tolerance, 1e-9))
@@ -36,8 +31,19 @@ def precursor_pairs(queries: DataFrame, library: DataFrame, tolerance: float, mo
         bucket = lambda mz: F.floor(F.log(mz) / max(share, 1e-12))
     else:
         raise ValueError(f"unknown tolerance mode {mode!r}")
-    # one bucket more at either end guards against rounding; the residual predicate decides
-    spread = q.withColumn("bucket", F.explode(F.sequence(bucket(low(F.col("q_mz"))) - 1, bucket(high(F.col("q_mz"))) + 1)))
+    # one bucket more at either end guards against rounding; the exact window decides
+    return lambda mz: F.sequence(bucket(low(mz)) - 1, bucket(high(mz)) + 1), bucket
+
+
+def precursor_pairs(queries: DataFrame, library: DataFrame, tolerance: float, mode: str) -> DataFrame:
+    """``(query_id, library_id, charge)`` of all pairs of equal charge in the window.
+
+    Both sides have ``id, precursor_mz, precursor_charge``.
+    """
+    q = queries.select(F.col("id").alias("query_id"), F.col("precursor_mz").alias("q_mz"), F.col("precursor_charge").alias("charge"))
+    lib = library.select(F.col("id").alias("library_id"), F.col("precursor_mz").alias("l_mz"), F.col("precursor_charge").alias("charge"))
+    met, bucket = buckets(tolerance, mode)
+    spread = q.withColumn("bucket", F.explode(met(F.col("q_mz"))))
     filed = lib.withColumn("bucket", bucket(F.col("l_mz")))
     pairs = spread.join(filed, ["charge", "bucket"]).where(in_window(F.col("q_mz"), F.col("l_mz"), F.col("charge"), tolerance, mode))
     return pairs.select("query_id", "library_id", "charge")

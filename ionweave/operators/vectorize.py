@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,32 +41,67 @@ def slot_of(bin_index: int, hash_len: int) -> int:
     return murmur3(str(bin_index).encode()) % hash_len
 
 
-def slot_table(spark: SparkSession, low: float, high: float, width: float, hash_len: int) -> DataFrame:
-    """``(bin, slot)`` of every bin; as many rows as there are bins, whatever the data."""
+@lru_cache(maxsize=4)
+def slot_table(low: float, high: float, width: float, hash_len: int | None) -> np.ndarray:
+    """The slot of every bin; without ``hash_len`` a bin is its own slot. As many as there are bins, whatever the data."""
     n, _, _ = dimensions(low, high, width)
-    return spark.createDataFrame([(b, slot_of(b, hash_len)) for b in range(n + 1)], "bin int, slot int")
+    return np.arange(n + 1) if hash_len is None else np.array([slot_of(b, hash_len) for b in range(n + 1)])
 
 
-def bin_of(mz: Column, start: float, width: float) -> Column:
+def bins_of(mz: np.ndarray, start: float, width: float) -> np.ndarray:
     """Floor division of doubles, as the remainder defines it."""
-    x = mz - F.lit(start)
-    return F.round((x - x % F.lit(width)) / F.lit(width)).cast("int")
+    x = mz - start
+    return np.rint((x - np.fmod(x, width)) / width).astype(np.int64)
+
+
+def _summed(peaks: pa.Array, start: float, width: float, slots: np.ndarray, norm: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, weight) of a batch of peak lists, by row and slot."""
+    peaks = peaks.combine_chunks() if isinstance(peaks, pa.ChunkedArray) else peaks
+    sizes = np.diff(np.asarray(peaks.offsets))
+    flat = peaks.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mz, weight = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in ("mz", "intensity"))
+    key, place = np.unique(row * (int(slots.max()) + 1) + slots[bins_of(mz, start, width)], return_inverse=True)
+    w = np.bincount(place, weight, len(key))
+    row, slot = np.divmod(key, int(slots.max()) + 1)
+    if norm and len(w):
+        w = w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
+    return row, slot, w
 
 
 def vectorise(spectra: DataFrame, low: float, high: float, width: float, hash_len: int | None, norm: bool = True) -> DataFrame:
-    """``(id, entries)``: sorted ``(slot, weight)`` of each spectrum; with ``hash_len`` None slots are bins."""
+    """``(id, entries)``: sorted ``(slot, weight)`` of each spectrum that has peaks; with ``hash_len`` None slots are bins. No shuffle."""
     _, start, _ = dimensions(low, high, width)
-    peaks = spectra.select("id", F.explode("peaks").alias("p")).select("id", bin_of(F.col("p.mz"), start, width).alias("bin"), F.col("p.intensity").alias("w"))
-    if hash_len is None:
-        slots = peaks.withColumnRenamed("bin", "slot")
-    else:
-        slots = peaks.join(F.broadcast(slot_table(spectra.sparkSession, low, high, width, hash_len)), "bin")  # a row for each bin
-    summed = slots.groupBy("id", "slot").agg(F.sum("w").alias("w"))
-    out = summed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("entries"))
-    if not norm:
-        return out
-    length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return out.select("id", F.transform("entries", lambda e: F.struct(e["slot"].alias("slot"), (e["w"] / length).alias("w"))).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = slot_table(low, high, width, hash_len)
+        for b in batches:
+            row, slot, w = _summed(b.column(1), start, width, slots, norm)
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            entries = pa.StructArray.from_arrays([pa.array(slot, pa.int32()), pa.array(w)], ["slot", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["id", "entries"])
+
+    return spectra.select("id", "peaks").where(F.size("peaks") > 0).mapInArrow(run, f"id {dict(spectra.dtypes)['id']}, entries array<struct<slot:int,w:double>>")
+
+
+def dense_vectors(spectra: DataFrame, low: float, high: float, width: float, hash_len: int | None) -> DataFrame:
+    """``(id, charge, vec)``: whole normalised vectors of spectra that have peaks, in one step and without a shuffle."""
+    n, start, _ = dimensions(low, high, width)
+    size = hash_len or n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = slot_table(low, high, width, hash_len)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                row, slot, w = _summed(b.column(2), start, width, slots, True)
+                out = np.zeros((b.num_rows, max(size, int(slots.max()) + 1)), np.float32)
+                out[row, slot] = w
+                ends = pa.array(np.arange(b.num_rows + 1) * size, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(out[:, :size]).ravel()))], ["id", "charge", "vec"])
+
+    narrow = spectra.select("id", F.col("precursor_charge").cast("int").alias("charge"), "peaks").where(F.size("peaks") > 0)
+    return narrow.mapInArrow(run, f"id {dict(spectra.dtypes)['id']}, charge int, vec array<float>")
 
 
 def dense(entries: Column, size: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ionweave.operators import analysis, ann, fdr, matching, vectorize
 from ionweave.operators import candidates as cand
 from ionweave.operators import preprocess as pre
 from ionweave.plans import fixtures as fx
+from ionweave.sources import versions
 from ionweave.plans.fixtures import ALIGNED, CAND, GREEDY, PAIR, PEAK, RAW, SCORED, SIDES, SPEC, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,19 +160,43 @@ def candidate_semi_join(spark, d):
     return cand.restrict(fx.candidates(spark, d)[1], near, spark.createDataFrame([(3,)], "charge int")).select("query_id", "library_id", "charge")
 
 
+def stored_index(spark, d) -> ann.Index:
+    """The inverted file of the embeddings, built at the first call for a table and opened after that."""
+    source = versions.source_mark(spark, f"{d}/embeddings.parquet")
+    path = f"{versions.shared_dir(spark)}/ivf-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    return ann.build_or_open(embedded(spark, d).withColumn("charge", F.lit(0)), path, "embeddings", source, 16)
+
+
+def asked_of(spark, d) -> DataFrame:
+    return embedded(spark, d).where(F.col("id") % 100 == 0).withColumn("charge", F.lit(0))
+
+
 @query()
 def ivf_knn(spark, d):
-    v = embedded(spark, d).persist()
-    cells = ann.train_cells(v, 16)
-    return ann.ivf_neighbours(v.where(F.col("id") % 100 == 0), ann.assign_cells(v, cells), cells, 10, 12).select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
+    near = stored_index(spark, d).search(asked_of(spark, d), 10, 12)
+    return near.select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
+
+
+@query(f"WITH {KNN} SELECT query_id, library_id, round(s, 6) AS score, rank FROM knn WHERE rank <= 10")
+def ivf_all_cells(spark, d):
+    """The stored inverted file with every cell probed: the exact neighbours."""
+    near = stored_index(spark, d).search(asked_of(spark, d), 10, 16)
+    return near.select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
+
+
+@query("SELECT label AS charge, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) >= 8")
+def ivf_sizes(spark, d):
+    """Vectors filed in an inverted file by charge (the label here), none for charges with fewer vectors than cells."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("charge"))
+    path = f"{versions.shared_dir(spark)}/ivf-label-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    index = ann.build_or_open(v, path, "embeddings by label", versions.source_mark(spark, f"{d}/embeddings.parquet"), 8)
+    return index.vectors().groupBy("charge").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {KNN} SELECT q.vec_id AS query_id, min(rank) AS rank FROM embeddings q JOIN knn k ON k.query_id = q.vec_id JOIN embeddings l ON l.vec_id = k.library_id AND l.label <> q.label GROUP BY 1")
 def correct_neighbour_rank(spark, d):
-    v, label = embedded(spark, d), table(spark, d, "embeddings").select("vec_id", "label")
-    near = ann.exact_neighbours(v.where(F.col("id") % 100 == 0), v, 1 << 30)
-    other = near.join(label.toDF("query_id", "ql"), "query_id").join(label.toDF("library_id", "ll"), "library_id").where("ql != ll")
-    return other.groupBy("query_id").agg(F.min("rank").alias("rank"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return ann.rank_of_other(v.where(F.col("id") % 100 == 0), v)
 
 
 # --- alignment ---------------------------------------------------------------------------------
@@ -206,7 +232,7 @@ def greedy_match(spark, d):
 
 @query(f"WITH {ALIGNED} SELECT query_id, library_id, charge, n AS n_matches, round(dot, 6) AS dot FROM best")
 def best_match(spark, d):
-    b = matching.best_match(fx.aligned(spark, d)).where(F.size("matches") > 0)
+    b = fx.best_with_peaks(spark, d).where(F.size("matches") > 0)
     return b.select("query_id", "library_id", "charge", F.size("matches").alias("n_matches"), r6(F.col("dot"), "dot"))
 
 
@@ -216,9 +242,8 @@ def best_match(spark, d):
     "n AS (SELECT query_id, count(*) AS num_candidates FROM cand GROUP BY 1) SELECT query_id, library_id, charge, n AS n_matches, round(dot, 6) AS dot, num_candidates FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, library_id) AS k FROM scored) JOIN n USING (query_id) WHERE k = 1"
 )
 def best_match_shifted(spark, d):
-    """The search's own kernel (whole arrays, ``native=False``) over the open window."""
-    library, pairs = fx.candidates(spark, d, fx.OPEN)
-    b = matching.best_match(matching.align(matching.with_spectra(pairs, fx.queries_of(library), library), fx.FRAGMENT, True, native=False))
+    """The search's own kernel over the open window."""
+    b = fx.best_with_peaks(spark, d, True, fx.OPEN)
     return b.select("query_id", "library_id", "charge", F.size("matches").alias("n_matches"), r6(F.col("dot"), "dot"), "num_candidates")
 
 
@@ -379,13 +404,13 @@ CASCADE = f"{ALIGNED}, acc AS (SELECT * FROM best WHERE n >= 8)"
 
 @query(f"WITH {CASCADE} SELECT id FROM spec WHERE id % 100 = 0 AND id NOT IN (SELECT query_id FROM acc)")
 def cascade_anti_join(spark, d):
-    accepted = matching.best_match(fx.aligned(spark, d)).where(F.size("matches") >= 8).select(F.col("query_id").alias("id"))
+    accepted = fx.best_with_peaks(spark, d).where(F.size("matches") >= 8).select(F.col("query_id").alias("id"))
     return fx.queries_of(fx.spectra(spark, d)).select("id").join(accepted, "id", "left_anti")
 
 
 @query(f"WITH {CASCADE} SELECT query_id, 'std' AS level FROM acc UNION ALL SELECT id, 'open' FROM spec WHERE id % 100 = 0 AND id NOT IN (SELECT query_id FROM acc)")
 def cascade_union(spark, d):
-    accepted = matching.best_match(fx.aligned(spark, d)).where(F.size("matches") >= 8)
+    accepted = fx.best_with_peaks(spark, d).where(F.size("matches") >= 8)
     rest = fx.queries_of(fx.spectra(spark, d)).select(F.col("id").alias("query_id")).join(accepted, "query_id", "left_anti")
     return accepted.select("query_id", F.lit("std").alias("level")).unionByName(rest.select("query_id", F.lit("open").alias("level")))
 

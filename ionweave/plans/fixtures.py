@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.operators import matching
+from ionweave.operators.block_match import best_in_window
 from ionweave.operators.candidates import precursor_pairs
 from ionweave.operators.preprocess import by_mz, mz_range, normalise, scale
 
@@ -49,10 +50,10 @@ def aligned(spark: SparkSession, sf_dir: str, allow_shift: bool = False, toleran
     return matching.align(matching.with_spectra(pairs, queries_of(library), library), FRAGMENT, allow_shift)
 
 
-def best_with_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best matches with both spectra."""
+def best_with_peaks(spark: SparkSession, sf_dir: str, allow_shift: bool = False, tolerance: float = STD) -> DataFrame:
+    """Best matches with both spectra, by blocks."""
     library = in_range(spark, sf_dir)
-    return matching.with_spectra(matching.best_match(aligned(spark, sf_dir)), queries_of(library), library)
+    return best_in_window(queries_of(library), library, tolerance, "Da", FRAGMENT, allow_shift, exclude_same=True)
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,15 +97,31 @@ def test_both_alignments_agree(spark):
             assert a == b
 
 
-def test_index_recall(spark):
+def test_index_recall(spark, tmp_path):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id int, vec array<double>").persist()
-    q, cells = df.where("id % 20 = 0"), ann.train_cells(df, 8)
+    q = df.where("id % 20 = 0")
     truth = ann.exact_neighbours(q, df, 5)
-    assert ann.recall(ann.ivf_neighbours(q, ann.assign_cells(df, cells), cells, 5, 8), truth) == 1.0
-    assert ann.recall(ann.ivf_neighbours(q, ann.assign_cells(df, cells), cells, 5, 5), truth) >= 0.8
+    want = {int(i): np.argsort(-(v @ v[i]), kind="stable")[:5].tolist() for i in range(0, 400, 20)}
+    got = {}
+    for r in truth.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["library_id"])
+    assert got == want
+    filed = df.withColumn("charge", F.lit(2)).unionByName(df.where("id < 5").withColumn("charge", F.lit(3)))
+    index = ann.build_or_open(filed, str(tmp_path / "ivf"), "layout", "source", 8)
+    asked = q.withColumn("charge", F.lit(2))
+    assert ann.recall(index.search(asked, 5, 8), truth) == 1.0
+    assert ann.recall(index.search(asked, 5, 5), truth) >= 0.8
+    assert index.search(q.withColumn("charge", F.lit(3)), 5, 8).count() == 0  # too few vectors for an index
+    assert [r[0] for r in index.charges().collect()] == [2]
+    assert ann.build_or_open(filed, str(tmp_path / "ivf"), "layout", "source", 8).path == index.path
+    assert ann.build_or_open(filed, str(tmp_path / "ivf"), "other", "source", 8).path != index.path
+    one = index.search(asked.where("id = 0"), 5, 1).select("library_id")  # reads one cell's folder
+    lots = {r["id"]: r["lot"] for r in index.vectors().where("charge = 2").select("id", "lot").collect()}
+    read = {lots[r[0]] for r in one.collect()}
+    assert len(read) == 1
 
 
 def test_decoys():
