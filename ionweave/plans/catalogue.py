@@ -620,9 +620,21 @@ def decoy_library(spark, d):
     return with_decoys(library).select("id", "peptide", "is_decoy", F.size("peaks").alias("n"))
 
 
+def scored_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("ssm_id"), F.col("user_id").alias("query_id"), (F.col("event_type") == "error").alias("is_decoy"), F.col("value").alias("cosine"), F.log1p("value").alias("f1"), (F.col("user_id") % 10).cast("double").alias("f2"))
+
+
 @query()
 def rescore_svm(spark, d):
     from ionweave.operators.rescoring import rescore
 
-    e = table(spark, d, "events").select(F.col("event_id").alias("ssm_id"), F.col("user_id").alias("query_id"), (F.col("event_type") == "error").alias("is_decoy"), F.col("value").alias("cosine"), F.log1p("value").alias("f1"), (F.col("user_id") % 10).cast("double").alias("f2"))
-    return rescore(e, ["cosine", "f1", "f2"], "svm", train_fdr=0.3, rounds=1).select("ssm_id", "is_decoy", r6(F.col("score"), "score"))
+    return rescore(scored_events(spark, d), ["cosine", "f1", "f2"], "svm", train_fdr=0.3, rounds=1).select("ssm_id", "is_decoy", r6(F.col("score"), "score"))
+
+
+@query()
+def rescore_rf(spark, d):
+    """The default model: each fold searches the grid (here its bounded depths of 3 to 7, all weights)."""
+    from ionweave.operators.rescoring import GRID, rescore
+
+    grid = [s for s in GRID if s.depth in (3, 5, 7)]
+    return rescore(scored_events(spark, d), ["cosine", "f1", "f2"], "rf", train_fdr=0.3, rounds=1, grid=grid).select("ssm_id", "is_decoy", r6(F.col("score"), "score"))

@@ -10,7 +10,7 @@ from ionweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"rescore_svm", "cascade_search", "similarity_features"}
+SLOW = {"rescore_svm", "rescore_rf", "cascade_search", "similarity_features"}
 
 
 def rows(df):
