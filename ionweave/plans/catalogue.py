@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from ionweave.operators import analysis, ann, fdr, matching, vectorize
 from ionweave.operators import candidates as cand
 from ionweave.operators import preprocess as pre
 from ionweave.plans import fixtures as fx
-from ionweave.sources import versions
 from ionweave.plans.fixtures import ALIGNED, CAND, GREEDY, PAIR, PEAK, RAW, SCORED, SIDES, SPEC, table
+from ionweave.sources import binary, export, registry, text, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -638,3 +639,99 @@ def rescore_rf(spark, d):
 
     grid = [s for s in GRID if s.depth in (3, 5, 7)]
     return rescore(scored_events(spark, d), ["cosine", "f1", "f2"], "rf", train_fdr=0.3, rounds=1, grid=grid).select("ssm_id", "is_decoy", r6(F.col("score"), "score"))
+
+
+# --- files ------------------------------------------------------------------------------------
+def file_spectra(spark, d) -> DataFrame:
+    """Spectra in the schema of files, with a peptide of plain letters."""
+    letters = F.concat(F.lit("PEP"), F.translate(F.col("id").cast("string"), "0123456789", "ACDEFGHIKL"))
+    kind = "array<struct<mz:double,intensity:double,ion_type:string,ion_index:int,ion_charge:int>>"
+    none = F.transform("peaks", lambda p: F.struct(p["mz"].cast("double"), p["intensity"].cast("double"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int"))).cast(kind)
+    return fx.spectra(spark, d).select(F.col("id").cast("string").alias("id"), F.col("precursor_mz").cast("double").alias("precursor_mz"), F.col("precursor_charge").cast("int").alias("precursor_charge"), (F.col("id") % 7 + 0.5).cast("double").alias("retention_time"), letters.alias("peptide"), "is_decoy", none.alias("peaks"))
+
+
+def through_files(spark, d, write, read, name: str) -> DataFrame:
+    path = f"{versions.shared_dir(spark)}/files-{uuid.uuid4().hex}/spectra{name}"
+    write(file_spectra(spark, d), path)
+    return read(spark, path)
+
+
+def file_summary(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("id", r6(F.col("precursor_mz"), "precursor_mz"), F.col("precursor_charge").alias("charge"), *columns, F.size("peaks").alias("n"), r6(pre.total(pre.field(F.col("peaks"), "mz")), "sum_mz"), r6(pre.total(pre.field(F.col("peaks"), "intensity")), "sum_intensity"))
+
+
+_LETTERS = "'PEP' || translate(CAST(id AS VARCHAR), '0123456789', 'ACDEFGHIKL')"
+
+
+def file_sql(more: str = "", where: str = "") -> str:
+    return f"WITH {SPEC}, {RAW} SELECT CAST(id AS VARCHAR) AS id, round(precursor_mz, 6) AS precursor_mz, charge{more}, count(*) AS n, round(sum(mz), 6) AS sum_mz, round(sum(intensity), 6) AS sum_intensity FROM raw JOIN spec USING (id) {where} GROUP BY id, precursor_mz, charge, is_decoy"
+
+
+@query(file_sql(f", CAST(id % 7 + 0.5 AS DOUBLE) AS retention_time, {_LETTERS} AS peptide, is_decoy"))
+def source_mgf(spark, d):
+    return file_summary(through_files(spark, d, export.write_mgf, registry.read_queries, ".mgf"), "retention_time", "peptide", "is_decoy")
+
+
+@query(file_sql(", CAST(id % 7 + 0.5 AS DOUBLE) AS retention_time"))
+def source_mzml(spark, d):
+    return file_summary(through_files(spark, d, export.write_mzml, registry.read_queries, ".mzML"), "retention_time")
+
+
+@query(file_sql(", CAST(id % 7 + 0.5 AS DOUBLE) AS retention_time"))
+def source_mzxml(spark, d):
+    return file_summary(through_files(spark, d, export.write_mzxml, registry.read_queries, ".mzXML"), "retention_time")
+
+
+@query(file_sql(f", {_LETTERS} AS peptide, is_decoy").replace("SELECT CAST(id AS VARCHAR) AS id, ", "SELECT "))
+def source_sptxt(spark, d):
+    return file_summary(through_files(spark, d, export.write_sptxt, registry.read_library, ".sptxt"), "peptide", "is_decoy").drop("id")
+
+
+@query(file_sql(f", {_LETTERS} AS peptide, is_decoy"))
+def source_splib(spark, d):
+    return file_summary(through_files(spark, d, export.write_splib, registry.read_library, ".splib"), "peptide", "is_decoy")
+
+
+@query(file_sql(f", {_LETTERS} AS peptide", "WHERE id % 100 = 0"))
+def source_splib_ids(spark, d):
+    """Spectra fetched by id: seeks to their places in the files."""
+    wanted = fx.queries_of(table(spark, d, "part").select(F.col("p_partkey").alias("id")))
+    return file_summary(through_files(spark, d, export.write_splib, lambda s, path: binary.read_splib_ids(s, path, wanted), ".splib"), "peptide")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) || 'K' AS sequence FROM part")
+def source_proteins(spark, d):
+    path = f"{versions.shared_dir(spark)}/files-{uuid.uuid4().hex}/proteins.fasta"
+    letters = F.concat(F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")), F.lit("K"))
+    entry = F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit(" made of a part\n"), F.substring(letters, 1, 5), F.lit("\n"), F.expr("substring(concat(upper(regexp_replace(p_name, '[^A-Za-z]', '')), 'K'), 6)"))
+    table(spark, d, "part").select(entry).write.text(path)
+    return text.read_proteins(spark, path)
+
+
+@query(f"WITH {ALIGNED} SELECT CAST(query_id AS VARCHAR) AS psm, CAST(library_id AS VARCHAR) AS library, CAST(b.charge AS VARCHAR) AS charge, CAST(round(dot, 3) AS DOUBLE) AS score, s.is_decoy FROM best b JOIN spec s ON s.id = library_id")
+def mztab_round_trip(spark, d):
+    """Best matches written as mzTab in ordered parts, joined to one file and read back."""
+    from ionweave.config import SearchConfig
+    from ionweave.sources import mztab
+
+    found = fx.best_with_peaks(spark, d).where(F.size("matches") > 0)
+    found = found.withColumns({"query_id": F.col("query_id").cast("string"), "score": F.round("dot", 3), "q": F.lit(0.0), "retention_time": F.lit(None).cast("double"), "source_index": F.lit(0)})
+    out = mztab.write(found, f"{versions.shared_dir(spark)}/files-{uuid.uuid4().hex}/best", SearchConfig(fx.STD, "Da", fx.FRAGMENT), "library", "queries")
+    back = text.read_mztab(spark, out)
+    return back.select(F.col("PSM_ID").alias("psm"), F.col("`opt_ms_run[1]_cv_MS:1003062_spectrum_index`").alias("library"), "charge", F.col("`search_engine_score[1]`").cast("double").alias("score"), F.col("`opt_ms_run[1]_cv_MS:1002217_decoy_peptide`").alias("is_decoy"))
+
+
+@query(
+    f"WITH {SPEC}, {PEAK}, a AS (SELECT *, max(intensity) OVER w AS top, count(*) OVER w AS n, max(mz) OVER w - min(mz) OVER w AS reach FROM peak JOIN spec USING (id) WINDOW w AS (PARTITION BY id)), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) AS place FROM a WHERE n >= 10 AND reach >= 250 AND intensity > top * 0.1), "
+    f"c AS (SELECT *, count(*) OVER w AS m, max(mz) OVER w - min(mz) OVER w AS span FROM b WHERE place <= 50 WINDOW w AS (PARTITION BY id)) SELECT id, charge AS precursor_charge, count(*) AS n, round(sum(mz), 6) AS sum_mz, round(sum(51 - place), 6) AS ranks FROM c WHERE m >= 10 AND span >= 250 GROUP BY 1, 2"
+)
+def processed_store(spark, d):
+    """The processed library of all parts from its store, which is built at the first call for a table."""
+    from ionweave.config import SearchConfig
+    from ionweave.plans.search import prepare
+
+    cfg = SearchConfig(fx.STD, "Da", fx.FRAGMENT, min_intensity=0.1)
+    path = f"{versions.shared_dir(spark)}/store-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    stored = prepare(lambda: fx.spectra(spark, d), cfg, path, versions.source_mark(spark, f"{d}/lineitem.parquet"), spark).spectra
+    ranks = F.expr("aggregate(peaks, 0D, (a, p) -> a + p.intensity) / array_min(transform(peaks, p -> p.intensity)) * (51 - size(peaks))")
+    return stored.select("id", "precursor_charge", F.size("peaks").alias("n"), r6(pre.total(pre.field(F.col("peaks"), "mz")), "sum_mz"), F.round(ranks, 6).alias("ranks"))

@@ -37,7 +37,7 @@ def _ordered(spark: SparkSession, path: str, separator: str, starts: str) -> Dat
     from pyspark.sql.window import Window
 
     local = F.row_number().over(Window.partitionBy("file", "part").orderBy("at"))
-    numbered = blocks.withColumn("part", F.shiftright("at", 33)).withColumn("k", local).join(before, "file")
+    numbered = blocks.withColumn("part", F.shiftright("at", 33)).withColumn("k", local).join(F.broadcast(before), "file")  # a row a byte range of files
     earlier = F.aggregate(F.filter("all", lambda p: p["part"] < F.col("part")), F.lit(0).cast("long"), lambda a, p: a + p["rows"])
     return numbered.select("block", (F.col("k") + earlier).cast("int").alias("n"))
 
