@@ -45,7 +45,7 @@ def parse(args: list[str] | None = None) -> tuple[argparse.Namespace, SearchConf
 def run(spark: SparkSession, library: str, queries: str, out: str, cfg: SearchConfig, store: str | None = None) -> str:
     """Search a query file against a library file and write mzTab; returns the path written."""
     registry.verify(spark, library, registry.LIBRARY_READERS)
-    lib = prepare(lambda: registry.read_library(spark, library), cfg, store or f"{library}.store", versions.source_mark(spark, library), spark)
+    lib = prepare(lambda: registry.read_library(spark, library, cfg), cfg, store or f"{library}.store", versions.source_mark(spark, library), spark)
     qry = registry.read_queries(spark, queries)
     about = qry.select(qry["id"].alias("query_id"), "retention_time", "source_index")
     found = search(qry, lib, cfg).join(about, "query_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, fields
 
 
@@ -39,6 +40,14 @@ class SearchConfig:
     num_probe: int = 128
     add_decoys: bool = False
     seed: int = 42
+    prediction_batch_size: int = 1000
+    prediction_server_url: str | None = None
+    prediction_model: str | None = None
+    min_precursor_charge: int = 2
+    max_precursor_charge: int = 3
+    collision_energies: tuple[int, ...] = (32,)
+    missed_cleavages: int = 2
+    protease: str = "trypsin"
 
     def __post_init__(self) -> None:
         def one_of(name: str, *allowed: object) -> None:
@@ -50,6 +59,11 @@ class SearchConfig:
         one_of("scaling", "rank", "root", "sqrt", None)
         one_of("model", "rf", "svm", "none")
         one_of("mode", "ann", "bf")
+        one_of("protease", "trypsin")
+        if not 1 <= self.min_precursor_charge <= self.max_precursor_charge:
+            raise ValueError("min_precursor_charge must be positive and not exceed max_precursor_charge")
+        if self.prediction_batch_size < 1 or self.missed_cleavages < 0 or not self.collision_energies:
+            raise ValueError("prediction settings are out of range")
         if self.num_probe > self.num_list:
             raise ValueError("num_probe must not exceed num_list")
 
@@ -65,7 +79,7 @@ class SearchConfig:
 
     def processing_hash(self) -> str:
         """SHA-1 of the settings that fix what a processed library holds."""
-        keys = ("min_mz", "max_mz", "resolution", "remove_precursor", "remove_precursor_tolerance", "min_intensity", "min_peaks", "min_mz_range", "max_peaks_used_library", "scaling", "add_decoys", "seed")
+        keys = ("min_mz", "max_mz", "resolution", "remove_precursor", "remove_precursor_tolerance", "min_intensity", "min_peaks", "min_mz_range", "max_peaks_used_library", "scaling", "add_decoys", "seed", "prediction_model", "min_precursor_charge", "max_precursor_charge", "collision_energies", "missed_cleavages", "protease")
         return hashlib.sha1(json.dumps({k: getattr(self, k) for k in keys}).encode()).hexdigest()
 
     @classmethod
@@ -78,6 +92,8 @@ class SearchConfig:
             if text in ("None", ""):
                 return None
             kind = kinds[key]
+            if kind.startswith("tuple"):
+                return tuple(int(x) for x in re.findall(r"-?\d+", text))
             return text == "True" if kind.startswith("bool") else int(text) if kind.startswith("int") else float(text) if kind.startswith("float") else text
 
         return cls(**{k: read(k, v) for k, v in pairs.items() if k in kinds})

@@ -14,6 +14,7 @@ from ionweave.functions import similarity as sim
 from ionweave.operators import analysis, ann, fdr, matching, vectorize
 from ionweave.operators import candidates as cand
 from ionweave.operators import preprocess as pre
+from ionweave.operators.block_match import best_in_window
 from ionweave.plans import fixtures as fx
 from ionweave.plans.fixtures import ALIGNED, CAND, GREEDY, PAIR, PEAK, RAW, SCORED, SIDES, SPEC, table
 from ionweave.sources import binary, export, registry, text, versions
@@ -202,9 +203,12 @@ def correct_neighbour_rank(spark, d):
 
 # --- alignment ---------------------------------------------------------------------------------
 def pairs_of(df: DataFrame, shifted: bool) -> DataFrame:
+    """All matching peak pairs of each pair of spectra, as counts and sums."""
     moves = matching.shifts(F.col("q_precursor_mz"), F.col("l_precursor_mz"), F.col("charge"), 0.55, shifted)
-    p = df.select("query_id", "library_id", F.explode(matching.peak_pairs(F.col("q_peaks"), F.col("l_peaks"), moves, fx.FRAGMENT)).alias("p"))
-    return p.select("query_id", "library_id", F.col("p.q").alias("qi"), F.col("p.l").alias("li"), r6(F.col("p.w"), "w"))
+    p = df.select("query_id", "library_id", matching.peak_pairs(F.col("q_peaks"), F.col("l_peaks"), moves, fx.FRAGMENT).alias("p")).where(F.size("p") > 0)
+    of = lambda f: F.aggregate("p", F.lit(0.0), lambda a, m: a + f(m))
+    places = F.aggregate("p", F.lit(0).cast("long"), lambda a, m: a + m["q"] * 1000 + m["l"])
+    return p.select("query_id", "library_id", F.size("p").alias("n"), places.alias("places"), r6(of(lambda m: m["w"]), "w"))
 
 
 def wide(spark, d) -> DataFrame:
@@ -212,14 +216,14 @@ def wide(spark, d) -> DataFrame:
     return matching.with_spectra(pairs, fx.queries_of(library), library)
 
 
-@query(f"WITH {SPEC}, {PEAK}, {CAND}, {PAIR} SELECT query_id, library_id, qi, li, round(w, 6) AS w FROM pp")
+@query(f"WITH {SPEC}, {PEAK}, {CAND}, {PAIR} SELECT query_id, library_id, count(*) AS n, CAST(sum(qi * 1000 + li) AS BIGINT) AS places, round(sum(w), 6) AS w FROM pp GROUP BY 1, 2")
 def peak_pairs(spark, d):
     return pairs_of(wide(spark, d), False)
 
 
 @query(
     f"WITH {SPEC}, {PEAK}, {CAND}, mv AS (SELECT *, unnest(CASE WHEN abs((q_mz - l_mz) * charge) >= 0.55 THEN range(0, charge + 1) ELSE [0] END) AS k FROM cand), sh AS MATERIALIZED (SELECT mv.*, CASE WHEN k = 0 THEN 0.0 ELSE (q_mz - l_mz) * charge / k END AS s, q.i AS qi, q.mz, q.intensity FROM mv JOIN peak q ON q.id = query_id) "
-    f"SELECT query_id, library_id, qi, l.i AS li, round(sh.intensity * l.intensity * CASE WHEN s = 0 THEN 1 ELSE 2.0 / 3.0 END, 6) AS w FROM sh JOIN peak l ON l.id = library_id WHERE abs(sh.mz - (l.mz + s)) <= {fx.FRAGMENT}"
+    f"SELECT query_id, library_id, count(*) AS n, CAST(sum(qi * 1000 + l.i) AS BIGINT) AS places, round(sum(sh.intensity * l.intensity * CASE WHEN s = 0 THEN 1 ELSE 2.0 / 3.0 END), 6) AS w FROM sh JOIN peak l ON l.id = library_id WHERE abs(sh.mz - (l.mz + s)) <= {fx.FRAGMENT} GROUP BY 1, 2"
 )
 def peak_pairs_shifted(spark, d):
     return pairs_of(wide(spark, d), True)
@@ -260,6 +264,20 @@ def annotated_match(spark, d):
     return matching.annotated_pairs(b).select("query_id", "library_id", "side", "i", r6(F.col("mz"), "mz"), "partner", "ion")
 
 
+@query(
+    f"WITH {SPEC}, {PEAK}, {CAND.replace(str(fx.STD), str(fx.OPEN))}, mv AS (SELECT *, unnest(CASE WHEN abs((q_mz - l_mz) * charge) >= {fx.FRAGMENT} THEN range(0, charge + 1) ELSE [0] END) AS k FROM cand), sh AS MATERIALIZED (SELECT mv.*, CASE WHEN k = 0 THEN 0.0 ELSE (q_mz - l_mz) * charge / k END AS s, q.i AS qi, q.mz, q.intensity FROM mv JOIN peak q ON q.id = query_id), "
+    f"pp AS (SELECT query_id, library_id, sh.charge, qi, l.i AS li, sh.intensity * l.intensity * CASE WHEN s = 0 OR l.i % 3 = k THEN 1 ELSE 2.0 / 3.0 END AS w FROM sh JOIN peak l ON l.id = library_id WHERE abs(sh.mz - (l.mz + s)) <= {fx.FRAGMENT} AND (s = 0 OR l.i % 3 = k OR l.i % 3 = 0)), {GREEDY}, {SCORED} "
+    "SELECT query_id, library_id, charge, n AS n_matches, round(dot, 6) AS dot FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, library_id) AS k FROM scored) WHERE k = 1"
+)
+def best_match_annotated(spark, d):
+    """Shifted peaks count in full at their annotated charge, by two thirds without one, and not at another."""
+    kind = "array<struct<mz:double,intensity:double,ion_type:string,ion_index:int,ion_charge:int>>"
+    noted = F.transform("peaks", lambda p, i: F.struct(p["mz"], p["intensity"], F.lit("b"), i, F.when(i % 3 > 0, i % 3))).cast(kind)
+    library = fx.in_range(spark, d).withColumn("peaks", noted)
+    b = best_in_window(fx.queries_of(library), library, fx.OPEN, "Da", fx.FRAGMENT, True, annotated=True, exclude_same=True)
+    return b.select("query_id", "library_id", "charge", F.size("matches").alias("n_matches"), r6(F.col("dot"), "dot"))
+
+
 # --- similarities ------------------------------------------------------------------------------
 def similarity(spark, d, **columns) -> DataFrame:
     s, a = sim.Aligned.on(fx.best(spark, d), "q_peaks", "l_peaks", "matches")
@@ -557,10 +575,36 @@ def parameter_grid(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_retailprice").join(F.broadcast(grid)).select("p_partkey", "w", "n", r6(F.col("p_retailprice") / F.col("w") / F.col("n"), "score"))  # nine settings
 
 
-@query()
+@query(
+    "WITH e AS (SELECT event_id AS id, value % 7 AS mass, value AS score, user_id AS part FROM events), f AS (SELECT part, list_reduce(list([struct_pack(id := id, mass := mass)] ORDER BY score DESC, id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y.mass - x[1].mass) <= 0.05)) > 0 THEN acc ELSE list_concat(acc, x) END) AS tops FROM e GROUP BY 1), "
+    "t AS (SELECT part, unnest(tops) AS top, generate_subscripts(tops, 1) AS k FROM f) SELECT e.id, e.part, arg_min(top.id, k) AS leader FROM e JOIN t ON t.part = e.part AND abs(e.mass - top.mass) <= 0.05 GROUP BY 1, 2"
+)
 def greedy_mass_groups(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") % 7).alias("mass_diff"), F.col("value").alias("score"), F.col("user_id").alias("part"))
-    return analysis.greedy_groups(e, 0.5).select("id", "part", "leader")
+    return analysis.greedy_groups(e, 0.05).select("id", "part", "leader")
+
+
+_RANKS = "r AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank FROM events WHERE event_type <> 'error')"
+
+
+def event_ranks(spark, d) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = table(spark, d, "events").where("event_type != 'error'")
+    return e.select(F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id")).alias("rank"))
+
+
+@query(f"WITH {_RANKS}, c AS (SELECT rank, count(*) AS n FROM r GROUP BY 1), d AS (SELECT rank, sum(n) OVER (ORDER BY rank) AS c FROM c) SELECT share, CAST(min(rank) AS BIGINT) AS k FROM d, (SELECT CAST(unnest([0.9, 0.95, 0.99]) AS DOUBLE) AS share) WHERE c >= share * (SELECT count(*) FROM r) GROUP BY 1")
+def rank_thresholds(spark, d):
+    return analysis.rank_thresholds(event_ranks(spark, d), "rank", [0.9, 0.95, 0.99])
+
+
+@query(
+    f"WITH {_RANKS}, m AS (SELECT log10(min(rank)) AS a, log10(max(rank)) AS b, count(*) AS total FROM r), p AS (SELECT CAST(least(floor((log10(rank) - a) / ((b - a) / 10)), 9) AS INT) AS bin FROM r, m), c AS (SELECT bin, count(*) AS n FROM p GROUP BY 1) "
+    "SELECT bin, round(10 ** (a + (b - a) / 10 * bin), 6) AS low, round(10 ** (a + (b - a) / 10 * (bin + 1)), 6) AS high, n, round(sum(n) OVER (ORDER BY bin) / total, 6) AS share FROM c, m"
+)
+def rank_bins(spark, d):
+    return analysis.rank_bins(event_ranks(spark, d), "rank", 10).withColumns({n: F.round(n, 6) for n in ("low", "high", "share")})
 
 
 # --- strings -----------------------------------------------------------------------------------
@@ -735,3 +779,29 @@ def processed_store(spark, d):
     stored = prepare(lambda: fx.spectra(spark, d), cfg, path, versions.source_mark(spark, f"{d}/lineitem.parquet"), spark).spectra
     ranks = F.expr("aggregate(peaks, 0D, (a, p) -> a + p.intensity) / array_min(transform(peaks, p -> p.intensity)) * (51 - size(peaks))")
     return stored.select("id", "precursor_charge", F.size("peaks").alias("n"), r6(pre.total(pre.field(F.col("peaks"), "mz")), "sum_mz"), F.round(ranks, 6).alias("ranks"))
+
+
+_MASS = " ".join(f"WHEN '{c}' THEN {m!r}" for c, m in seq.MONOISOTOPIC.items())
+
+
+@query(
+    f"WITH p AS (SELECT 'PEPTIDE' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ACDEFGHILM') || 'K' AS peptide FROM part), m AS (SELECT peptide, length(peptide) AS n, list_sum(list_transform(string_split(peptide, ''), lambda c: CAST(CASE c {_MASS} END AS DOUBLE))) + {seq.WATER!r} AS mass FROM p), "
+    f"g AS (SELECT *, unnest([2, 3]) AS charge FROM m), e AS (SELECT *, unnest([20, 35]) AS energy FROM g) SELECT peptide || '/' || charge || '/' || energy AS id, round(mass / charge + {seq.PROTON!r}, 6) AS precursor_mz, charge, CAST(2 * (n - 1) AS INT) AS n, round((n - 1) * (mass + 2 * {seq.PROTON!r}), 2) AS sum_mz, round(2 * list_sum(list_transform(range(1, n), lambda i: exp(-energy * i / 1000.0))), 6) AS sum_intensity FROM e"
+)
+def predicted_library(spark, d):
+    """Proteins written as FASTA, digested, predicted in batches for two charges and two collision energies."""
+    path = f"{versions.shared_dir(spark)}/files-{uuid.uuid4().hex}/proteins.fasta"
+    letters = F.concat(F.lit("PEPTIDE"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "ACDEFGHILM"), F.lit("K"))
+    table(spark, d, "part").select(F.concat(F.lit(">p"), F.col("p_partkey").cast("string"), F.lit("\n"), letters)).write.text(path)
+    return file_summary(text.read_fasta(spark, path, (2, 3), (20, 35), batch_size=250)).withColumn("sum_mz", F.round("sum_mz", 2))
+
+
+@query(similar_sql(cosine="ql", contrast="1 - 2 * acos(least(greatest(ql, 0), 1)) / pi()", scribe="ln(1 / (gap2 + sul2))", n_matched="CAST(n AS DOUBLE)", frac_n_query="n / (n + nuq)", frac_n_library="n / (n + nul)", frac_i_query="sq / (sq + suq)", frac_i_library="sl / (sl + sul)", mse_mz="mgap2 / n", mse_intensity="gap2 / n", manhattan="gap + suq + sul", euclidean="sqrt(gap2 + suq2 + sul2)", chebyshev="greatest(top, tuq, tul)"))
+def sql_similarities(spark, d):
+    """The similarities as SQL functions, in plain SQL over a view."""
+    from ionweave.functions import sql
+
+    sql.register(spark)
+    names = {"cosine": "cosine", "contrast": "contrast_angle", "scribe": "scribe", "n_matched": "n_matched", "frac_n_query": "frac_n_query", "frac_n_library": "frac_n_library", "frac_i_query": "frac_intensity_query", "frac_i_library": "frac_intensity_library", "mse_mz": "mse_mz", "mse_intensity": "mse_intensity", "manhattan": "manhattan", "euclidean": "euclidean", "chebyshev": "chebyshev"}
+    calls = ", ".join(f"round(similarity_{f}(q_peaks, l_peaks, matches), 6) AS {n}" for n, f in names.items())
+    return spark.sql(f"SELECT query_id, {calls} FROM {{best}}", best=sql.plain_peaks(fx.best(spark, d)))

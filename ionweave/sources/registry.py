@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ionweave.config import SearchConfig
 from ionweave.sources.binary import read_mzml, read_mzxml, read_splib
-from ionweave.sources.text import read_fasta, read_mgf, read_sptxt
+from ionweave.sources.text import read_fasta, read_fasta_by, read_mgf, read_sptxt
 
 QUERY_READERS = {".mgf": read_mgf, ".mzml": read_mzml, ".mzxml": read_mzxml}
 LIBRARY_READERS = {".splib": read_splib, ".sptxt": read_sptxt, ".mgf": read_mgf, ".fasta": read_fasta}
@@ -36,8 +36,10 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return QUERY_READERS[verify(spark, path, QUERY_READERS)](spark, path)
 
 
-def read_library(spark: SparkSession, path: str) -> DataFrame:
-    return LIBRARY_READERS[verify(spark, path, LIBRARY_READERS)](spark, path)
+def read_library(spark: SparkSession, path: str, cfg: SearchConfig | None = None) -> DataFrame:
+    """A library file; with settings, sequences are digested and predicted by them."""
+    kind = verify(spark, path, LIBRARY_READERS)
+    return read_fasta_by(spark, path, cfg) if kind == ".fasta" and cfg is not None else LIBRARY_READERS[kind](spark, path)
 
 
 def write_store(library: DataFrame, path: str, cfg: SearchConfig, source: str = "") -> None:

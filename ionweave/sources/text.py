@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.functions.sequences import cleave, fragment_annotation, mgf_to_proforma, precursor_mz, sptxt_to_proforma
+from ionweave.config import SearchConfig
+from ionweave.functions.sequences import fragment_annotation, mgf_to_proforma, sptxt_to_proforma
 from ionweave.schema import PEAK
+from ionweave.sources.prediction import Predictor, Server, grid, ladder, predict_spectra
 
 NUMBER = r"[0-9.]+(?:[eE][+-]?\d+)?"
 
@@ -83,23 +85,16 @@ def read_proteins(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("v", r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s|\*", "").alias("sequence"))
 
 
-def theoretical(peptides: DataFrame) -> DataFrame:
-    """``peptides(peptide, precursor_charge, ...)`` with peaks of equal intensity at all singly charged b and y ions: the offline predictor."""
-    from ionweave.functions.sequences import PROTON, WATER, mass
+def read_fasta(spark: SparkSession, path: str, charges: tuple[int, ...] = (2, 3), energies: tuple[int, ...] = (30,), missed: int = 0, predict: Predictor = ladder, batch_size: int = 1000) -> DataFrame:
+    """Library spectra of all distinct peptides, charges and collision energies, by a predictor of batches."""
+    return predict_spectra(grid(read_proteins(spark, path), charges, energies, missed), predict, batch_size)
 
-    n = F.length("peptide")
-    b = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((mass(F.substr("peptide", F.lit(1), i)) - WATER + PROTON).alias("mz"), F.lit(1.0).alias("intensity"), F.lit("b").alias("ion_type"), i.cast("int").alias("ion_index"), F.lit(1).alias("ion_charge")))
-    y = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((mass(F.substr("peptide", n - i + 1, i)) + PROTON).alias("mz"), F.lit(1.0).alias("intensity"), F.lit("y").alias("ion_type"), i.cast("int").alias("ion_index"), F.lit(1).alias("ion_charge")))
-    return peptides.withColumn("peaks", F.array_sort(F.concat(b, y)).cast(f"array<{PEAK}>"))
 
-
-def read_fasta(spark: SparkSession, path: str, charges: tuple[int, ...] = (2, 3), energies: tuple[int, ...] = (30,), missed: int = 0, predict=theoretical) -> DataFrame:
-    """Library spectra of all distinct peptides, charges and collision energies, by a predictor of ``DataFrame`` to ``DataFrame``."""
-    grid = cleave(read_proteins(spark, path), missed=missed).withColumn("precursor_charge", F.explode(F.array(*map(F.lit, charges)))).withColumn("energy", F.explode(F.array(*map(F.lit, energies))))
-    known = grid.withColumn("precursor_mz", precursor_mz(F.col("peptide"), F.col("precursor_charge")))
-    return predict(known).select(
-        F.concat_ws("/", "peptide", "precursor_charge", "energy").alias("id"), F.lit(None).cast("int").alias("source_index"), "precursor_mz", "precursor_charge", F.lit(None).cast("double").alias("retention_time"), "peptide", F.lit(False).alias("is_decoy"), "peaks"
-    )
+def read_fasta_by(spark: SparkSession, path: str, cfg: SearchConfig) -> DataFrame:
+    """The same by a search's settings: its charges, energies and missed cleavages, and its prediction server if it names one."""
+    charges = tuple(range(cfg.min_precursor_charge, cfg.max_precursor_charge + 1))
+    predict = Server(cfg.prediction_server_url, cfg.prediction_model) if cfg.prediction_server_url else ladder
+    return read_fasta(spark, path, charges, cfg.collision_energies, cfg.missed_cleavages, predict, cfg.prediction_batch_size)
 
 
 def read_mztab(spark: SparkSession, path: str) -> DataFrame:
