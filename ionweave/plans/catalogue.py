@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import sequences as seq
 from ionweave.functions import similarity as sim
-from ionweave.operators import analysis, ann, fdr, matching, vectorize
+from ionweave.operators import analysis, ann, fdr, forest, matching, vectorize
 from ionweave.operators import candidates as cand
 from ionweave.operators import preprocess as pre
 from ionweave.operators.block_match import best_in_window
@@ -195,6 +195,23 @@ def ivf_sizes(spark, d):
     return index.vectors().groupBy("charge").agg(F.count("*").alias("n"))
 
 
+def stored_forest(spark, d) -> forest.Forest:
+    path = f"{versions.shared_dir(spark)}/forest-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    return forest.build_or_open(embedded(spark, d), path, versions.source_mark(spark, f"{d}/embeddings.parquet"))
+
+
+@query()
+def forest_knn(spark, d):
+    near = stored_forest(spark, d).search(asked_of(spark, d), 10)
+    return near.select("query_id", "library_id", r6(F.col("score"), "score"), "rank")
+
+
+@query("SELECT CAST(tree AS INT) AS tree, vec_id AS id FROM embeddings, (SELECT unnest(range(10)) AS tree)")
+def forest_members(spark, d):
+    """Every vector lies in one leaf of each tree."""
+    return stored_forest(spark, d).part("leaves").select("tree", "id")
+
+
 @query(f"WITH {KNN} SELECT q.vec_id AS query_id, min(rank) AS rank FROM embeddings q JOIN knn k ON k.query_id = q.vec_id JOIN embeddings l ON l.vec_id = k.library_id AND l.label <> q.label GROUP BY 1")
 def correct_neighbour_rank(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")

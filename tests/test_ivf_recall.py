@@ -1,4 +1,4 @@
-"""The registered index search against brute force: at least 0.9 of the true neighbours."""
+"""The registered index searches against brute force: at least 0.9 of the true neighbours."""
 
 import os
 
@@ -9,10 +9,29 @@ from ionweave.plans import catalogue
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_registered_recall(spark, sf):
+@pytest.mark.parametrize("query", ["ivf_knn", "forest_knn"])
+def test_registered_recall(spark, sf, query):
     d = f"/root/testdata/{sf}"
     if not os.path.isdir(d):
         pytest.skip("no tables here")
-    recall = ann.recall(catalogue.QUERIES["ivf_knn"](spark, d), catalogue.QUERIES["exact_knn_topk"](spark, d))
+    recall = ann.recall(catalogue.QUERIES[query](spark, d), catalogue.QUERIES["exact_knn_topk"](spark, d))
     print(sf, recall)
     assert recall >= 0.9
+
+
+def test_leaves_are_bounded(spark, tmp_path):
+    """A third of the vectors are copies of one; leaves stay small."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ionweave.operators import forest
+
+    v = np.random.default_rng(3).normal(size=(900, 8))
+    v[600:] = v[0]
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "id int, vec array<double>")
+    made = forest.build_forest(df, str(tmp_path / "f"), trees=3, leaf=50)
+    sizes = made.part("leaves").groupBy("tree", "leaf").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 75 and sizes.groupBy("tree").agg(F.sum("count")).where("`sum(count)` != 900").count() == 0
+    q = df.where("id in (1, 2, 3)")
+    near = made.search(q, 1, beam=3).collect()
+    assert {r["query_id"]: r["library_id"] for r in near} == {i: int(np.argmax(v @ v[i])) for i in (1, 2, 3)}
