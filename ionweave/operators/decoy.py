@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,33 +70,50 @@ def residues(peptide: str) -> list[tuple[str, float]]:
     return out
 
 
-def fragments(masses: list[float], charge: int) -> dict[tuple[str, int, int], float]:
-    """m/z of all a, b and y fragments and the precursor by (type, index, charge)."""
+#: Neutral losses of fragments and their masses (fixed values).
+LOSSES = {
+    "H": 1.007825, "NH3": 17.026549, "H2O": 18.010565, "CO": 27.994915, "CO2": 43.989829, "HCONH2": 45.021464, "HCOOH": 46.005479, "CH4OS": 63.998285,
+    "SO3": 79.956818, "HPO3": 79.966331, "C2H5NOS": 91.009195, "C2H4O2S": 91.993211, "H3PO4": 97.976896,
+}
+
+
+def fragments(masses: list[float], charge: int, losses: dict[str, float] | None = None) -> dict[tuple[str, int, int, str], float]:
+    """m/z of all a, b and y fragments and the precursor by (type, index, charge, loss); the loss of whole ones is empty."""
     out, n, whole = {}, len(masses), sum(masses)
     run = 0.0
     for i in range(1, n):
         run += masses[i - 1]
         for z in range(1, max(1, charge - 1) + 1):
-            out["b", i, z] = run / z + PROTON
-            out["a", i, z] = (run - 27.99491462) / z + PROTON  # less carbon monoxide
-            out["y", n - i, z] = (whole - run + WATER) / z + PROTON
+            out["b", i, z, ""] = run / z + PROTON
+            out["a", i, z, ""] = (run - 27.99491462) / z + PROTON  # less carbon monoxide
+            out["y", n - i, z, ""] = (whole - run + WATER) / z + PROTON
     for z in range(1, charge + 1):
-        out["p", n, z] = (whole + WATER) / z + PROTON
+        out["p", n, z, ""] = (whole + WATER) / z + PROTON
+    for (kind, i, z, _), mz in list(out.items()):
+        for name, loss in (losses or {}).items():
+            if mz * z > loss:
+                out[kind, i, z, name] = mz - loss / z
     return out
 
 
 def reposition(peptide: str, charge: int, peaks: list[tuple[float, float]], ppm: float, seed: int = 42) -> tuple[str, list[tuple[float, float]]]:
-    """The decoy's sequence and peaks: annotated peaks keep their mass error at the moved fragment; others stay."""
+    """The decoy's sequence and peaks: annotated peaks keep their mass error at the moved fragment; others stay.
+
+    A peak is the whole fragment nearest to it within the tolerance, else the nearest one with a neutral loss.
+    """
     rows = residues(peptide)
     _, origin = shuffle("".join(a for a, _ in rows), seed=seed)
     moved = [rows[i] for i in origin]
     names = [m.group(0) for m in _MOD.finditer(peptide)]
-    old, new = fragments([m for _, m in rows], charge), fragments([m for _, m in moved], charge)
+    old, new = fragments([m for _, m in rows], charge, LOSSES), fragments([m for _, m in moved], charge, LOSSES)
     known = sorted((mz, key) for key, mz in old.items())
+    places = [mz for mz, _ in known]
     out = []
     for mz, intensity in peaks:
-        near = min(((abs(mz - t), key) for t, key in known if abs(mz - t) <= t * ppm * 1e-6), default=None)
-        out.append((mz if near is None else max(new[near[1]] + mz - old[near[1]], 0.0), intensity))
+        reach = mz * ppm * 1.1e-6
+        close = known[bisect_left(places, mz - reach) : bisect_right(places, mz + reach)]
+        near = min(((key[3] != "", abs(mz - t), key) for t, key in close if abs(mz - t) <= t * ppm * 1e-6 and key in new), default=None)
+        out.append((mz if near is None else max(new[near[2]] + mz - old[near[2]], 0.0), intensity))
     return "".join(names[i] for i in origin), sorted(out)
 
 

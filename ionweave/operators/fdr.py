@@ -19,10 +19,9 @@ def q_values(ssms: DataFrame, score: str = "score", decoy: str = "is_decoy", gro
     """
     keys = list(groups)
     level = ssms.groupBy(*keys, score).agg(F.count(F.when(F.col(decoy), 1)).alias("d"), F.count(F.when(~F.col(decoy), 1)).alias("t"))
-    n = max(1, int(ssms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(LOTS, max(1, int(ssms.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     marks = ssms.agg(F.percentile_approx(score, [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []  # ``n`` scores
-    above = F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda m: m > F.col(score))) if marks else F.lit(0)
-    ranged = level.withColumn("lot", above)
+    ranged = level.withColumn("lot", marks_above(F.col(score), sorted(set(marks))))
     from_top = Window.partitionBy(*keys, "lot").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     lots = ranged.groupBy(*keys, "lot").agg(F.sum("d").alias("ld"), F.sum("t").alias("lt"), F.max(score).alias("top"))
     before = Window.partitionBy(*keys).orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
@@ -38,6 +37,21 @@ def q_values(ssms: DataFrame, score: str = "score", decoy: str = "is_decoy", gro
     return _null_safe(ssms, q, [*keys, score]).withColumn("q", F.when(~F.col(decoy), F.col("q")))
 
 
+LOTS = 256  # ranges of scores
+
+
+def marks_above(value: Column, marks: list[float]) -> Column:
+    """How many of the rising ``marks`` are greater, by a tree of comparisons as deep as their number has bits."""
+
+    def down(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(len(marks) - lo)
+        mid = (lo + hi) // 2
+        return F.when(value >= marks[mid], down(mid + 1, hi)).otherwise(down(lo, mid))
+
+    return down(0, len(marks))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

@@ -136,6 +136,26 @@ def test_decoys():
     assert len(moved) == len(peaks) and sorted(i for _, i in moved) == sorted(i for _, i in peaks) and moved == sorted(moved)
 
 
+def test_decoys_move_losses():
+    """A peak of a fragment less water goes where the moved fragment less water lies; a whole fragment wins over a loss."""
+    rows = decoy.residues("HPYLEDR")
+    old = decoy.fragments([m for _, m in rows], 2, decoy.LOSSES)
+    _, origin = decoy.shuffle("HPYLEDR")
+    new = decoy.fragments([rows[i][1] for i in origin], 2, decoy.LOSSES)
+    for key in (("b", 4, 1, "H2O"), ("y", 3, 1, "NH3"), ("b", 5, 1, "")):
+        (mz, _), = decoy.reposition("HPYLEDR", 2, [(old[key] + 1e-4, 1.0)], 5)[1]
+        assert mz == pytest.approx(new[key] + 1e-4, abs=1e-6)
+    assert old["a", 3, 1, ""] == pytest.approx(old["b", 3, 1, "CO"], abs=1e-4) and len(old) > 13 * 8
+
+
+def test_marks(spark):
+    marks = [1.0, 2.5, 2.75, 9.0, 9.5]
+    df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.6, 9.5, 10.0)], "x double")
+    for k in range(6):
+        got = [r[0] for r in df.select(fdr.marks_above(F.col("x"), marks[:k])).collect()]
+        assert got == [sum(m > r[0] for m in marks[:k]) for r in df.collect()]
+
+
 def test_sequences(spark):
     assert one(spark, seq.mgf_to_proforma(F.lit("PEP+15.995TIDE"))) == "PEP[+15.995]TIDE"
     assert one(spark, seq.mgf_to_proforma(F.lit("+42.011PEPTIDE"))) == "[+42.011]-PEPTIDE"
