@@ -345,6 +345,28 @@ def sim_entropy(spark, d):
     return similarity(spark, d, unweighted=sim.entropy, weighted=lambda a: sim.entropy(a, weighted=True))
 
 
+_TOP = (
+    "tp AS (SELECT id, i FROM (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY intensity DESC, mz) AS k FROM peak) WHERE k <= 5), "
+    "ht AS (SELECT mt.query_id, q.unit AS q, l.unit AS l, q.mz AS mq, l.mz AS ml FROM mt JOIN peak q ON q.id = query_id AND q.i = qi JOIN peak l ON l.id = library_id AND l.i = li JOIN tp ON tp.id = library_id AND tp.i = li), "
+    "lt AS (SELECT b.query_id, p.unit AS v FROM best b JOIN peak p ON p.id = b.library_id JOIN tp ON tp.id = p.id AND tp.i = p.i WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.query_id = b.query_id AND mt.li = p.i)), "
+    "th AS (SELECT query_id, count(*) AS n, sum(q * l) / sqrt(sum(q * q) * sum(l * l)) AS cs, sum(l) AS sl, sum(abs(q - l)) AS gap, sum((q - l) ** 2) AS gap2, sum((mq - ml) ** 2) AS mgap2 FROM ht GROUP BY 1), tu AS (SELECT query_id, count(*) AS nul, sum(v) AS sul, sum(v * v) AS sul2 FROM lt GROUP BY 1), "
+    "ta AS (SELECT th.*, coalesce(nul, 0) AS nul, coalesce(sul, 0) AS sul, coalesce(sul2, 0) AS sul2 FROM th LEFT JOIN tu USING (query_id)), "
+    "txy AS (SELECT query_id, q AS x, l AS y FROM ht UNION ALL SELECT l.query_id, 0, v FROM lt l JOIN th USING (query_id)), trk AS (SELECT query_id, x, y, rank() OVER (PARTITION BY query_id ORDER BY x) + (count(*) OVER (PARTITION BY query_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY query_id ORDER BY y) + (count(*) OVER (PARTITION BY query_id, y) - 1) / 2 AS ry FROM txy), "
+    "tc AS (SELECT query_id, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(x, y) ELSE 0 END AS pearson, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(rx, ry) ELSE 0 END AS spearman FROM trk GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH {ALIGNED}, {SIDES}, {_TOP} SELECT query_id, round(cs, 6) AS cosine, CAST(n AS DOUBLE) AS n_matched, round(n / (n + nul), 6) AS frac_n_library, round(sl / (sl + sul), 6) AS frac_i_library, round(1 - 2 * acos(least(greatest(cs, 0), 1)) / pi(), 4) AS contrast, "
+    "round(least(n ** 4 / (25 * greatest(gap, 2.220446049250313e-16) ** 0.25), 1000), 6) AS v1, round(ln(1 / (gap2 + sul2)), 6) AS scribe, round(mgap2 / n, 6) AS mse_mz, round(gap2 / n, 6) AS mse_intensity, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM ta JOIN tc USING (query_id)"
+)
+def sim_top(spark, d):
+    """The measures over the library's five strongest peaks, of queries that match one of these."""
+    s, a = sim.Aligned.on(fx.best(spark, d), "q_peaks", "l_peaks", "matches", 5)
+    one = {"cosine": sim.cosine, "n_matched": sim.n_matched_peaks, "frac_n_library": sim.frac_n_peaks_library, "frac_i_library": sim.frac_intensity_library, "v1": sim.ms_for_id_v1, "scribe": sim.scribe_fragment_acc, "pearson": sim.pearsonr, "spearman": sim.spearmanr}
+    return s.where(~a.none).select("query_id", *[r6(f(a), n) for n, f in one.items()], F.round(sim.spectral_contrast_angle(a), 4).alias("contrast"), r6(sim.mean_squared_error(a, "mz"), "mse_mz"), r6(sim.mean_squared_error(a, "intensity"), "mse_intensity"))
+
+
 _CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
 _BINS = vectorize.dimensions(11.0, 2010.0, 0.04)[0]
 
