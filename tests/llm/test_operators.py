@@ -248,13 +248,54 @@ def test_url_rules_and_trust(spark):
 def test_page_rank_by_hand(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 3), ("b", "a", 1)], "src string, dst string, n long")
     seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double")
-    got = {r["host"]: r["mass"] for r in url_trust.propagate(edges, seeds, steps=60).collect()}
+    got = {r["host"]: r["mass"] for r in url_trust.propagate(edges, seeds, tolerance=1e-9).collect()}
     r = {"a": 1.0, "b": 0.0, "c": 0.0}
-    for _ in range(60):
+    for _ in range(200):
         r = {"a": 0.15 + 0.85 * (r["b"] / 4 + r["c"]), "b": 0.85 * r["a"], "c": 0.85 * r["b"] * 3 / 4}
     assert got == pytest.approx(r) and sum(got.values()) == pytest.approx(1)
 
 
+def test_verdicts_equal_dense_pagerank(spark):
+    """Some thousand hosts with hubs, dangling hosts and a chain of thirty links, against a matrix."""
+    rng = np.random.default_rng(4)
+    n, links = 1500, {}
+    for a in range(1000):  # the rest has no links out
+        for b in rng.integers(0, n, rng.integers(1, 6)).tolist() + ([3] if rng.random() < 0.3 else []):
+            if a != b:
+                links[a, b] = links.get((a, b), 0) + 1
+    links |= {(7, b): 1 for b in range(8, n)}  # a hub
+    chain = [*range(n, n + 31)]
+    links |= {(a, b): 1 for a, b in zip(chain, chain[1:])} | {(5, chain[0]): 9}
+    n += 31
+    pages, name = [], lambda k: f"h{k}.org"
+    for a in range(n):
+        out = [b for (x, b), c in links.items() if x == a for _ in range(c)]
+        pages.append((len(pages), f"http://{name(a)}/x", "".join(f"<a href='http://{name(b)}/'>" for b in dict.fromkeys(out))))
+        pages += [(len(pages), f"http://{name(a)}/{kind}", None) for kind in (["good"] if a % 50 == 5 else ["bad"] if a % 90 == 11 else [])]
+    rules = [("allow", "org", "/good"), ("block", "org", "/bad")]
+    got = {r["page_id"]: r for r in url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, tolerance=1e-4).collect()}
+    m = np.zeros((n, n))
+    for a, b in links:
+        m[a, b] = 1
+    seeds = {kind: np.array([0.5 if a % k == at and not (kind == "bad" and a % 50 == 5) else 0.0 for a in range(n)]) for kind, k, at in (("good", 50, 5), ("bad", 90, 11))}
+
+    def rank(m, s):
+        w = m.sum(1)
+        p, start = np.divide(m, w[:, None], where=w[:, None] > 0, out=np.zeros_like(m)), s / s.sum()
+        x = start
+        for _ in range(300):
+            x = 0.85 * (x @ p) + start * (0.15 + 0.85 * x[w == 0].sum())
+        return x * s.sum()
+
+    trust, distrust = rank(m, seeds["good"]), rank(m.T, seeds["bad"])
+    assert trust[chain[-1]] > 0
+    for k, (_, url, _) in enumerate(pages):
+        host = int(url.split("/")[2][1:-4])
+        assert got[k]["trust"] == pytest.approx(trust[host], abs=2e-3) and got[k]["distrust"] == pytest.approx(distrust[host], abs=2e-3)
+        if url.endswith("/x") and abs(trust[host] - distrust[host]) > 4e-3:
+            assert got[k]["verdict"] == ("block" if distrust[host] > trust[host] else "allow")
+
+
 # --- op4 -----------------------------------------------------------------------------------
 def plain_fingerprint(text, size=3):
     import xxhash
