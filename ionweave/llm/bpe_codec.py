@@ -8,7 +8,8 @@ workers map it into memory. Words it lacks are split and merged exactly by the t
 
 Counts are over all documents; the lexicon keeps the most frequent words of at most ``WIDEST`` bytes, up
 to ``LEXICON`` (which words it holds changes speed, never ids). Null and empty texts have no ids and decode
-to the empty text; equal texts have equal ids; extra columns are ignored.
+to the empty text; equal texts have equal ids; repeated rows and ids each give their row; whole texts are encoded, however
+long; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ clearing one or two bits and sorting, which is linear in the bucket and emits a
 all pairs. Buckets beyond ``hot`` members go the same way as Spark rows instead of in one task.
 
 Nulls and empty texts have fingerprint zero and are linked like others; equal texts have equal
-fingerprints; extra columns are ignored; empty tables give empty results.
+fingerprints; repeated rows and ids each give their row; whole texts are read, however long; extra columns are
+ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
