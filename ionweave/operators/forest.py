@@ -23,7 +23,7 @@ from ionweave.operators import blocks
 from ionweave.sources import versions
 from ionweave.sources.versions import cut
 
-TREES, LEAF, BEAM = 10, 64, 4
+TREES, LEAF, BEAM, SHARE = 10, 64, 4, 16  # nodes kept at a level: ``BEAM`` at least, and one in ``SHARE`` leaves
 
 
 def directions(trees: int, levels: int, width: int, seed: int) -> np.ndarray:
@@ -76,8 +76,12 @@ class Forest:
             at = step.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= beam).drop("_k")
         return at.select("id", "tree", F.col("node").alias("leaf"))
 
-    def search(self, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-        """``(query_id, library_id, score, rank)`` of ``queries(id, vec)`` among the candidates of their leaves."""
+    def search(self, queries: DataFrame, k: int, beam: int | None = None) -> DataFrame:
+        """``(query_id, library_id, score, rank)`` of ``queries(id, vec)`` among the candidates of their leaves.
+
+        The beam grows with the number of leaves unless it is given: a fixed one finds less the more leaves there are.
+        """
+        beam = beam or max(BEAM, (1 << self.part("shape").first()["levels"]) // SHARE)
         kinds = dict(queries.dtypes)["id"], dict(self.part("vectors").dtypes)["id"]
         reached = cut(self.reached(queries, beam))
         q = reached.join(queries.select("id", "vec"), "id")
