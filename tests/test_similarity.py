@@ -79,3 +79,16 @@ def test_errors_and_entropy(cases):
     for name in ("frac_n_peaks_query", "frac_intensity_query", "ms_for_id_v2", "manhattan", "euclidean", "chebyshev", "braycurtis", "canberra", "ruzicka", "entropy"):
         with pytest.raises(NotImplementedError):
             getattr(sim, name)(top)
+
+
+def flat(spark, q, lib, matches):
+    peaks = lambda v: [(100.0 + k, x) for k, x in enumerate(v)]
+    kind = "array<struct<mz:double,intensity:double>>"
+    return spark.createDataFrame([(peaks(q), peaks(lib), [(a, b, 1.0) for a, b in matches])], f"q {kind}, l {kind}, m array<struct<q:int,l:int,w:double>>")
+
+
+@pytest.mark.parametrize("top", [None, 5])
+@pytest.mark.parametrize("q,lib", [([0.4] * 6, [0.4] * 6), ([0.4] * 6, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]), ([0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0.3] * 6)])
+def test_equal_intensities_do_not_correlate(spark, q, lib, top):
+    df, a = sim.Aligned.on(flat(spark, q, lib, [(k, k) for k in range(6)]), "q", "l", "m", top)
+    assert df.select(sim.pearsonr(a), sim.spearmanr(a)).first()[:] == (0.0, 0.0)
