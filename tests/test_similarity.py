@@ -92,3 +92,11 @@ def flat(spark, q, lib, matches):
 def test_equal_intensities_do_not_correlate(spark, q, lib, top):
     df, a = sim.Aligned.on(flat(spark, q, lib, [(k, k) for k in range(6)]), "q", "l", "m", top)
     assert df.select(sim.pearsonr(a), sim.spearmanr(a)).first()[:] == (0.0, 0.0)
+
+
+def test_features_of_zero_and_equal_intensities(spark):
+    df = flat(spark, [0.0] * 6, [0.0] * 6, [(k, k) for k in range(6)]).unionByName(flat(spark, [0.4] * 6, [0.4] * 6, [(k, k) for k in range(6)]))
+    got, names = sim.with_features(df, "q", "l", "m", 11.0, 2010.0, 0.04)
+    zero, equal = sorted(got.select(*names).collect(), key=lambda r: r["frac_intensity_query"])
+    assert zero["cosine_top"] == zero["frac_intensity_library"] == zero["frac_intensity_library_top"] == zero["ruzicka"] == 0.0 and zero["braycurtis"] == 1.0
+    assert equal["frac_intensity_library"] == 1.0 and equal["pearsonr_top"] == equal["spearmanr"] == 0.0
