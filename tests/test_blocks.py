@@ -105,3 +105,32 @@ def test_failed_build_leaves_the_old_version(spark, tmp_path):
     assert spark.read.parquet(a).count() == 3 and spark.read.parquet(b).count() == 4  # readers of the old one go on
     c = versions.build_or_open(spark, path, {"k": 3}, lambda at: spark.range(6).write.parquet(at))
     assert versions.current(spark, path)[0] == c and not (tmp_path / "v" / a.rsplit("/", 1)[-1]).exists()
+
+
+@pytest.mark.parametrize("shift", [False, True])
+def test_all_pairs_equal_joined_pairs(spark, monkeypatch, shift):
+    rng = np.random.default_rng(21)
+    q, lib = (spark.createDataFrame(spectra(rng, n, name), SPECTRA) for n, name in ((40, "q"), (120, "l")))
+    monkeypatch.setattr(block_match, "WORK", 50)
+    pairs = matching.with_spectra(precursor_pairs(q, lib, 4.0, "Da"), q, lib)
+    moves = matching.shifts(F.col("q_precursor_mz"), F.col("l_precursor_mz"), F.col("charge"), 0.9, shift)
+    each = pairs.select("query_id", "library_id", F.explode(matching.peak_pairs(F.col("q_peaks"), F.col("l_peaks"), moves, 0.55)).alias("p"))
+    want = each.groupBy("query_id", "library_id").agg(F.count("*"), F.sum(F.col("p.q") * 1000 + F.col("p.l")), F.round(F.sum("p.w"), 6))
+    for part in (block_match.PART, 20):
+        got = block_match.all_in_window(q, lib, 4.0, "Da", 0.55, shift, least_shift=0.9, part=part).withColumn("w", F.round("w", 6))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = matching.align(pairs, 0.55, shift).select("query_id", "library_id", F.explode("matches").alias("m")).select("query_id", "library_id", "m.q", "m.l", "m.w")
+    assert sorted(map(tuple, block_match.all_in_window(q, lib, 4.0, "Da", 0.55, shift, matches=True).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_edges_go_by_peaks_that_meet(monkeypatch):
+    """Pairs of spectra without a common peak cost no look-up of their own."""
+    import pyarrow as pa
+
+    peaks = lambda at: pa.array([[{"mz": at + k, "intensity": 1.0} for k in range(30)]] * 400)
+    table = lambda at: pa.table({"id": list(range(400)), "mz": [500.0] * 400, "charge": pa.array([2] * 400, pa.int32()), "peaks": peaks(at), "is_decoy": [False] * 400, "peptide": ["P"] * 400})
+    monkeypatch.setattr(block_match, "pair_edges", lambda *_: 1 / 0)
+    kernel = block_match.BestMatches(table(100.0), 1.0, "Da", 0.1, True, False, False)
+    kernel.add(table(900.0).combine_chunks().to_batches()[0])
+    out = next(kernel.result())
+    assert set(out.column("library_id").to_pylist()) == {0} and set(out.column("num_candidates").to_pylist()) == {400}
