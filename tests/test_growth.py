@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ionweave.operators import candidates as cand
+from ionweave.operators import fdr
 from ionweave.operators import preprocess as pre
 
 
+
 def test_merge_of_many_peaks(spark):
     rows = [(1, [(k / 7, 1.0 + k % 3, f"n{k}") for k in range(6000)]), (2, [(1.2, 1.0, "a"), (None, 2.0, "b"), (1.4, 4.0, "c")]), (3, []), (4, None)]
     df = spark.createDataFrame(rows, "id int, peaks array<struct<mz:double,intensity:double,note:string>>")
@@ -16,3 +19,35 @@ def test_merge_of_many_peaks(spark):
     assert [(p["mz"], p["intensity"], p["note"]) for p in got[1]] == [(m, *want[m]) for m in sorted(want)]
     assert sorted((p["mz"] or -1.0, p["intensity"], p["note"]) for p in got[2]) == [(-1.0, 2.0, "b"), (1.0, 5.0, "a")]
     assert got[3] == [] and got[4] is None
+
+
+def spectra_of(spark):
+    rows = [(k, 100.0 + (k * 7 % 50) / 10, 2 + k % 2) for k in range(400)] + [(400, 101.0, 2), (400, 101.0, 2), (None, 101.0, 2), (401, None, 2)]
+    return spark.createDataFrame(rows, "id long, precursor_mz double, precursor_charge int")
+
+
+def test_masses_stand_for_pairs(spark):
+    lib = spectra_of(spark)
+    q = lib.where("id % 20 = 0")
+    got = {tuple(r[:3]): r["n"] for r in cand.level_pairs(q, lib, 3.0, "Da").collect()}
+    mz = lambda df, n: df.select(F.col("id").alias(n), F.col("precursor_mz").alias(f"{n}_mz"))
+    pairs = cand.precursor_pairs(q, lib, 3.0, "Da").where("query_id != library_id").distinct()
+    plain = q.alias("q").join(lib.alias("l"), F.expr("q.precursor_charge = l.precursor_charge and abs(q.precursor_mz - l.precursor_mz) * q.precursor_charge <= 3.0 and q.id != l.id"))
+    want = plain.groupBy("q.precursor_charge", "q.precursor_mz", "l.precursor_mz").count().collect()
+    assert got == {tuple(r[:3]): r[3] for r in want} and len(got) < plain.count() / 3 and pairs.count() < plain.count()
+    diffs = plain.select(((F.col("q.precursor_mz") - F.col("l.precursor_mz")) * F.col("q.precursor_charge")).alias("mass_diff"), F.lit(1).alias("n"))
+    levels = cand.level_pairs(q, lib, 3.0, "Da").withColumn("mass_diff", (F.col("q_mz") - F.col("l_mz")) * F.col("charge"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(fdr.shift_histogram(diffs)) == rows(fdr.shift_histogram(levels, weight="n"))
+    one = fdr.shift_groups(diffs, least=40).groupBy("mass_group").count()
+    many = fdr.shift_groups(levels, least=40, weight="n").groupBy("mass_group").agg(F.sum("n"))
+    assert rows(one) == rows(many) and one.count() > 1
+
+
+def test_pairs_of_crowded_keys(spark):
+    left = spark.createDataFrame([(k, k % 3, "x") for k in range(50)] + [(50, None, "y"), (51, 9, "z")], "id long, k int, note string")
+    right = spark.createDataFrame([(k % 3, k) for k in range(2500)] + [(0, None), (0, 0), (None, 7)], "k int, v long")
+    out = cand.with_each(left, right, ["k"], "v")
+    want = left.join(right, "k")
+    rows = lambda df: sorted(map(str, df.select("id", "k", "note", "v").collect()))
+    assert rows(out) == rows(want)
