@@ -1,11 +1,16 @@
 """Steps whose cost has to grow no faster than their tables: results against plain definitions, and the rows that stand between steps."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from ionweave.operators import candidates as cand
 from ionweave.operators import fdr
 from ionweave.operators import preprocess as pre
+from ionweave.plans import catalogue
 
+SF = "/root/testdata/sf0.01"
 
 
 def test_merge_of_many_peaks(spark):
@@ -51,3 +56,10 @@ def test_pairs_of_crowded_keys(spark):
     want = left.join(right, "k")
     rows = lambda df: sorted(map(str, df.select("id", "k", "note", "v").collect()))
     assert rows(out) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_natural_join_is_spread(spark):
+    """The customers of one small file are work for all tasks."""
+    rows = catalogue.natural_join(spark, SF).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(rows) == 5949 and max(rows) < sum(rows) / 3
