@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 
 from ionweave.schema import PEAK, SPECTRUM
 from ionweave.sources import versions
+from ionweave.sources.export import ROWS, by_rows
 
 _ROWS = "id string, source_index int, precursor_mz double, precursor_charge int, retention_time double, peptide string, is_decoy boolean, mz array<double>, intensity array<double>, ion array<string>"
+_TYPES = {
+    "id": pa.string(), "source_index": pa.int32(), "precursor_mz": pa.float64(), "precursor_charge": pa.int32(), "retention_time": pa.float64(), "peptide": pa.string(), "is_decoy": pa.bool_(), "mz": pa.list_(pa.float64()),
+    "intensity": pa.list_(pa.float64()), "ion": pa.list_(pa.string()), "file": pa.string(), "start": pa.int64(),
+}
 WINDOW = 1 << 22  # bytes read at a time by a scan
 GAP = 1 << 16  # bytes between two wanted spectra that are read over instead of sought
 
@@ -51,21 +56,20 @@ def _elements(spark: SparkSession, path: str, separator: str, mark: str, parse)
     ranges = raw.groupBy("file", "start").agg(F.count("*").alias("n"))
     before = ranges.groupBy("file").agg(F.collect_list(F.struct("start", "n")).alias("all"))  # a row a byte range
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, place = None, 0
-        for pdf in batches:
+        for b in by_rows(batches, ROWS):
             rows, keys = [], []
-            for value, file, start in pdf.itertuples(index=False):
+            for value, file, start in zip(*(c.to_pylist() for c in b.columns)):
                 at, place = (file, start), place + 1 if at == (file, start) else 0
                 row = parse(value)
                 if row is not None:
                     rows.append((row[0], place, *row[1:]))
                     keys.append((file, start))
-            out = _frame(rows)
-            out["file"], out["start"] = [k[0] for k in keys], [k[1] for k in keys]
-            yield out
+            columns = list(zip(*(r + k for r, k in zip(rows, keys)))) or [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES.values())], list(_TYPES))
 
-    parsed = raw.mapInPandas(run, f"{_ROWS}, file string, start long").join(F.broadcast(before), "file")  # a row a byte range of files
+    parsed = raw.mapInArrow(run, f"{_ROWS}, file string, start long").join(F.broadcast(before), "file")  # a row a byte range of files
     earlier = F.aggregate(F.filter("all", lambda p: p["start"] < F.col("start")), F.lit(0).cast("long"), lambda a, p: a + p["n"])
     placed = parsed.withColumn("source_index", (F.col("source_index") + earlier).cast("int"))
     return _spectra(placed.withColumn("id", F.coalesce("id", F.col("source_index").cast("string"))))

@@ -2,13 +2,15 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ionweave.operators import candidates as cand
-from ionweave.operators import fdr
+from ionweave.operators import decoy, fdr
 from ionweave.operators import preprocess as pre
 from ionweave.plans import catalogue
+from ionweave.sources import export, registry
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,3 +65,33 @@ def test_natural_join_is_spread(spark):
     """The customers of one small file are work for all tasks."""
     rows = catalogue.natural_join(spark, SF).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     assert sum(rows) == 5949 and max(rows) < sum(rows) / 3
+
+
+def test_files_by_few_rows(spark, tmp_path):
+    b = pa.record_batch({"x": list(range(1000))})
+    assert [s.num_rows for s in export.by_rows([b], 300)] == [300, 300, 300, 100] and all(s.num_rows <= export.ROWS for s in export.by_rows([b], export.ROWS))
+    rows = [(str(k), 100.0 + k, 2, k + 0.5, "PEP", False, [(1.5 + k, 2.0)]) for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, precursor_mz double, precursor_charge int, retention_time double, peptide string, is_decoy boolean, peaks array<struct<mz:double,intensity:double>>").coalesce(1)
+    for write, name in ((export.write_mzxml, "a.mzXML"), (export.write_mzml, "a.mzML")):
+        write(df, str(tmp_path / name))
+        got = registry.read_queries(spark, str(tmp_path / name)).select("id", "source_index", "precursor_mz", F.col("peaks")[0]["mz"].alias("mz")).collect()
+        assert sorted((int(r["id"]), r["source_index"] - int(r["id"]), r["precursor_mz"], r["mz"]) for r in got) == [(k, got[0]["source_index"] - int(got[0]["id"]), 100.0 + k, 1.5 + k) for k in range(700)]
+
+
+def test_decoys_by_row(spark):
+    """Each row gets one decoy, also of a repeated id, and every other column stays."""
+    kind = "id string, precursor_mz double, precursor_charge int, peptide string, is_decoy boolean, peaks array<struct<mz:double,intensity:float,ion_type:string>>, note int"
+    rows = [("1", 300.0, 2, "HPYLEDR", False, [(175.119, 2.0, "y"), (500.0, 1.0, None)], 7), ("1", 300.0, None, "HPYLEDR", False, [], 8), ("2", 300.0, 2, None, False, [(5.0, 1.0, None)], 9)]
+    df = spark.createDataFrame(rows, kind)
+    got = decoy.with_decoys(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    made = sorted(got.where("is_decoy").collect(), key=lambda r: r["note"])
+    assert [(r["id"], r["precursor_charge"], r["note"], len(r["peaks"])) for r in made] == [("DECOY_1", 2, 7, 2), ("DECOY_1", None, 8, 0)] and got.count() == 5
+    assert made[0]["peptide"] == decoy.shuffle("HPYLEDR")[0] and [p["mz"] for p in made[0]["peaks"]] == [m for m, _ in decoy.reposition("HPYLEDR", 2, [(175.119, 2.0), (500.0, 1.0)], 10.0)[1]]
+
+
+def test_fragments_at_once():
+    masses = [128.05858, 71.03711, 57.02146, 131.04049]
+    for charge in (1, 2, 4):
+        keys, flat = decoy._layout(4, charge)[0], decoy._masses(masses, charge)
+        assert {k: v for k, v in zip(keys, flat.tolist()) if v == v} == decoy.fragments(masses, charge, decoy.LOSSES)
