@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain, islice
@@ -71,8 +72,8 @@ def uniforms(keys: np.ndarray, step: int) -> np.ndarray:
     return ((_mix(keys ^ _mix(np.array([step], np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def squeeze(arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(tuple((a.dtype.str, np.ascontiguousarray(a).tobytes()) for a in arrays), 5))
+def squeeze(arrays, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(tuple((a.dtype.str, np.ascontiguousarray(a).tobytes()) for a in arrays), 5))
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
@@ -152,7 +153,7 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
                 three[rare] = np.argsort(rising)[place] + len(slots)
                 before, three[0] = np.unique(three[0], return_inverse=True)
                 docs = d[new]
-                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used[rising]]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
+                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used[rising]]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)], 3))  # these lie on disk twice for a while
             return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         rows, size, vocab = [], 0, Vocabulary(slots)
@@ -648,11 +649,13 @@ def _planned_once(spark: SparkSession):
 
 
 def _settle(df: DataFrame) -> DataFrame:
-    """``df`` cut off from what made it; Spark may then delete the files of the shuffles before."""
+    """``df`` cut off from what made it; Spark then deletes the files of the shuffles before, in its own time, which is waited for."""
     done = cut(df)
     del df
+    time.sleep(1)  # the session's listeners let go of the query
     gc.collect()
     done.sparkSession._jvm.System.gc()
+    time.sleep(1)
     return done
 
 
