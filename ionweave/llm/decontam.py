@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ EDITS = 0.2
 TARGET, EACH = 0.998, 0.985
 KINDS = ("spread", "front", "delete", "insert", "replace", "second", "first")
 PIECE, LEAST, TABLES, SAMPLED = 12, 6, 3, 3
-BLOCK, BLOCK_WORDS, HELD, KEPT = 2000, 400_000, 4, 500_000
+BLOCK, BLOCK_WORDS, HELD = 2000, 400_000, 4
 HITS = "doc_id long, item_id long, distance int, n_item_words int, similarity double"
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
@@ -49,44 +50,35 @@ def norm(token: str) -> str:
     return token.lower().strip(EDGES)
 
 
+def norms(tokens: pa.StringArray) -> pa.StringArray:
+    """``norm`` of each token; only those beyond ASCII go one by one."""
+    plain, odd = pc.ascii_trim(pc.ascii_lower(tokens), characters=string.punctuation), pc.invert(pc.string_is_ascii(tokens))
+    return pc.replace_with_mask(plain, odd, pa.array([norm(t) for t in tokens.filter(odd).to_pylist()], pa.string()))
+
+
 class Tokens:
-    """Codes of raw tokens, for all blocks of items: 0 for bare punctuation, else the place of a word in ``forms``."""
-
-    def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.forms: list[str] = [""]
-        self.places: dict[str, int] = {"": 0}
-        self.known: dict[int, np.ndarray] = {}
-
-    def read(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
-        """(places of the texts with words, their codes)."""
-        if len(self.codes) > KEPT:
-            self.__init__()
-        owners, out, codes = [], [], self.codes
+    """Texts as codes of words, for all blocks of items; texts without a token are left out, bare punctuation is dropped."""
+
+    def __init__(self, texts: list[str | None]):
+        self.owners, sizes, flat = [], [0], []
         for k, text in enumerate(texts):
             tokens = text.split() if text else []
             if tokens:
-                try:
-                    got = [codes[t] for t in tokens]
-                except KeyError:
-                    for t in tokens:
-                        if t not in codes:
-                            w = norm(t)
-                            codes[t] = self.places.setdefault(w, len(self.places))
-                            if codes[t] == len(self.forms):
-                                self.forms.append(w)
-                    got = [codes[t] for t in tokens]
-                got = np.array(got, np.int32)
-                owners.append(k)
-                out.append(got[got > 0])
-        return owners, out
-
-    def table(self, block: int, vocab: dict[str, int]) -> np.ndarray:
-        """The word of a block's vocabulary of every code, 0 for words that no item has."""
-        have = self.known.get(block, np.zeros(0, np.int32))
-        if len(have) < len(self.forms):
-            have = self.known[block] = np.concatenate([have, np.array([vocab.get(w, 0) for w in self.forms[len(have) :]], np.int32)])
-        return have
+                self.owners.append(k)
+                flat += tokens
+                sizes.append(len(tokens))
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        self.forms = norms(coded.dictionary)
+        codes, word = coded.indices.to_numpy(), pc.not_equal(self.forms, "").to_numpy(zero_copy_only=False)
+        word = word[codes]
+        ends = np.concatenate([[0], np.cumsum(word)])[np.cumsum(sizes)]
+        codes = codes[word]
+        self.texts = [codes[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+    def as_words(self, vocab: pa.StringArray) -> list[np.ndarray]:
+        """The texts as places in a vocabulary, from 1; 0 for words that it lacks."""
+        table = pc.fill_null(pc.add(pc.index_in(self.forms, value_set=vocab), 1), 0).to_numpy()
+        return [table[c] for c in self.texts]
 
 
 def edit_distance_within(masks: dict[int, int], m: int, words: list[int]) -> int:
@@ -124,19 +116,27 @@ def _draw(rng: np.random.Generator, size: int) -> tuple[int, list[np.ndarray]]:
 
 def _signatures(words: np.ndarray, starts: np.ndarray, size: int, draws) -> Iterator[np.ndarray]:
     """The LSH signatures of the windows of ``size`` words at ``starts``, table by table."""
+    forms = np.arange(int(words.max(initial=0)) + 1, dtype=np.uint64)
+    words = words.astype(np.intp)
+    coded = words.astype(np.uint64) + np.uint64(1)
     for seed, tables in draws:
-        moves = _mix(words.astype(np.uint64) ^ np.uint64(seed))
-        at = np.zeros(len(starts), np.int64)
+        moves = _mix(forms ^ np.uint64(seed))[words]
+        at, place = np.zeros(len(starts), np.int64), starts
         sigs = [np.zeros(len(starts), np.uint64) for _ in tables]
-        for step in range(max(int(t[-1]) for t in tables) + 1):
-            inside, place = at < size, starts + np.minimum(at, size - 1)
+        last = max(int(t[-1]) for t in tables)
+        for step in range(last + 1):
+            if step >= size:  # before, no walk can have left its window
+                place = starts + np.minimum(at, size - 1)
             word = None
             for sig, t in zip(sigs, tables):
                 if step in t:
-                    word = np.where(inside, words[place], 0).astype(np.uint64) + np.uint64(1) if word is None else word
+                    if word is None:
+                        word = coded[place] if step < size else np.where(at < size, coded[place], np.uint64(1))
                     sig *= np.uint64(0x9E3779B97F4A7C15)
                     sig += word
-            at += (moves[place] >> np.uint64(step)).astype(np.int64) & 1  # beyond the window only zeros follow
+            if step < last:
+                at += (moves[place] >> np.uint64(step)).view(np.int64) & 1  # beyond the window only zeros follow
+                place = starts + at
         yield from sigs
 
 
@@ -180,6 +180,7 @@ class Index:
             words = [w for w in map(norm, (text or "").split()) if w]
             if words:
                 self.items.append((item_id, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)))
+        self.words = pa.array(list(self.vocab), pa.string())  # a word's place from 1 is its number
         self.longest = max((len(s) for _, s in self.items), default=0)
         self.classes, self.pieces = [], []  # pieces: item, its word that the piece starts with
         sizes: dict[int, list[int]] = {}
@@ -219,9 +220,8 @@ class Index:
 
     def search(self, docs: list[str | None]) -> list[tuple[int, int, int]]:
         """(document's position, item's position, distance) of every verified match."""
-        tokens = Tokens()
-        owners, codes = tokens.read(docs)
-        return self.find(owners, [tokens.table(0, self.vocab)[c] for c in codes])
+        tokens = Tokens(docs)
+        return self.find(tokens.owners, tokens.as_words(self.words))
 
     def find(self, owners: list[int], texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """The same for texts as words of the block's vocabulary, with the documents' positions."""
@@ -252,12 +252,14 @@ class Index:
                 near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 met = []
                 for sig, (keys, items) in zip(_signatures(words[near], np.searchsorted(near, part), size, draws), tables):
-                    lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
-                    hit = np.flatnonzero(hi > lo)
+                    lo = np.searchsorted(keys, sig, "left")
+                    hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == sig)
+                    lo, hi = lo[hit], np.searchsorted(keys, sig[hit], "right")
                     while len(hit):
-                        met.append(np.stack([part[hit], items[lo[hit]]]))
-                        lo[hit] += 1
-                        hit = hit[hi[hit] > lo[hit]]
+                        met.append(np.stack([part[hit], items[lo]]))
+                        lo += 1
+                        more = hi > lo
+                        hit, lo, hi = hit[more], lo[more], hi[more]
                 if not met:
                     continue
                 for at, piece in np.unique(np.concatenate(met, axis=1), axis=1).T.tolist():
@@ -275,7 +277,10 @@ class Index:
                     start, stop = max(p // wide * wide - slack, int(ends[d]) - sizes[d]), min((p // wide + 1) * wide + m + slack, int(ends[d]))
                     if k not in masked:
                         masked = {k: self.masks(k)} if len(masked) > 64 else masked | {k: self.masks(k)}
-                    got = edit_distance_within(masked[k], m, words[start:stop].tolist())
+                    run = words[start:stop].tolist()
+                    if len(masked[k].keys() - run) > int(self.edits * m):
+                        continue  # an edit takes one word of the item at most
+                    got = edit_distance_within(masked[k], m, run)
                     if got <= int(self.edits * m) and got < found.get((d, k), m + 1):
                         found[d, k] = got
         return [(owners[d], k, got) for (d, k), got in sorted(found.items())]
@@ -298,7 +303,7 @@ def _blocks(items: DataFrame, edits: float, block: int) -> list[Broadcast]:
     return out
 
 
-def _search_rows(indexes: list[Broadcast], tokens: Tokens, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
+def _search_rows(indexes: list[Broadcast], texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
     """(row, block, item, distance) of every match, over some millions of characters at a time."""
     lo = 0
     while lo < len(texts):
@@ -306,11 +311,10 @@ def _search_rows(indexes: list[Broadcast], tokens: Tokens, texts: list[str | Non
         while hi < len(texts) and chars < 4_000_000:
             chars += len(texts[hi] or "")
             hi += 1
-        owners, codes = tokens.read(texts[lo:hi])
+        tokens = Tokens(texts[lo:hi])
         for block, sent in enumerate(indexes):
             index = sent.value
-            words = tokens.table(block, index.vocab)
-            for k, item, distance in index.find(owners, [words[c] for c in codes]):
+            for k, item, distance in index.find(tokens.owners, tokens.as_words(index.words)):
                 yield lo + k, block, item, distance
             if len(indexes) > HELD and block >= HELD and hasattr(sent, "_value"):
                 del sent._value  # read again from the executor's copy when its turn comes
@@ -322,10 +326,9 @@ def contaminated(docs: DataFrame, items: DataFrame, edits: float = EDITS, block:
     indexes = _blocks(items, edits, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for b in batches:
             rows = []
-            for k, part, i, d in _search_rows(indexes, tokens, b.column(1).to_pylist()):
+            for k, part, i, d in _search_rows(indexes, b.column(1).to_pylist()):
                 item_id, seq = indexes[part].value.items[i]
                 rows.append((b.column(0)[k].as_py(), item_id, d, len(seq), 1 - d / len(seq)))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -339,9 +342,8 @@ def clean(docs: DataFrame, items: DataFrame, edits: float = EDITS, block: int =
     at, indexes = docs.columns.index("text"), _blocks(items, edits, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for b in batches:
-            hit = {k for k, *_ in _search_rows(indexes, tokens, b.column(at).to_pylist())}
+            hit = {k for k, *_ in _search_rows(indexes, b.column(at).to_pylist())}
             yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -83,3 +83,15 @@ def test_index_does_not_grow_with_the_vocabulary():
     a, b = (len(pickle.dumps(decontam.Index(x))) for x in (same, other))
     assert b < 1.1 * a  # but for the words themselves
     assert len(pickle.dumps(decontam.Index([(0, " ".join(word(rng) for _ in range(4000)))]))) < 6_000_000
+
+
+def test_words_are_those_of_the_plain_norm():
+    """Tokens are numbered as columns, not one by one; each distinct token is looked at once."""
+    texts = ["The CAT, «sat»  on — the (mat)!", None, "", "İstanbul ÉTÉ 'été' … ΣΑΣ mat cat", "--- !!", "x" * 50_000 + " cat."]
+    items = [(1, "the cat sat on the mat"), (2, "İstanbul été σας")]
+    index, tokens = decontam.Index(items), decontam.Tokens(texts)
+    plain = [[index.vocab.get(w, 0) for w in map(decontam.norm, t.split()) if w] for t in texts if t]
+    assert tokens.owners == [0, 3, 4, 5]
+    assert [t.tolist() for t in tokens.as_words(index.words)] == plain
+    assert index.search(texts) == [(0, 0, 0)]
+    assert len(decontam.Tokens(["a b a b " * 1000]).forms) == 2
