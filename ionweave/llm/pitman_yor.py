@@ -30,12 +30,13 @@ from __future__ import annotations
 import gc
 import pickle
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain, islice
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,7 @@ from ionweave.llm.common import cut
 
 EXACT, SAMPLES, BURN_IN, COLOURS = 64, 3, 2, 3
 CHUNK, FLUSH, SHARD_CHARS, LEAST_SHARDS, SAMPLE_CHARS, COMMON = 500_000, 20_000_000, 16_000_000, 24, 8_000_000, 60_000
+PARTS = 2  # in which texts are counted: only a part's shuffle files lie beside the blocks
 START = 0x51ED270B27B4F3A1  # hash of the place before a text
 #: Discounts and strengths that can be drawn.
 DISCOUNTS = [k / 20 for k in range(1, 20)]
@@ -106,12 +108,13 @@ def hashes_of(b: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(b.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-class Vocabulary(dict):
-    """Numbers words in the order they are met."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of all texts on end, and where each text's begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+    words, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    some = pc.greater(pc.binary_length(words), 0)  # space at a text's ends leaves empty ones
+    kept = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), kept[ends]
 
 
 def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
@@ -119,16 +122,30 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
 
     ``common`` words, the empty one first, go by their place in the list after ``START``; others by hash.
     """
-    slots = {b"": 0, None: 1} | {w: k + 2 for k, w in enumerate(common)}
-    common_hashes = np.array([START if w is None else word_hash(w) for w in slots], np.uint64)
+    slots = len(common) + 2  # the end, the place before a text, the common words
+    first_words = pa.array(common, pa.binary()).view(pa.string())
+    common_hashes = np.array([word_hash(b""), START, *map(word_hash, common)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows, vocab):
-            lens, ids = np.array([len(r[3]) for r in rows]), np.concatenate([r[3] for r in rows])
-            hashes = np.concatenate([common_hashes, np.array([word_hash(w) for w in islice(vocab, len(slots), None)], np.uint64)])
+        def flush(rows):
+            """Rows are ``(rid, doc_id, flag, words, begins, ends)``: words after the two before a run."""
+            numbered = pa.concat_arrays([first_words, *(r[3] for r in rows)]).dictionary_encode()
+            begins, ends, held = (np.array(x, np.int64) for x in ([r[4] for r in rows], [r[5] for r in rows], [len(r[3]) for r in rows]))
+            lens = 2 * begins + held + ends
+            ids = np.zeros(lens.sum(), np.uint32)
+            starts = np.cumsum(lens) - lens
+            at = starts[begins == 1]
+            ids[at] = ids[at + 1] = 1
+            ids[np.arange(held.sum()) + np.repeat(starts + 2 * begins - (np.cumsum(held) - held), held)] = numbered.indices.to_numpy()[len(common) :] + 2
+            rare_words = numbered.dictionary[len(common) :].view(pa.binary()).to_pylist()
+            rare_hashes = np.array([word_hash(w) for w in rare_words], np.uint64)
+            rising = np.argsort(rare_hashes)
+            number = np.arange(slots + len(rising), dtype=np.uint32)
+            number[slots + rising] = np.arange(slots, slots + len(rising), dtype=np.uint32)
+            ids, hashes = number[ids], np.concatenate([common_hashes, rare_hashes[rising]])  # words not in the list go by rising hash
+            place = np.arange(len(hashes), dtype=np.uint32)
             inside = np.ones(len(ids), bool)
-            first = np.cumsum(lens) - lens
-            inside[first] = inside[first + 1] = False
+            inside[starts] = inside[starts + 1] = False
             at = np.flatnonzero(inside)
             u, v, w = ids[at - 1], ids[at - 2], ids[at]
             shard = ((hashes >> np.uint64(20)) % np.uint64(len(shards))).astype(np.uint16 if len(shards) <= 1 << 16 else np.int64)[u]
@@ -147,31 +164,36 @@ def _count(shards: np.ndarray, hot: np.ndarray, common: list[bytes]):
                     rows4, cnt = np.unique(np.concatenate([[d], three]), axis=1, return_counts=True)
                     d, three = rows4[0], rows4[1:]
                 new = np.concatenate([[True], d[1:] != d[:-1]])
-                rare = three >= len(slots)
-                used, place = np.unique(three[rare], return_inverse=True)
-                rising = np.argsort(hashes[used])
-                three[rare] = np.argsort(rising)[place] + len(slots)
-                before, three[0] = np.unique(three[0], return_inverse=True)
+                here = np.zeros(len(hashes), bool)
+                here[three] = True
+                used = np.flatnonzero(here[slots:]) + slots
+                place[used] = np.arange(slots, slots + len(used), dtype=np.uint32)
+                three = place[three]
+                own = np.zeros(slots + len(used), bool)
+                own[three[0]] = True
+                before = np.flatnonzero(own)
+                three[0] = (np.cumsum(own, dtype=np.uint32) - np.uint32(1))[three[0]]
                 docs = d[new]
-                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used[rising]]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
+                blobs.append(squeeze([np.diff(heads[0][docs], prepend=0), heads[1][docs], small(heads[2][docs]), steps(hashes[used]), planes(before), *(planes(x) for x in three), planes(np.bincount(np.cumsum(new) - 1)), small(cnt)]))
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array(shards[found], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-        rows, size, vocab = [], 0, Vocabulary(slots)
+        rows, size = [], 0
         for b in batches:
-            for rid, doc_id, flag, text in zip(*(c.to_pylist() for c in b.columns)):
-                words = text.lower().split() if text else []
-                words.append(b"")
-                before: list = [None, None]
-                for lo in range(0, len(words), CHUNK):
-                    run_of = words[lo : lo + CHUNK]
-                    rows.append((rid, doc_id, flag, np.fromiter(map(vocab.__getitem__, chain(before, run_of)), np.uint32, len(run_of) + 2)))
-                    before = [*before, *run_of[-2:]][-2:]
-                    size += (len(text or b"") * len(run_of)) // len(words) + 1
+            words, edges = words_of(b.column(3))
+            chars = pc.fill_null(pc.binary_length(b.column(3)), 0).to_pylist()
+            for k, (rid, doc_id, flag) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                own = words.slice(edges[k], edges[k + 1] - edges[k])
+                n = len(own) + 1  # with the end
+                for lo in range(0, n, CHUNK):
+                    hi = min(lo + CHUNK, n)
+                    rows.append((rid, doc_id, flag, own.slice(max(lo - 2, 0), min(hi, n - 1) - max(lo - 2, 0)), lo == 0, hi == n))
+                    size += chars[k] * (hi - lo) // n + 1
                     if size > FLUSH:
-                        yield flush(rows, vocab)
-                        rows, size, vocab = [], 0, Vocabulary(slots)
+                        yield flush(rows)
+                        rows, size = [], 0
         if rows:
-            yield flush(rows, vocab)
+            yield flush(rows)
 
     return run
 
@@ -383,29 +405,34 @@ class Shard:
         # words of all blocks: the common ones that are here, then the others by hash
         rare = [hashes_of(x[3]) for x in cols]
         others, local = np.unique(np.concatenate(rare), return_inverse=True)
-        local, lo = local.astype(np.int64) + len(common), np.cumsum([0] + [len(x) for x in rare])
-        number = [np.concatenate([np.arange(len(common)), local[i:j]]) for i, j in zip(lo, lo[1:])]
+        local, lo = local.astype(np.int32) + np.int32(len(common)), np.cumsum([0] + [len(x) for x in rare])
+        number = [np.concatenate([np.arange(len(common), dtype=np.int32), local[i:j]]) for i, j in zip(lo, lo[1:])]
         u = np.concatenate([n[numbers_of(x[4])][numbers_of(x[5])] for n, x in zip(number, cols)])
         v, w = (np.concatenate([n[numbers_of(x[k])] for n, x in zip(number, cols)]) for k in (6, 7))
         here = np.zeros(len(common) + len(others), bool)
         for ids in (u, v, w):
             here[ids] = True
-        place = np.cumsum(here) - 1
+        place = np.cumsum(here, dtype=np.int32) - np.int32(1)
         u, v, w = place[u], place[v], place[w]
         self.words = np.concatenate([common, others])[here]
         n = len(self.words)
         del cols, local, number, rare
         if n < 2_000_000:
-            types, self.row3 = np.unique((u * n + v) * n + w, return_inverse=True)
+            both = u.astype(np.int64)
+            for x in (v, w):
+                both *= n
+                both += x
+            del u, v, w, x
+            types, self.row3 = np.unique(both, return_inverse=True)
             w3, both = types % n, types // n
             new = np.concatenate([[True], both[1:] != both[:-1]])
             pairs, self.x3 = both[new], (np.cumsum(new) - 1).astype(np.int32)
         else:
-            pairs, x = np.unique(u * n + v, return_inverse=True)
+            pairs, x = np.unique(u.astype(np.int64) * n + v, return_inverse=True)
             types, self.row3 = np.unique(x * n + w, return_inverse=True)
             self.x3, w3 = (types // n).astype(np.int32), types % n
+            del u, v
         self.row3 = self.row3.astype(np.int32)
-        del u, v, w
         both, row2 = np.unique(pairs[self.x3] // n * n + w3, return_inverse=True)
         self.row2, self.u2, self.w2 = row2.astype(np.int32), both // n, both % n
         self.c3 = np.bincount(self.row3, self.cnt * (self.flags[self.doc] & 1), len(types)).astype(np.int64)
@@ -648,13 +675,16 @@ def _planned_once(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """``df`` cut off from what made it; Spark then deletes the files of the shuffles before, in its own time, which is waited for."""
-    done = cut(df)
-    del df
-    time.sleep(1)  # the session's listeners let go of the query
-    gc.collect()
-    done.sparkSession._jvm.System.gc()
+def _settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, cut off from what made it; Spark then deletes the files of the shuffles before, in its own time, which is waited for.
+
+    Nobody may hold the frame that is cut, callers' arguments included: its shuffle files stay as long.
+    """
+    done = cut(make())
+    for _ in range(2):  # after one collection the files were still there
+        time.sleep(1)  # the session's listeners let go of the query
+        gc.collect()
+        done.sparkSession._jvm.System.gc()
     time.sleep(1)
     return done
 
@@ -670,9 +700,13 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     hashes = np.array([word_hash(b""), START, *map(word_hash, common)], np.uint64)
     places = spark.range(40 * n).select(F.col("id").alias("k"), F.pmod(F.hash("id"), F.lit(n)).alias("p"))
     shards = np.array([r["k"] for r in places.groupBy("p").agg(F.min("k").alias("k")).collect()])  # one key a partition
-    blocks = rows.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot, common), "shard long, blob binary")
+    def counted(part: int) -> DataFrame:
+        some = rows.where(F.pmod("rid", F.lit(PARTS)) == part)
+        blobs = some.select("rid", "doc_id", F.coalesce(F.col("learn"), F.lit(False)).cast("int"), F.col("text").cast("binary")).mapInArrow(_count(shards, hot, common), "shard long, blob binary")
+        return blobs.repartition(n, "shard")
+
     with _planned_once(spark):
-        blocks = _settle(blocks.repartition(n, "shard"))
+        blocks = reduce(DataFrame.unionByName, [_settle(lambda: counted(k)) for k in range(PARTS)])  # keeps the partitioning of its parts
 
     def meet(flow: DataFrame, h: dict) -> DataFrame:
         def run(key, part):
@@ -726,10 +760,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         return blocks.groupBy("shard").cogroup(letters.where(F.col("kind").isin(TO_SHARD, STATE)).withColumnRenamed("key", "shard").groupBy("shard"))
 
     sent = blocks.groupBy("shard").applyInArrow(begin, FLOW)
-    back = _settle(meet(sent, {"step": 1}))
+    back = _settle(lambda: meet(sent, {"step": 1}))
     h = _reading(back, {}, 2)
-    sent = _settle(together(back).applyInArrow(burn(h), FLOW))
-    back = _settle(meet(sent, h))
+    sent = _settle(lambda: together(back).applyInArrow(burn(h), FLOW))
+    back = _settle(lambda: meet(sent, h))
     h = _reading(back, h, 3)
     sums = together(sent.unionByName(back)).applyInArrow(finish(h), OUT).groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return cut(sums.select("doc_id", "n_tokens", "n_known", F.lit(h["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -607,3 +608,20 @@ def test_field_learns_and_decodes():
     assert field.decode(e) == [best >> i & 1 for i in range(5)]
     unary, _ = html_crf._marginals(np.array(e), field.move, field.start)
     assert np.allclose(unary.sum(axis=1), 1)
+
+
+def test_words_of_texts_are_numbered_as_columns():
+    texts = [" The  cat\x0bsat\n", None, "", "\t ", "Été a b A", "x" * 50]
+    words, edges = pitman_yor.words_of(pa.array([t.encode() if t is not None else None for t in texts], pa.binary()))
+    got = [[w.encode() for w in words.slice(a, b - a).to_pylist()] for a, b in zip(edges, edges[1:])]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+
+
+def test_counting_in_two_parts_keeps_its_shards(spark):
+    frame = spark.createDataFrame([(i, i % 7) for i in range(100)], "id long, shard long")
+    with pitman_yor._planned_once(spark):
+        held = [pitman_yor._settle(lambda k=k: frame.where(f"id % 2 = {k}").repartition(5, "shard")) for k in range(pitman_yor.PARTS)]
+        both = held[0].unionByName(held[1])
+        plan = both.groupBy("shard").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the blocks are not shuffled a second time
+    assert both.count() == 100
