@@ -134,3 +134,16 @@ def test_edges_go_by_peaks_that_meet(monkeypatch):
     kernel.add(table(900.0).combine_chunks().to_batches()[0])
     out = next(kernel.result())
     assert set(out.column("library_id").to_pylist()) == {0} and set(out.column("num_candidates").to_pylist()) == {400}
+
+
+def test_greedy_edges_hold_no_more_than_their_edges():
+    import tracemalloc
+
+    from ionweave.operators.block_match import greedy_edges
+
+    n, r = 20_000, np.random.default_rng(1)
+    tracemalloc.start()
+    pair, i, j, w = greedy_edges(np.arange(n), r.integers(0, 1000, n), r.integers(0, 1000, n), r.random(n))  # an edge a pair, of spectra with 1000 peaks
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pair) == n and peak < 20_000_000
