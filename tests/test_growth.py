@@ -60,6 +60,19 @@ def test_pairs_of_crowded_keys(spark):
     assert rows(out) == rows(want)
 
 
+def test_pairs_of_crowded_keys_stay_small_in_files(spark, tmp_path):
+    """A pair costs a small part of a byte in Parquet: values repeat close by and at whole bytes."""
+    left = spark.range(1600).select(F.col("id").alias("a"), F.lit(1).alias("k"), F.lit("name").alias("note"))
+    right = spark.range(6001).select(F.lit(1).alias("k"), F.xxhash64("id").alias("v"))
+    out = cand.with_each(left, right, ["k"], "v")
+    out.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * 1600 * 6001
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["a", "k", "note", "v"] and got.count() == 1600 * 6001
+    n = got.groupBy("a").agg(F.countDistinct("v").alias("n"))
+    assert [tuple(r) for r in n.select(F.count("*"), F.min("n"), F.max("n")).collect()] == [(1600, 6001, 6001)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_natural_join_is_spread(spark):
     """The customers of one small file are work for all tasks."""
