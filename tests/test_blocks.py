@@ -147,3 +147,23 @@ def test_greedy_edges_hold_no_more_than_their_edges():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(pair) == n and peak < 20_000_000
+
+
+@pytest.mark.parametrize("shift", [False, True])
+def test_copies_are_aligned_once(spark, monkeypatch, shift):
+    """Copies of spectra under other ids give the results of all pairs, and only distinct ones are dealt to blocks."""
+    rng = np.random.default_rng(31)
+    some = spectra(rng, 60, "l") + [("m000", 500.0, 2, "PEP", False, [])]
+    rows = [(f"{r[0]}{chr(97 + c)}", *r[1:3], f"P{c}", c % 2 == 1, r[5]) for c in range(4) for r in some]
+    lib = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], SPECTRA).repartition(5)
+    q = lib.where("id like '%4a' or id like '%7a' or id like '%7b' or id like '%9c' or id like 'm%'")
+    dealt, made = [], block_match.blocks.meet
+    monkeypatch.setattr(block_match.blocks, "meet", lambda queries, lib, *rest: (dealt.append(lib.select("id").distinct().count()), made(queries, lib, *rest))[1])
+    for same in (False, True):
+        pairs = matching.with_spectra(precursor_pairs(q, lib, 4.0, "Da"), q, lib)
+        pairs = pairs.where("query_id != library_id") if same else pairs
+        columns = ["query_id", "library_id", "charge", "dot", "num_candidates", "matches"]
+        want = matching.best_match(matching.align(pairs, 0.55, shift)).join(lib.selectExpr("id library_id", "is_decoy", "peptide"), "library_id").select(columns + ["is_decoy", "peptide"])
+        got = block_match.best_in_window(q, lib, 4.0, "Da", 0.55, shift, exclude_same=same).select(columns + ["is_decoy", "peptide"])
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert dealt == [61, 61]
