@@ -149,8 +149,8 @@ def test_greedy_edges_hold_no_more_than_their_edges():
     assert len(pair) == n and peak < 20_000_000
 
 
-@pytest.mark.parametrize("shift", [False, True])
-def test_copies_are_aligned_once(spark, monkeypatch, shift):
+@pytest.mark.parametrize(("shift", "annotated"), [(False, False), (True, False), (True, True)])
+def test_copies_are_aligned_once(spark, monkeypatch, shift, annotated):
     """Copies of spectra under other ids give the results of all pairs, and only distinct ones are dealt to blocks."""
     rng = np.random.default_rng(31)
     some = spectra(rng, 60, "l") + [("m000", 500.0, 2, "PEP", False, [])]
@@ -163,7 +163,7 @@ def test_copies_are_aligned_once(spark, monkeypatch, shift):
         pairs = matching.with_spectra(precursor_pairs(q, lib, 4.0, "Da"), q, lib)
         pairs = pairs.where("query_id != library_id") if same else pairs
         columns = ["query_id", "library_id", "charge", "dot", "num_candidates", "matches"]
-        want = matching.best_match(matching.align(pairs, 0.55, shift)).join(lib.selectExpr("id library_id", "is_decoy", "peptide"), "library_id").select(columns + ["is_decoy", "peptide"])
-        got = block_match.best_in_window(q, lib, 4.0, "Da", 0.55, shift, exclude_same=same).select(columns + ["is_decoy", "peptide"])
+        want = matching.best_match(matching.align(pairs, 0.55, shift, annotated)).join(lib.selectExpr("id library_id", "is_decoy", "peptide"), "library_id").select(columns + ["is_decoy", "peptide"])
+        got = block_match.best_in_window(q, lib, 4.0, "Da", 0.55, shift, annotated, exclude_same=same).select(columns + ["is_decoy", "peptide"])
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert dealt == [61, 61]
